@@ -94,6 +94,11 @@ def weighted_quantile(
     if splits is None:
         splits = equi_depth_splits(valid, ["__x"], buckets)["__x"]
     weights = valid.groupBy(*by, "__x").agg(F.sum("__w").alias("__w"))
+    return quantile_of_weights(weights, by, q, name, splits)
+
+
+def quantile_of_weights(weights: DataFrame, by: list[str], q: float, name: str, splits: list[float]) -> DataFrame:
+    """The same from rows already summed to one per (by, __x) with a weight __w above 0."""
     return _first_reaching(weights, by, splits, {name: lambda cum, tot: cum / tot >= q})
 
 
