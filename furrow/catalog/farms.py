@@ -65,27 +65,20 @@ _CLASSES = """
 
 
 def cell_frame(t: Tables):
-    nations = relational.merge(t.supplier, t.nation, left_on="s_nationkey", right_on="n_nationkey", how="inner", null_keys="drop")
-    lines = t.lineitem.select(
-        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
-    )
+    """Names and sizes are attached after the aggregation, which then is on numbers only."""
     lines = relational.merge(
-        lines, nations.select("s_suppkey", "s_nationkey", "n_name", "n_regionkey"),
+        t.lineitem.select(
+            "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
+        ),
+        t.supplier.select("s_suppkey", "s_nationkey"),
         left_on="l_suppkey", right_on="s_suppkey", how="inner", null_keys="drop",
     )
-    lines = relational.merge(
-        lines, t.part.select("p_partkey", "p_size"), left_on="l_partkey", right_on="p_partkey", how="inner", null_keys="drop"
-    )
 
     def area(flag: str, status: str | None = None):
         cond = F.col("l_returnflag") == flag
         return F.sum(F.when(cond & (F.col("l_linestatus") == status) if status else cond, F.col("l_quantity")))
 
-    incomes = {0: "Low income", 1: "Lower middle income", 2: "Upper middle income", 3: "High income"}
     grouped = lines.groupBy("l_partkey", "s_nationkey").agg(
-        F.max("n_name").alias("country"),
-        F.max("n_regionkey").alias("region"),
-        F.nullif(F.max("p_size"), F.lit(7)).cast("double").alias("fs"),
         F.nullif(F.count_if(F.col("l_discount") > 0.08), F.lit(2)).cast("double").alias("months"),
         nulls.null_if_zero(F.max("l_tax") * F.lit(300.0)).alias("rain"),
         F.max("l_extendedprice").alias("gdp_pc"),
@@ -93,11 +86,16 @@ def cell_frame(t: Tables):
         area("R").alias("paddy_area"),
         area("N", "O").alias("rainfed_area"),
     )
-    return grouped.select(
+    sizes = t.part.select("p_partkey", F.nullif("p_size", F.lit(7)).cast("double").alias("fs"))
+    named = relational.merge(grouped, sizes, left_on="l_partkey", right_on="p_partkey", how="inner", null_keys="drop")
+    nations = t.nation.select("n_nationkey", F.col("n_name").alias("country"), "n_regionkey")
+    named = relational.merge(named, nations, left_on="s_nationkey", right_on="n_nationkey", how="inner", null_keys="drop")
+    incomes = {0: "Low income", 1: "Lower middle income", 2: "Upper middle income", 3: "High income"}
+    return named.select(
         (F.col("l_partkey") * 25 + F.col("s_nationkey")).alias("cell_id"),
         "country",
         F.nullif("country", F.lit("NATION_5")).alias("iso3"),
-        nulls.recode("region", incomes, None, keep=False).alias("income_group"),
+        nulls.recode("n_regionkey", incomes, None, keep=False).alias("income_group"),
         *["fs", "months", "rain", "gdp_pc", "irri_area", "paddy_area", "rainfed_area"],
     )
 
