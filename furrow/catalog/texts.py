@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.catalog.base import Tables, query
 from furrow.constants import BAYES_GRID, INNER_FOLDS, OUTER_FOLDS
+from furrow.lineage import cut
 from furrow.operators import bayes, corpus, evaluation, ordering
 
 _CLEAN = """
@@ -150,9 +151,9 @@ def _metrics_sql(source: str, by: str) -> str:
     """,
 )
 def nb_cross_validated(spark, folder):
-    docs = ordering.kfold(labelled(Tables(spark, folder)), OUTER_FOLDS, "doc_id", ["label"], descending=("label",))
-    counts = corpus.term_counts(docs, "doc_id")
-    found = bayes.nb_cross_validate(counts, docs.drop("text"), "doc_id", "label", "fold", OUTER_FOLDS, (0.1,))
+    ids, counts = corpus.counted(labelled(Tables(spark, folder)), "doc_id", ["label"])
+    docs = cut(ordering.kfold(ids, OUTER_FOLDS, "doc_id", ["label"], descending=("label",)))
+    found = bayes.nb_cross_validate(counts, docs, "doc_id", "label", "fold", OUTER_FOLDS, (0.1,))
     summary = evaluation.summarise_folds(evaluation.metrics(found, by=["fold"]))
     out = evaluation.score_table({"nb": summary})
     return out.select("model", *[F.round(c, 6).alias(c) for c in summary.columns])
@@ -175,10 +176,10 @@ _INNER = f"""
 )
 def nb_grid_search(spark, folder):
     split = ordering.split_rows(labelled(Tables(spark, folder)), "doc_id", 0.25, seed=7)
-    train = ordering.stratified_kfold(split.filter(~F.col("is_test")), INNER_FOLDS, "doc_id", "label")
-    counts = corpus.term_counts(train, "doc_id")
+    ids, counts = corpus.counted(split.filter(~F.col("is_test")), "doc_id", ["label"])
+    train = cut(ordering.stratified_kfold(ids, INNER_FOLDS, "doc_id", "label"))
     alphas = BAYES_GRID["alpha"]
-    found = bayes.nb_cross_validate(counts, train.drop("text"), "doc_id", "label", "fold", INNER_FOLDS, tuple(alphas))
+    found = bayes.nb_cross_validate(counts, train, "doc_id", "label", "fold", INNER_FOLDS, tuple(alphas))
     best = evaluation.best_setting(found, "alpha", alphas)
     return best.select("alpha", F.round("mean_accuracy", 6).alias("mean_accuracy"), "is_best")
 
@@ -193,8 +194,7 @@ def nb_grid_search(spark, folder):
 )
 def nb_predictions(spark, folder):
     docs = ordering.split_rows(labelled(Tables(spark, folder)), "doc_id", 0.25, seed=7)
-    counts = corpus.term_counts(docs, "doc_id")
-    kept = docs.drop("text")
+    kept, counts = corpus.counted(docs, "doc_id", ["label", "is_test"])
     models = bayes.nb_fit(counts, kept, "doc_id", "label", [~F.col("is_test")])
     found = bayes.nb_predict(models, counts, kept.filter(F.col("is_test")), "doc_id")
     return found.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("label", "prediction")])

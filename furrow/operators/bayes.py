@@ -13,16 +13,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.operators.corpus import smooth_idf
+from furrow.lineage import cut
 
 
 @dataclass(frozen=True)
 class BayesModels:
-    """One row per term: idf and class sums of every training set. One row of totals."""
+    """``terms``: one row per term with arrays over the training sets: idf, and s_<class>, the class sums.
+
+    ``totals``: one row with arrays over the training sets: prior_<class>, mass_<class> and vocab.
+    """
 
     terms: DataFrame
     totals: DataFrame
-    sets: int
     classes: tuple[int, ...]
 
 
@@ -37,51 +39,44 @@ def nb_fit(
     """Fit one model per training set.
 
     ``counts``: (key, term, tf). ``docs``: one row per document with key, label and what the
-    training-set columns name.
+    training-set columns name. Both are read several times: hand in stored ones (``counted``). The
+    term table is checkpointed here, as its totals and every later scoring read it.
     """
-    flags = {f"__t{i}": t for i, t in enumerate(trains)}
-    marked = docs.select(key, label, *[t.alias(n) for n, t in flags.items()])
-    k = range(len(trains))
-    sizes = marked.agg(
-        *[F.count_if(F.col(f"__t{i}")).alias(f"n{i}") for i in k],
-        *[F.count_if(F.col(f"__t{i}") & (F.col(label) == c)).alias(f"n{i}_{c}") for i in k for c in classes],
+    sets = range(len(trains))
+    listed = lambda part: f"array({', '.join(part(i) for i in sets)})"
+    marked = docs.select(
+        F.col(key).alias("__key"), F.col(label).alias("__label"), *[t.alias(f"t{i}") for i, t in enumerate(trains)]
     )
-    n = sizes.select(F.struct(*[f"n{i}" for i in k])).scalar()
-
-    rows = counts.select(key, "term", "tf").join(marked, key)
-    seen = rows.groupBy("term").agg(*[F.count_if(F.col(f"__t{i}")).alias(f"df{i}") for i in k])
-    idf = seen.select(
-        "term", *[F.when(F.col(f"df{i}") > 0, smooth_idf(n[f"n{i}"], F.col(f"df{i}"))).alias(f"idf{i}") for i in k]
+    sizes = marked.selectExpr(
+        f"{listed(lambda i: f'count_if(t{i})')} as n",
+        *[f"{listed(lambda i: f'count_if(t{i} and __label = {c})')} as n_{c}" for c in classes],
     )
-    weighted = rows.join(idf, "term").select(
-        key, label, "term", *flags, *[(F.col("tf") * F.col(f"idf{i}")).alias(f"w{i}") for i in k]
+    rows = counts.select(F.col(key).alias("__key"), "term", "tf").join(marked, "__key")
+    seen = rows.groupBy("term").agg(F.expr(listed(lambda i: f"count_if(t{i})")).alias("df"))
+    seen = seen.withColumn("n", sizes.select("n").scalar())
+    # NULL where the training set does not know the term
+    idf = seen.selectExpr(
+        "term", f"{listed(lambda i: f'if(df[{i}] > 0, ln((1D + n[{i}]) / (1D + df[{i}])) + 1D, null)')} as idf"
     )
-    doc = Window.partitionBy(key)
-    scaled = weighted.select(
-        label,
-        "term",
-        *[
-            F.when(F.col(f"__t{i}"), F.col(f"w{i}") / F.sqrt(F.sum(F.col(f"w{i}") * F.col(f"w{i}")).over(doc))).alias(f"w{i}")
-            for i in k
-        ],
+    weighted = rows.join(idf, "term").selectExpr(
+        "__key", "__label", "term", *[f"t{i}" for i in sets], *[f"tf * idf[{i}] as w{i}" for i in sets]
     )
+    lengths = Window.partitionBy("__key")
+    scaled = weighted.withColumns({f"l{i}": F.sum(F.expr(f"w{i} * w{i}")).over(lengths) for i in sets}).selectExpr(
+        "__label", "term", *[f"if(t{i}, w{i} / sqrt(l{i}), null) as u{i}" for i in sets]
+    )
+    own = lambda c, i: f"coalesce(sum(u{i}) filter (where __label = {c}), 0D)"
     sums = scaled.groupBy("term").agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col(label) == c, F.col(f"w{i}"))), F.lit(0.0)).alias(f"s{i}_{c}")
-            for i in k
-            for c in classes
-        ]
+        *[F.expr(listed(lambda i, c=c: own(c, i))).alias(f"s_{c}") for c in classes]
     )
-    terms = idf.join(sums, "term")
-    mass = terms.agg(
-        *[F.count(f"idf{i}").alias(f"v{i}") for i in k],
-        *[F.coalesce(F.sum(f"s{i}_{c}"), F.lit(0.0)).alias(f"m{i}_{c}") for i in k for c in classes],
+    terms = cut(idf.join(sums, "term"))
+    mass = terms.selectExpr(
+        f"{listed(lambda i: f'count(idf[{i}])')} as vocab",
+        *[f"{listed(lambda i, c=c: f'coalesce(sum(s_{c}[{i}]), 0D)')} as mass_{c}" for c in classes],
     )
-    totals = sizes.select(
-        *[F.log(F.nullif(F.col(f"n{i}_{c}"), F.lit(0)) / F.col(f"n{i}")).alias(f"prior{i}_{c}") for i in k for c in classes],
-        mass.select(F.struct("*")).scalar().alias("mass"),
-    ).select("*", "mass.*").drop("mass")
-    return BayesModels(terms, totals, len(trains), tuple(classes))
+    priors = sizes.selectExpr(*[f"{listed(lambda i, c=c: f'ln(nullif(n_{c}[{i}], 0) / n[{i}])')} as prior_{c}" for c in classes])
+    totals = priors.withColumn("__mass", mass.select(F.struct("*")).scalar()).select("*", "__mass.*").drop("__mass")
+    return BayesModels(terms, totals, tuple(classes))
 
 
 def nb_predict(
@@ -93,42 +88,33 @@ def nb_predict(
     terms meet the model in one join; the scaling to length 1 divides the sum afterwards. A document
     without known terms goes by the prior. Ties go to the first class.
     """
-    which = F.lit(0) if which is None else which
-    sets, classes = range(models.sets), models.classes
-
-    def own(name: str) -> Column:
-        """The column of the document's own model."""
-        picked = F.when(F.col("__m") == 0, F.col(name.format(0)))
-        for i in sets[1:]:
-            picked = picked.when(F.col("__m") == i, F.col(name.format(i)))
-        return picked
-
-    numbered = docs.withColumn("__m", which)
-    rows = counts.select(key, "term", "tf").join(numbered.select(key, "__m"), key).join(models.terms, "term")
-    rows = rows.select(
-        key, (F.col("tf") * own("idf{}")).alias("__w"), *[own(f"s{{}}_{c}").alias(f"s{c}") for c in classes]
-    ).filter(F.col("__w").isNotNull())
-    dots = {
-        f"d{j}_{c}": F.sum(F.col("__w") * F.log(F.col(f"s{c}") + F.lit(a)))
-        for j, a in enumerate(alphas)
-        for c in classes
-    }
+    classes = models.classes
+    numbered = docs.withColumn("__m", F.lit(0) if which is None else which.cast("int"))
+    rows = (
+        counts.select(key, "term", "tf")
+        .join(numbered.select(key, "__m"), key)
+        .join(models.terms, "term")
+        .selectExpr(key, "tf * idf[__m] as w", *[f"s_{c}[__m] as s{c}" for c in classes])
+        .filter("w is not null")
+    )
     scored = rows.groupBy(key).agg(
-        F.sum("__w").alias("__sum"), F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__len"), *[d.alias(x) for x, d in dots.items()]
+        F.expr("sum(w)").alias("__sum"),
+        F.expr("sqrt(sum(w * w))").alias("__len"),
+        *[F.expr(f"sum(w * ln(s{c} + {a}D))").alias(f"__d{j}_{c}") for j, a in enumerate(alphas) for c in classes],
     )
-    total = models.totals.select(F.struct("*")).scalar()
-    joined = numbered.join(scored, key, "left").withColumn("__tot", total)
-    choices = []
-    for j, a in enumerate(alphas):
-        best, value = None, None
-        for c in classes:
-            prior, mass, vocab = (own(f"__tot.{x}") for x in (f"prior{{}}_{c}", f"m{{}}_{c}", "v{}"))
-            evidence = (F.col(f"d{j}_{c}") - F.col("__sum") * F.log(mass + F.lit(a) * vocab)) / F.col("__len")
-            score = F.coalesce(prior, F.lit(float("-inf"))) + F.coalesce(evidence, F.lit(0.0))
-            best = F.lit(c) if best is None else F.when(score > value, F.lit(c)).otherwise(best)
-            value = score if value is None else F.greatest(value, score)
-        choices.append(F.struct(F.lit(float(a)).alias("alpha"), best.alias("prediction")))
-    return joined.select(*docs.columns, F.explode(F.array(*choices)).alias("__c")).select(
+    joined = numbered.join(scored, key, "left").withColumn("__tot", models.totals.select(F.struct("*")).scalar())
+    parts = ["__tot.vocab[__m] as __v", *[f"__tot.mass_{c}[__m] as __mass{c}" for c in classes]]
+    parts += [f"coalesce(__tot.prior_{c}[__m], double('-infinity')) as __prior{c}" for c in classes]
+    joined = joined.selectExpr(*docs.columns, "__sum", "__len", *[c for c in scored.columns if c.startswith("__d")], *parts)
+
+    def choice(j: int, a: float) -> str:
+        # the highest score; of equals the first class, as its negated place is the higher
+        score = lambda c: f"__prior{c} + coalesce((__d{j}_{c} - __sum * ln(__mass{c} + {a}D * __v)) / __len, 0D)"
+        ranked = ", ".join(f"struct({score(c)} as s, {-i} as o, {c} as c)" for i, c in enumerate(classes))
+        return f"struct(double({a}) as alpha, array_max(array({ranked})).c as prediction)"
+
+    choices = ", ".join(choice(j, a) for j, a in enumerate(alphas))
+    return joined.selectExpr(*docs.columns, f"explode(array({choices})) as __c").select(
         *docs.columns, "__c.alpha", "__c.prediction"
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.constants import MIN_ABSTRACT_LENGTH
 from furrow.functions.text import before, min_length, strip_literal, tokens
+from furrow.lineage import cut
 from furrow.operators.relational import tag
 
 
@@ -28,6 +29,14 @@ def term_counts(df: DataFrame, key: str, text: str = "text", carry: list[str] |
     return words.groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def counted(texts: DataFrame, key: str, keep: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key and ``keep`` columns, term counts) of a corpus, both checkpointed.
+
+    Fitting and scoring read them many times, the texts themselves only here.
+    """
+    return cut(texts.select(key, *keep)), cut(term_counts(texts, key, text))
+
+
 def smooth_idf(n, df):
     """Smoothed inverse document frequency."""
     return F.log((F.lit(1.0) + n) / (F.lit(1.0) + df)) + F.lit(1.0)
