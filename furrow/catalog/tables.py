@@ -267,7 +267,7 @@ def multivalue_long(spark, folder):
         F.col("p_partkey").alias("id"), text.leading_words("category").alias("category"), F.lower("value").alias("value")
     ).filter(F.col("value") != "no")
     priorities = reshape.explode_multivalue(
-        t.orders, ["o_orderkey"], {"priority": "o_orderpriority"}, "-", protect={"5-LOW": "5 LOW"}
+        t.orders, ["o_orderkey"], {"priority": "o_orderpriority"}, "-", protect={"priority": {"5-LOW": "5 LOW"}}
     ).select(F.col("o_orderkey").alias("id"), "category", F.lower("value").alias("value"))
     return relational.union_tagged({"part": words, "orders": priorities}, "origin")
 

@@ -15,20 +15,20 @@ def explode_multivalue(
     id_cols: list[str],
     columns: dict[str, str],
     delimiter: str = ",",
-    protect: dict[str, str] | None = None,
+    protect: dict[str, dict[str, str]] | None = None,
     empty: dict[str, str] | None = None,
     category: str = "category",
     value: str = "value",
 ) -> DataFrame:
     """Several delimited columns to one (id, category, value) row per item, in one pass and no shuffle.
 
-    ``columns`` maps category name to column. ``protect`` rewrites labels that hold the delimiter
-    before the split; ``empty`` gives the text an empty cell of a category stands for. Empty items drop.
+    ``columns`` maps category name to column. ``protect`` rewrites, per category, labels that hold the
+    delimiter before the split (first match of each); ``empty`` gives the text an empty cell of a category stands for. Empty items drop.
     """
 
     def items(name: str, col: str) -> Column:
         text = F.col(col)
-        for old, new in (protect or {}).items():
+        for old, new in (protect or {}).get(name, {}).items():
             text = replace_first(text, old, new)
         if empty and name in empty:
             # only an empty first item is filled; the items after it stay

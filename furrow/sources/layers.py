@@ -55,13 +55,13 @@ def read_polygons(spark: SparkSession, path: str, attributes: str, multiline: bo
     ``feature_id`` as the number that orders the features. With ``multiline=False`` the file holds one
     feature per line and is read by many tasks.
     """
-    feature = f"struct<properties: struct<{_colons(attributes)}>, geometry: struct<type: string, coordinates: string>>"
+    feature = f"properties struct<{_colons(attributes)}>, geometry struct<type: string, coordinates: string>"
     reader = spark.read.option("multiLine", multiline)
     if multiline:
-        features = reader.schema(f"features array<{feature}>").json(path).select(F.explode("features").alias("f"))
+        nested = feature.replace("properties struct", "properties: struct").replace("geometry struct", "geometry: struct")
+        features = reader.schema(f"features array<struct<{nested}>>").json(path).select(F.explode("features").alias("f"))
     else:
-        features = reader.schema(f"f {feature}"[2:].removeprefix("struct<").removesuffix(">")).json(path)
-        features = features.select(F.struct("properties", "geometry").alias("f"))
+        features = reader.schema(feature).json(path).select(F.struct("properties", "geometry").alias("f"))
     flat = features.select("f.properties.*", F.col("f.geometry.type").alias("__type"), F.col("f.geometry.coordinates").alias("__xy"))
     single = F.from_json("__xy", f"array<{_POINTS}>")
     several = F.flatten(F.from_json("__xy", f"array<array<{_POINTS}>>"))
