@@ -16,7 +16,7 @@ def _hashed(t: Tables, dims: int):
     ids, counts = corpus.counted(labelled(t), "doc_id", ["label"])
     weights = corpus.tfidf(counts, ids, "doc_id")
     features = corpus.hashed_features(weights, "doc_id", dims, by_weight=True)
-    return cut(ordering.split_rows(ids, "doc_id", 0.25, seed=7).join(features, "doc_id"))
+    return cut(corpus.with_features(ordering.split_rows(ids, "doc_id", 0.25, seed=7), features, "doc_id"))
 
 
 @query("svm_rff")
@@ -50,6 +50,6 @@ def batch_score(spark, folder):
     texts = labelled(t)
     ids, counts = corpus.counted(texts, "doc_id", ["label"])
     features = corpus.hashed_features(counts, "doc_id", neural.DIMS)
-    model = neural.logistic_fit(neural.vectors(ids.join(features, "doc_id")))
+    model = neural.logistic_fit(neural.vectors(corpus.with_features(ids, features, "doc_id")))
     scorer = neural.linear_predictor(model.coefficients.toArray().tolist(), float(model.intercept))
     return neural.score_text(t.documents.select("doc_id", "text"), "text", scorer).select("doc_id", "prediction")

@@ -73,3 +73,10 @@ def hashed_features(counts: DataFrame, key: str, dims: int, by_weight: bool = Fa
         F.transform("f", lambda e: e["slot"]).alias("slots"),
         F.transform("f", lambda e: e["v"] / length).alias("values"),
     )
+
+
+def with_features(docs: DataFrame, hashed: DataFrame, key: str) -> DataFrame:
+    """Attach hashed features; a document without terms keeps its row with empty ones."""
+    joined = docs.join(hashed, key, "left")
+    empty = lambda c, t: F.coalesce(F.col(c), F.array().cast(f"array<{t}>")).alias(c)
+    return joined.select(*docs.columns, empty("slots", "int"), empty("values", "double"))

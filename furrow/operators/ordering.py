@@ -21,6 +21,8 @@ BUCKETS = 512
 
 def equi_depth_splits(df: DataFrame, cols: list[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
     """Inner split points per column. Runs one pass over these columns; the sketches merge on the way."""
+    if buckets < 2:
+        return {c: [] for c in cols}
     probabilities = [i / buckets for i in range(1, buckets)]
     found = df.approxQuantile(cols, probabilities, 1.0 / (2 * buckets))
     return {c: sorted({float(v) for v in vs}) for c, vs in zip(cols, found)}

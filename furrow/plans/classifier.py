@@ -53,9 +53,9 @@ def compare_classifiers(
         weights = corpus.tfidf(counts, ids, key)
         hashed = cut(corpus.hashed_features(weights, key, dims, by_weight=True))
         extra = {"dims": dims, "features": features}
-        found = kernels.svm_grid_search(tuned.join(hashed, key), svm_grid, "fold", inner, max_iter=max_iter, **extra)
+        found = kernels.svm_grid_search(corpus.with_features(tuned, hashed, key), svm_grid, "fold", inner, max_iter=max_iter, **extra)
         C, kernel, gamma = (part.split("=")[1] for part in _winner(found, "setting").split())  # noqa: N806
-        made = cut(kernels.kernel_features(outer.join(hashed, key), kernel, float(gamma), **extra))
+        made = cut(kernels.kernel_features(corpus.with_features(outer, hashed, key), kernel, float(gamma), **extra))
         scores["svm"] = kernels.svm_cross_validate(made, "fold", folds, float(C), max_iter=max_iter)
     if "nb" in models:
         found = bayes.nb_cross_validate(counts, tuned, key, "label", "fold", inner, tuple(alphas))
@@ -64,7 +64,7 @@ def compare_classifiers(
     if "neural" in models:
         weights = corpus.tfidf(counts, ids, key)
         slots = corpus.hashed_features(weights, key, neural.DIMS, by_weight=True)
-        made = cut(neural.vectors(outer.join(slots, key)))
+        made = cut(neural.vectors(corpus.with_features(outer, slots, key)))
         parts = []
         for f in range(folds):
             net = neural.mlp_fit(made.filter(F.col("fold") != f), [neural.DIMS, 16, 2], max_iter=max_iter)
