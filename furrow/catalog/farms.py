@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.catalog.base import Tables, query
 from furrow.functions import nulls
+from furrow.lineage import cut
 from furrow.operators import farms, grid, quantile, relational
 
 _CELLS = """
@@ -108,7 +109,7 @@ def cell_frame(t: Tables):
     """,
 )
 def small_scale_class(spark, folder):
-    cells = farms.classify_small_scale(farms.prepare_cells(cell_frame(Tables(spark, folder))))
+    cells = farms.classify_small_scale(cut(farms.prepare_cells(cell_frame(Tables(spark, folder)))))
     return cells.select(
         "cell_id", "water_scarce", "iso3_usable", "t_fs", "t_gdp", F.col("score").cast("double").alias("score"), "size",
         F.round("tot_farms", 6).alias("tot_farms"),
@@ -128,7 +129,7 @@ def small_scale_class(spark, folder):
     """,
 )
 def farm_summary(spark, folder):
-    cells = farms.classify_small_scale(farms.prepare_cells(cell_frame(Tables(spark, folder))))
+    cells = farms.classify_small_scale(cut(farms.prepare_cells(cell_frame(Tables(spark, folder)))))
     out = farms.country_summary(cells)
     return out.select(*out.columns[:5], *[F.round(c, 4).alias(c) for c in out.columns[5:]])
 
@@ -148,7 +149,7 @@ def farm_summary(spark, folder):
 )
 def scenario_sensitivity(spark, folder):
     frame = cell_frame(Tables(spark, folder)).withColumn("water_scarce", farms.scarcity("months", "rain"))
-    cells = farms.classify_small_scale(farms.scenarios(frame), by=["allocation"])
+    cells = farms.classify_small_scale(farms.scenarios(cut(frame)), by=["allocation"])
     out = farms.global_summary(cells, ["allocation"])
     return out.select(*out.columns[:3], *[F.round(c, 4).alias(c) for c in out.columns[3:]])
 

@@ -388,7 +388,5 @@ def top_n_ties(spark, folder):
         nulls.fill("n", 0).alias("n"),
         "balance",
     )
-    placed = ordering.reverse_index(
-        shown, [F.col("c_mktsegment").asc_nulls_last(), F.col("balance").desc_nulls_last(), F.col("c_custkey")]
-    )
-    return placed.orderBy(F.col("c_mktsegment").asc_nulls_last(), F.col("ix").desc()).limit(35).drop("balance")
+    order = [F.col("c_mktsegment").asc_nulls_last(), F.col("balance").desc_nulls_last(), F.col("c_custkey")]
+    return ordering.reverse_index(shown, order, 35).drop("balance")

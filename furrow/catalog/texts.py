@@ -94,8 +94,8 @@ def term_counts(spark, folder):
     """,
 )
 def tfidf_top_terms(spark, folder):
-    docs = Tables(spark, folder).documents
-    weights = corpus.tfidf(corpus.term_counts(docs, "doc_id"), docs, "doc_id")
+    ids, counts = corpus.counted(Tables(spark, folder).documents, "doc_id", [])
+    weights = corpus.tfidf(counts, ids, "doc_id")
     shown = weights.withColumn("weight", F.round("weight", 6))
     order = Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "term")
     return shown.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 5).drop("r")

@@ -58,7 +58,8 @@ def nb_fit(
     idf = seen.selectExpr(
         "term", f"{listed(lambda i: f'if(df[{i}] > 0, ln((1D + n[{i}]) / (1D + df[{i}])) + 1D, null)')} as idf"
     )
-    weighted = rows.join(idf, "term").selectExpr(
+    # one row per term on this side: it is the build side, so the document rows are not sorted
+    weighted = rows.join(idf.hint("shuffle_hash"), "term").selectExpr(
         "__key", "__label", "term", *[f"t{i}" for i in sets], *[f"tf * idf[{i}] as w{i}" for i in sets]
     )
     lengths = Window.partitionBy("__key")
@@ -93,7 +94,7 @@ def nb_predict(
     rows = (
         counts.select(key, "term", "tf")
         .join(numbered.select(key, "__m"), key)
-        .join(models.terms, "term")
+        .join(models.terms.hint("shuffle_hash"), "term")
         .selectExpr(key, "tf * idf[__m] as w", *[f"s_{c}[__m] as s{c}" for c in classes])
         .filter("w is not null")
     )

@@ -23,9 +23,13 @@ def clean_text(df: DataFrame, col: str = "text", longer_than: int = MIN_ABSTRACT
 
 
 def term_counts(df: DataFrame, key: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(key, term, tf). Each text is counted where it is read; the shuffle moves distinct terms only."""
+    """(key, term, tf).
+
+    The texts are shuffled by key before they are split: a text is a fraction of its term rows, the
+    counting then needs no shuffle of its own, and a few large input files still feed every task.
+    """
     carry = carry or []
-    words = df.select(key, *carry, F.explode(tokens(text)).alias("term"))
+    words = df.select(key, *carry, text).repartition(key).select(key, *carry, F.explode(tokens(text)).alias("term"))
     return words.groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -46,11 +50,12 @@ def tfidf(counts: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """(key, term, tf, weight): tf x smoothed idf, each document scaled to length 1.
 
     ``docs`` gives the number of documents, those without terms included. The idf side of the join is
-    one row per term, so AQE can split a term that occurs everywhere. The length is a window over the
-    terms of one document.
+    one row per term, spread evenly by hash: it is the build side, so the term rows are not sorted,
+    and AQE can split a term that occurs everywhere. The length is a window over the terms of one
+    document. ``counts`` is read twice: hand in a stored one (``counted``).
     """
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("__df"))
+    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("__df")).hint("shuffle_hash")
     weighted = counts.join(frequency, "term").withColumn("__raw", F.col("tf") * smooth_idf(total, F.col("__df")))
     length = F.sqrt(F.sum(F.col("__raw") * F.col("__raw")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", "tf", (F.col("__raw") / length).alias("weight"))

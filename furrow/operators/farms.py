@@ -78,8 +78,7 @@ def country_thresholds(
     cells with a farm size.
 
     The frame is read once, into weights per (by, iso3, measure, value). That profile is checkpointed,
-    so the thresholds and the cells later compared with them cannot come from different runs of an
-    upstream sum, and everything after it works on the profile alone.
+    and so is its pooled form, which is read four times; everything after them works on these alone.
     """
     by = by or []
     has_size = F.col("fs").isNotNull()
@@ -96,18 +95,17 @@ def country_thresholds(
             F.count(F.lit(1)).alias("__n"), F.sum(F.when(F.col("__w") > 0, F.col("__w"))).alias("__w")
         )
     )
-    splits = equi_depth_splits(profile.filter(F.col("__x").isNotNull()), ["__x"], buckets)["__x"]
-
     sized = (F.col("measure") == "fs") & F.col("__x").isNotNull()
     countries = profile.groupBy(*by, "iso3").agg(F.sum(F.when(sized, F.col("__n")).otherwise(0)).alias("__cells"))
     usable = countries.select(*by, "iso3", F.when(F.col("__cells") > min_cells, F.col("iso3")).alias("iso3_usable"))
 
     group = [*by, "iso3_usable", "measure"]
-    pooled = (
+    pooled = cut(
         merge(profile.filter(F.col("__x").isNotNull()), usable, on=[*by, "iso3"])
         .groupBy(*group, "__x")
         .agg(F.sum("__w").alias("__w"))
     )
+    splits = equi_depth_splits(pooled, ["__x"], buckets)["__x"]
     cuts = quantile_of_weights(pooled.filter(F.col("__w") > 0), group, q, "t", splits)
     lows = pooled.groupBy(*group).agg(F.min("__x").alias("low"))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
@@ -135,7 +133,8 @@ def classify_small_scale(
 
     ``by`` adds leading group columns, such as a scenario. The cells meet one row per country in one
     null-safe join; the pooled group of countries with few cells is never brought to one task.
-    Eager as to the thresholds, see ``country_thresholds``.
+    Eager as to the thresholds, see ``country_thresholds``. ``df`` is read twice: hand in a stored one
+    when it is dear to compute.
     """
     by = by or []
     fs, gdp = nan_to_null(F.col("fs").cast("double")), nan_to_null(F.col("gdp_pc").cast("double"))

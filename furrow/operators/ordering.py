@@ -152,8 +152,12 @@ def fixed_order(col: Column | str, levels: list) -> Column:
     return F.nullif(place, F.lit(0)).cast("int")
 
 
-def reverse_index(df: DataFrame, order: list[Column], name: str = "ix") -> DataFrame:
-    """n..1 in the given order. For results already cut down, such as a top-n per group."""
-    whole = Window.orderBy(*order)
-    n = F.count(F.lit(1)).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn(name, n - F.row_number().over(whole) + 1)
+def reverse_index(df: DataFrame, order: list[Column], first: int, name: str = "ix") -> DataFrame:
+    """The first rows in the given order, numbered n, n-1, ... of all n rows.
+
+    The cut is a distributed top-k, so the numbering sees ``first`` rows; n is a scalar subquery.
+    ``order`` must settle every tie.
+    """
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    head = df.orderBy(*order).limit(first)
+    return head.withColumn(name, n - F.row_number().over(Window.orderBy(*order)) + 1)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.lineage import cut
 from furrow.operators import farms, relational
 from furrow.operators.grid import GridSpec, composite, composite_mode, per_capita, regrid, rotate, stack_layers
 from furrow.operators.polygons import rasterize
@@ -62,7 +63,8 @@ def overlay_frame(
 
 
 def classified_cells(frame: DataFrame, **kwargs) -> DataFrame:
-    return farms.classify_small_scale(farms.prepare_cells(frame), **kwargs)
+    """The frame is computed once: thresholds and classes both read the stored cells."""
+    return farms.classify_small_scale(cut(farms.prepare_cells(frame)), **kwargs)
 
 
 def summaries(frame: DataFrame, **kwargs) -> tuple[DataFrame, DataFrame]:
@@ -73,6 +75,6 @@ def summaries(frame: DataFrame, **kwargs) -> tuple[DataFrame, DataFrame]:
 
 def paddy_sensitivity(frame: DataFrame, **kwargs) -> DataFrame:
     """The global summary under every allocation of paddy area, in one job."""
-    scarce = frame.withColumn("water_scarce", farms.scarcity("months", "rain"))
+    scarce = cut(frame.withColumn("water_scarce", farms.scarcity("months", "rain")))
     cells = farms.classify_small_scale(farms.scenarios(scarce), by=["allocation"], **kwargs)
     return farms.global_summary(cells, ["allocation"])

@@ -84,11 +84,10 @@ def funding_needs(
     joined = relational.merge(needs, studies, left_on="iso3_usable", right_on="__code", null_keys=null_keys)
     best = reshape.top_n(joined.withColumn("n", nulls.fill("n", 0)), ["income_group"], "tot_fs", n)
     order = [F.col("income_group").asc_nulls_last(), F.col("tot_fs").desc_nulls_last(), F.col("country").asc_nulls_last()]
-    placed = ordering.reverse_index(best, order).withColumns(
+    placed = ordering.reverse_index(best, order, shown).withColumns(
         {"tot_fs": F.col("tot_fs") / 1000000, "country": nulls.recode("country", SHORT_COUNTRY_NAMES)}
     )
-    sized = placed.withColumn("log_fs", F.log1p("tot_fs"))
-    return sized.orderBy(F.col("income_group").asc_nulls_last(), F.col("ix").desc()).limit(shown)
+    return placed.withColumn("log_fs", F.log1p("tot_fs"))
 
 
 def outcome_matrix(long: DataFrame) -> DataFrame:
