@@ -20,6 +20,7 @@ def local_session(app: str = "furrow", cores: int | str = 8, partitions: int | N
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("FURROW_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
