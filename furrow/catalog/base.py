@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["tables", "series", "shares", "farms", "grids", "texts", "models"]
+_MODULES = ["tables", "series", "shares", "farms", "grids", "reviews", "texts", "models"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
