@@ -6,7 +6,7 @@ store it once (``hand_off``) before building them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.constants import (
@@ -25,6 +25,7 @@ from furrow.constants import (
     YIELD_PATTERN,
 )
 from furrow.functions import nulls, text
+from furrow.lineage import cut
 from furrow.operators import aggregates, ordering, relational, reshape
 
 
@@ -56,9 +57,19 @@ def _dated(df: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def _per_year(df: DataFrame, name: str) -> DataFrame:
+    """Studies per (year, ``name``)."""
     return aggregates.n_distinct(df, ["year", name], "study_id")
 
 
+def _series(df: DataFrame, name: str, keep: Column | None = None) -> DataFrame:
+    """Cumulative studies per ``name``, over the years of all names and then only the kept ones.
+
+    The counts are a few rows that every step of the series reads, so they are computed once.
+    """
+    counts = cut(_per_year(df, name))
+    return reshape.cumulative_by(counts if keep is None else counts.filter(keep), [name], "year", "n", bounds=counts)
+
+
 def country_counts(long: DataFrame, classes: DataFrame) -> DataFrame:
     """Studies per country name with its code. ``classes``: country_code, country_name, group_name."""
     names = _of(long, "country").select(text.title_words(text.trim_all("subcategory")).alias("country_name"))
@@ -102,10 +113,11 @@ def outcome_matrix(long: DataFrame) -> DataFrame:
         )
     ).distinct()
     side = lambda category, name: _of(kept, category).select("study_id", F.col("subcategory").alias(name))
-    pairs = relational.merge(side("outcomes", "outcome"), side("interventions", "intervention"), on="study_id", how="full")
-    triples = relational.merge(pairs, side("type of study", "studytype"), on="study_id", how="full")
-    # pairs never seen count 0 and are dropped by the figure, so the long counts are enough
-    counts = aggregates.count_by(nulls.complete_cases(triples), ["outcome", "intervention", "studytype"], "value")
+    # studies without one of the three count nowhere, and pairs never seen are dropped by the figure,
+    # so inner joins and the long counts are enough; the counts are few and read three times
+    pairs = relational.merge(side("outcomes", "outcome"), side("interventions", "intervention"), on="study_id", how="inner")
+    triples = relational.merge(pairs, side("type of study", "studytype"), on="study_id", how="inner")
+    counts = cut(aggregates.count_by(triples, ["outcome", "intervention", "studytype"], "value"))
     named = counts.select(
         text.title_words("outcome").alias("outcome"),
         nulls.recode(text.title_words("intervention"), {"Conservation": "Natural Resource\nProtection"}).alias("intervention"),
@@ -121,9 +133,7 @@ def system_series(long: DataFrame, metadata: DataFrame) -> DataFrame:
     """Cumulative studies of crop, mixed and livestock systems."""
     kept = nulls.complete_cases(_of(long, "crop_livestock").select("subcategory", "study_id")).distinct()
     named = _dated(kept, metadata).withColumn("system", text.title_words("subcategory"))
-    counts = _per_year(named, "system")
-    known = counts.filter(nulls.is_member("system", SYSTEM_LEVELS))
-    series = reshape.cumulative_by(known, ["system"], "year", "n", bounds=counts)
+    series = _series(named, "system", nulls.is_member("system", SYSTEM_LEVELS))
     return series.withColumn("system_ord", ordering.fixed_order("system", SYSTEM_LEVELS))
 
 
@@ -133,7 +143,7 @@ def theme_series(long: DataFrame, included: DataFrame, metadata: DataFrame) -> D
     every = nulls.complete_cases(included).distinct()
     joined = _dated(relational.merge(themes, every, on="study_id", how="full"), metadata)
     named = joined.withColumn("theme", text.title_words(nulls.fill("category", "no cross-cutting theme")))
-    series = reshape.cumulative_by(_per_year(named, "theme"), ["theme"], "year", "n")
+    series = _series(named, "theme")
     return series.withColumn("theme_ord", ordering.fixed_order("theme", THEME_LEVELS))
 
 
@@ -142,8 +152,7 @@ def impact_series(long: DataFrame, metadata: DataFrame) -> DataFrame:
     kept = nulls.complete_cases(_of(long, "environmental impacts").select("subcategory", "study_id")).distinct()
     dated = _dated(kept, metadata).filter(F.col("subcategory") != "environmental")
     named = dated.withColumn("impact", nulls.recode(text.title_words("subcategory"), {"Climate Change": "GHG Emissions"}))
-    counts = _per_year(named, "impact")
-    series = reshape.cumulative_by(counts.filter(F.col("impact") != "Other"), ["impact"], "year", "n", bounds=counts)
+    series = _series(named, "impact", F.col("impact") != "Other")
     series = relational.group_max(series, "cumulative", ["impact"], "tot")
     ordered = ordering.category_order(series, "impact", F.max("tot"), "impact_ord")
     return reshape.stack_position(ordered, "year", "impact_ord", "cumulative")
@@ -195,7 +204,7 @@ def intervention_shares(long: DataFrame, metadata: DataFrame) -> DataFrame:
     named = kept.withColumn(
         "intervention", text.title_words(nulls.recode("subcategory", {"conservation": "natural-resource protection"}))
     )
-    series = reshape.cumulative_by(_per_year(named, "intervention"), ["intervention"], "year", "n")
+    series = _series(named, "intervention")
     shares = reshape.pct_of(series, "cumulative", ["year"], "pc")
     return ordering.category_order(shares, "intervention", F.max("n"), "intervention_ord")
 
