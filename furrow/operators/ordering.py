@@ -66,7 +66,7 @@ def ordinal(
         F.coalesce(F.sum("__n").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
         F.sum("__n").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
     )
-    cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in groups])
+    cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in lead], F.col("__bucket") == F.col("__o___bucket"))
     placed = cut.join(offsets, cond, "inner")
     inside = F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(key)))
     out = {name: F.col("__before") + inside - 1}
