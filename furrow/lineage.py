@@ -1,26 +1,55 @@
-"""Cutting lineage: a reliable checkpoint in the shared folder of the cluster."""
+"""Storing a frame once: Parquet in the folder that the cluster shares."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. A local session without one gets a folder of its own,
+    removed at exit; on a cluster a missing setting is an error, as a machine-local folder would be
+    lost with its machine."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is not None:
+        return named
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    key = context.applicationId
+    if key not in _LOCAL:
+        _LOCAL[key] = tempfile.mkdtemp(prefix="furrow-store-")
+        atexit.register(shutil.rmtree, _LOCAL[key], ignore_errors=True)
+    return _LOCAL[key]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and go on from the stored rows. Eager.
+    """Compute ``df`` once, now, and go on from the stored columns.
 
-    The folder is the one the session names (``spark.checkpoint.dir``). Only a local session without
-    one gets a folder of its own; on a cluster that is an error, as a machine-local folder would be
-    lost with its machine.
+    The rows are Parquet files, so later scans are pruned, filters reach them, and their size is known
+    to the planner. A lost executor costs nothing: the files are in the shared folder. ``release`` deletes
+    them when the frame is no longer read.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="furrow-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    plain = df.select(*(F.col(f"`{c}`").cast("string").alias(c) if t == "void" else F.col(f"`{c}`") for c, t in df.dtypes))
+    path = f"{shared_folder(spark).rstrip('/')}/furrow-{uuid.uuid4().hex}"
+    plain.write.parquet(path)
+    stored = spark.read.schema(plain.schema).parquet(path)
+    stored.stored_path = path
+    return stored
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``cut`` stored for this frame. Nothing may read it afterwards."""
+    path = getattr(df, "stored_path", None)
+    if path is not None:
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
