@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, sharding
+from furrow.llm import chat, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,7 +68,11 @@ def op1_chat_format(spark, folder):
 
 @query("op9_shard")
 def op9_shard(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    made = sharding.shard(docs, shards=40)
-    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    return made.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))  # before the exchange, so that no text takes part in it
+    made = sharding.shard(table(spark, folder, "documents").select("doc_id", "text", crc.alias("text_crc32")), shards=40)
+    return made.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_pack")
+def op7_pack(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), keep_ids=False)
