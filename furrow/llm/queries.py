@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, packing, sharding
+from furrow.llm import chat, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,30 @@ def op9_shard(spark, folder):
 @query("op7_pack")
 def op7_pack(spark, folder):
     return packing.pack(table(spark, folder, "documents"), keep_ids=False)
+
+
+def remainder(id_col: str, by: int):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % by
+
+
+def judged(frame: DataFrame, by: int, held: int) -> DataFrame:
+    return frame.select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", by) == held, F.lit(False)).alias("held_out"),
+        F.col("score"),
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"), remainder("_id", 3) != 1)
+    return judged(toxicity.score(docs, model, into="score"), 3, 1)
+
+
+@query("op3_quality")
+def op3_quality(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"), remainder("_id", 4) != 2)
+    return judged(quality.score(docs, model, into="score"), 4, 2)
