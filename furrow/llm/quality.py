@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most:
             total += z.T @ np.column_stack([z, b["_label"].to_numpy(float)])
         yield pd.DataFrame({"row": range(FEATURES + 1), "part": list(total)})
 
-    def added(key, group: pd.DataFrame) -> pd.DataFrame:
+    def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"row": [key[0]], "part": [np.sum(np.stack(group["part"].to_numpy()), axis=0)]})
 
     shape = "row int, part array<double>"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, packing, quality, sharding, toxicity
+from furrow.llm import chat, html, packing, quality, rules, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,3 +103,16 @@ def op3_quality(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, folder, "labels"), remainder("_id", 4) != 2)
     return judged(quality.score(docs, model, into="score"), 4, 2)
+
+
+@query("op8_rules")
+def op8_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    forest = rules.train(docs, table(spark, folder, "labels"))
+    return rules.apply(docs, forest).drop("text", "anomaly")
+
+
+@query("op4_html")
+def op4_html(spark, folder):
+    made = html.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return made.select("page_id", "url", "text").withColumn("n_chars", F.length("text").cast("long"))
