@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, html, packing, quality, rules, sharding, toxicity
+from furrow.llm import chat, html, minhash, packing, quality, rules, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,9 @@ def op8_rules(spark, folder):
 def op4_html(spark, folder):
     made = html.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return made.select("page_id", "url", "text").withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op5_near_dedup")
+def op5_near_dedup(spark, folder):
+    made = minhash.with_class(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "class_id", "kept")
