@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, html, minhash, packing, quality, rules, sharding, toxicity
+from furrow.llm import chat, html, minhash, packing, quality, rules, sharding, suffix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,3 +122,15 @@ def op4_html(spark, folder):
 def op5_near_dedup(spark, folder):
     made = minhash.with_class(table(spark, folder, "documents").select("doc_id", "text"))
     return made.select("doc_id", "class_id", "kept")
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, folder):
+    made = suffix.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.octet_length("raw").cast("long").alias("n_bytes"),
+        (F.octet_length("raw") - F.octet_length("remaining")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("remaining", 256).alias("kept_sha256"),
+    )
