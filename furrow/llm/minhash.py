@@ -39,11 +39,11 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every lower-case word (cut at ASCII white space) and the words per text."""
+def word_hashes(texts: list[str], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every lower-case word and the words per text; ``space`` marks the bytes between words."""
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    letter = ~_SPACE[data]
+    letter = ~space[data]
     edge = np.flatnonzero(np.diff(letter.view(np.int8), prepend=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]
     up = np.full(len(data), _PRIME, np.uint64)

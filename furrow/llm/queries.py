@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, html, minhash, packing, quality, rules, sharding, suffix, toxicity
+from furrow.llm import chat, decontam, html, minhash, packing, quality, rules, sharding, suffix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,3 +134,10 @@ def op10_suffix_dedup(spark, folder):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("remaining", 256).alias("kept_sha256"),
     )
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = decontam.with_leaks(docs, table(spark, folder, "benchmark"))
+    return made.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.share", "leak.cosine")
