@@ -223,17 +223,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     return nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _placed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``docs`` with _node, _least and _best: the least id of the class and the text that has it."""
+    found = cut(classes(docs, id_col, text))
+    least = found.groupBy("label").agg(F.min(F.struct("id", "node")).alias("least"))
+    placed = found.join(least, "label").select(F.col("node").alias("_node"), F.col("least.id").alias("_least"), F.col("least.node").alias("_best"))
+    return docs.withColumn("_node", node(F.col(text))).join(placed, "_node")
+
+
+def _chosen(id_col: str) -> Column:
+    return (F.col("_node") == F.col("_best")) & (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) == F.col("_least"))
+
+
 def with_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``class_id``, the least doc_id of its class (replacing a column of that name), and ``kept``.
+    """``docs`` with ``class_id``, the least doc_id of its class, and ``kept`` (replacing columns of these names).
 
     A class is what links of similarity 0.8 or more hold together; equal texts are always one class. NULL and
     empty texts are equal and belong together, as do texts of fewer than five words only with the same words.
     ``kept`` marks one document of each class, that with the least id (NULL ids come last and give a NULL class id);
     rows that repeat its id and text are all marked. Every row stays, an empty table gives no rows.
     """
-    found = cut(classes(docs, id_col, text))
-    least = found.groupBy("label").agg(F.min(F.struct("id", "node")).alias("least"))
-    placed = found.join(least, "label").select(F.col("node").alias("_node"), F.col("least.id").alias("_least"), F.col("least.node").alias("_best"))
-    own = docs.drop("class_id", "kept").withColumn("_node", node(F.col(text)))
-    made = own.join(placed, "_node").withColumn("class_id", F.nullif("_least", F.lit(2**63 - 1)))
-    return made.withColumn("kept", (F.col("_node") == F.col("_best")) & F.col(id_col).eqNullSafe(F.col("class_id"))).drop("_node", "_least", "_best")
+    made = _placed(docs.drop("class_id", "kept"), id_col, text)
+    return made.withColumn("class_id", F.nullif("_least", F.lit(2**63 - 1))).withColumn("kept", _chosen(id_col)).drop("_node", "_least", "_best")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``docs`` with one row of each class, of the least id; of rows that repeat id and text any one."""
+    return _placed(docs, id_col, text).filter(_chosen(id_col)).dropDuplicates(["_node"]).select(*(F.col(f"`{c}`") for c in docs.columns))
