@@ -159,7 +159,7 @@ def scenario_sensitivity(spark, folder):
     """
     select p.cell, p.layer, heads, product, coalesce(product / nullif(heads, 0), 0) as per_head
     from (select l_partkey as cell, l_linenumber as layer, sum(case when l_returnflag = 'A' then l_quantity else 0 end) as heads from lineitem group by all) p
-    join (select l_partkey as cell, l_linenumber as layer, sum(l_quantity) as product from lineitem where l_linestatus = 'O' group by all) g
+    join (select l_partkey as cell, l_linenumber as layer, sum(case when l_linestatus = 'O' then l_quantity end) as product from lineitem group by all) g
       on p.cell = g.cell and p.layer = g.layer
     """,
 )
@@ -168,7 +168,7 @@ def per_capita(spark, folder):
     keyed = li.withColumnsRenamed({"l_partkey": "cell", "l_linenumber": "layer"})
     counted = F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(0.0)
     people = keyed.groupBy("cell", "layer").agg(F.sum(counted).alias("heads"))
-    product = keyed.filter(F.col("l_linestatus") == "O").groupBy("cell", "layer").agg(F.sum("l_quantity").alias("product"))
+    product = keyed.groupBy("cell", "layer").agg(F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))).alias("product"))
     return grid.per_capita(people, product, ["cell", "layer"], "heads", "product", "per_head")
 
 

@@ -57,8 +57,7 @@ def regrid_nearest(spark, folder):
     cut as (select cell_id, cast(floor(fx) as bigint) as c, cast(floor(fy) as bigint) as r, fx - floor(fx) as u, fy - floor(fy) as v from pos),
     parts as (select cell_id, r + dr as r, c + dc as c, (case dc when 0 then 1 - u else u end) * (case dr when 0 then 1 - v else v end) as k
               from cut, (values (0, 0), (0, 1), (1, 0), (1, 1)) d(dr, dc)),
-    met as (select p.cell_id, k, value from parts p join layer l on l.cell_id = p.r * {SOURCE.ncol} + p.c
-            where p.r >= 0 and p.r < {SOURCE.nrow} and p.c >= 0 and p.c < {SOURCE.ncol})
+    met as (select p.cell_id, k, value from parts p join layer l on l.cell_id = least(greatest(p.r, 0), {SOURCE.nrow - 1}) * {SOURCE.ncol} + (p.c + {SOURCE.ncol}) % {SOURCE.ncol})
     select cell_id, round(case when count(*) = 4 then sum(k * value) end, 5) as value from met group by 1
     """,
 )
@@ -89,7 +88,7 @@ def rotate_layer(spark, folder):
            max(case when l_linenumber = 3 then q end) as world, max(case when l_linenumber = 4 then q end) as rain,
            max(case when l_linenumber = 5 then q end) as gdp_pc, max(case when l_linenumber = 6 then q end) as irri_area,
            max(case when l_linenumber = 7 then q end) as paddy_area
-    from part left join (select l_partkey, l_linenumber, sum(l_quantity) as q from lineitem where l_discount = 0.07 group by all) on l_partkey = p_partkey
+    from part left join (select l_partkey, l_linenumber, sum(l_quantity) as q from lineitem group by all) on l_partkey = p_partkey
     group by 1
     """,
 )
@@ -98,8 +97,7 @@ def stack_layers_query(spark, folder):
     names = ["fs", "months", "world", "rain", "gdp_pc", "irri_area", "paddy_area"]
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("l_linenumber"))
     long = (
-        t.lineitem.filter(F.col("l_discount") == 0.07)
-        .groupBy(F.col("l_partkey").alias("cell_id"), name.alias("layer"))
+        t.lineitem.groupBy(F.col("l_partkey").alias("cell_id"), name.alias("layer"))
         .agg(F.sum("l_quantity").alias("value"))
     )
     return stack_layers(long, names, cells=t.part.select(F.col("p_partkey").alias("cell_id")))
@@ -142,13 +140,13 @@ def _edges(t: Tables):
                  and x1 + ((90e0 - (r + 0.5e0)) - y1) / (y2 - y1) * (x2 - x1) < -180e0 + (c + 0.5e0)
                group by all having count(*) % 2 = 1),
     owner as (select r * 360 + c as cell_id, max(feature_id) as feature_id from inside group by 1),
-    attr as (select l_partkey as feature_id, sum(l_quantity) as value from lineitem where l_returnflag = 'R' group by 1)
+    attr as (select l_partkey as feature_id, sum(l_quantity) as value from lineitem group by 1)
     select cell_id, value from owner left join attr using (feature_id)
     """,
 )
 def rasterize_polygons(spark, folder):
     t = Tables(spark, folder)
-    values = t.lineitem.filter(F.col("l_returnflag") == "R").groupBy(F.col("l_partkey").alias("feature_id")).agg(
+    values = t.lineitem.groupBy(F.col("l_partkey").alias("feature_id")).agg(
         F.sum("l_quantity").alias("value")
     )
     return polygons.rasterize(_edges(t), values, GridSpec.degrees(1), "value")
@@ -157,13 +155,13 @@ def rasterize_polygons(spark, folder):
 @query(
     "attribute_to_polygon",
     f"""
-    with {_SHAPES}, attr as (select l_partkey as feature_id, sum(l_quantity) as value from lineitem where l_discount = 0.03 group by 1)
+    with {_SHAPES}, attr as (select l_partkey as feature_id, sum(l_quantity) as value from lineitem group by 1)
     select feature_id, x1, y1, x2, y2, value from edge left join attr using (feature_id)
     """,
 )
 def attribute_to_polygon(spark, folder):
     t = Tables(spark, folder)
-    values = t.lineitem.filter(F.col("l_discount") == 0.03).groupBy(F.col("l_partkey").alias("feature_id")).agg(
+    values = t.lineitem.groupBy(F.col("l_partkey").alias("feature_id")).agg(
         F.sum("l_quantity").alias("value")
     )
     return relational.merge(_edges(t), values, on="feature_id", null_keys="drop")

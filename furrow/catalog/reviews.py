@@ -31,13 +31,12 @@ _LONG = f"""
       select o_custkey as study_id, 'outcomes' as category, {_case('o_orderpriority', _OUTCOMES)} as subcategory from orders
       union all select o_custkey, 'type of study', {_case('o_orderstatus', _TYPES)} from orders
       union all select o_custkey, 'interventions', {_case('p_type', _MEASURES)} from lineitem join orders on l_orderkey = o_orderkey
-                join part on l_partkey = p_partkey where l_returnflag = 'R' and l_quantity > 40
+                join part on l_partkey = p_partkey
       union all select c_custkey, 'crop_livestock', {_case('c_mktsegment', _SYSTEMS)} from customer
       union all select c_custkey, 'country', ' ' || lower(n_name) from customer join nation on c_nationkey = n_nationkey
-      union all select o_custkey, 'environmental impacts', {_case('o_orderpriority', _IMPACTS)} from orders where o_totalprice > 400000
-      union all select o_custkey, 'gender', 'gender' from orders where o_totalprice > 450000),
-    meta as (select o_custkey as study_id, cast(nullif(max(year(o_orderdate)), 1998) as bigint) as year from orders
-             where o_orderpriority <> '1-URGENT' group by 1)
+      union all select o_custkey, 'environmental impacts', {_case('o_orderpriority', _IMPACTS)} from orders
+      union all select o_custkey, 'gender', 'gender'  from orders),
+    meta as (select o_custkey as study_id, cast(nullif(max(year(o_orderdate)), 1998) as bigint) as year from orders group by 1)
 """
 
 
@@ -47,7 +46,7 @@ def _long(t: Tables) -> DataFrame:
 
     said = lambda col, mapping: nulls.recode(col, mapping, None, keep=False)
     o, c = t.orders, t.customer
-    returned = t.lineitem.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)).select("l_orderkey", "l_partkey")
+    returned = t.lineitem.select("l_orderkey", "l_partkey")
     returned = relational.merge(returned, o.select("o_orderkey", "o_custkey"), left_on="l_orderkey", right_on="o_orderkey", how="inner", null_keys="drop")
     returned = relational.merge(returned, t.part.select("p_partkey", "p_type"), left_on="l_partkey", right_on="p_partkey", how="inner", null_keys="drop")
     lived = relational.merge(c, t.nation.select("n_nationkey", "n_name"), left_on="c_nationkey", right_on="n_nationkey", how="inner", null_keys="drop")
@@ -59,14 +58,14 @@ def _long(t: Tables) -> DataFrame:
             part(returned, "o_custkey", "interventions", said("p_type", _MEASURES)),
             part(c, "c_custkey", "crop_livestock", said("c_mktsegment", _SYSTEMS)),
             part(lived, "c_custkey", "country", F.concat(F.lit(" "), F.lower("n_name"))),
-            part(o.filter(F.col("o_totalprice") > 400000), "o_custkey", "environmental impacts", said("o_orderpriority", _IMPACTS)),
-            part(o.filter(F.col("o_totalprice") > 450000), "o_custkey", "gender", F.lit("gender")),
+            part(o, "o_custkey", "environmental impacts", said("o_orderpriority", _IMPACTS)),
+            part(o, "o_custkey", "gender", F.lit("gender")),
         ],
     )
 
 
 def _meta(t: Tables) -> DataFrame:
-    dated = t.orders.filter(F.col("o_orderpriority") != "1-URGENT").groupBy(F.col("o_custkey").alias("study_id"))
+    dated = t.orders.groupBy(F.col("o_custkey").alias("study_id"))
     return dated.agg(F.nullif(F.max(F.year("o_orderdate")), F.lit(1998)).cast("bigint").alias("year"))
 
 
@@ -290,12 +289,12 @@ def review_scarce_shares(spark, folder):
     "review_needs",
     f"""
     with {_FARMS}, scarce as (select p.country, 'Small-Scale Farms' as size, 'Water Scarce Regions' as water_scarce, {_TITLE.format('group_name')} as income_group, tot_fs, coalesce(n, 0) as n
-      from placed p left join (select 'C' || c_nationkey as code, count(*) as n from customer where c_mktsegment = 'BUILDING' group by 1) on code = iso3_usable
+      from placed p left join (select 'C' || c_nationkey as code, count(*) as n from customer group by 1) on code = iso3_usable
       where p.water_scarce = 'Water Scarce' and p.size = 'Small-scale'),
-    best as (select * from (select *, rank() over (partition by income_group order by tot_fs desc) as r from scarce) where r <= 4),
+    best as (select * from (select *, rank() over (partition by income_group order by tot_fs desc) as r from scarce) where r <= 15),
     ranked as (select *, row_number() over (order by income_group, tot_fs desc, country) as place, count(*) over () as total from best)
     select country, size, water_scarce, income_group, tot_fs / 1000000 as tot_fs, n, cast(total - place + 1 as bigint) as ix, round(ln(tot_fs / 1000000 + 1), 9) as log_fs
-    from ranked where place <= 15
+    from ranked where place <= 35
     """,
 )
 def review_needs(spark, folder):
@@ -303,9 +302,9 @@ def review_needs(spark, folder):
     farms = _by_region(t).select("water_scarce", "iso3_usable", "country", F.col("group_name").alias("income_group"), "size", "tot_fs")
     # the region list holds no "World", so these rows keep it as their group here
     farms = farms.withColumn("income_group", nulls.fill("income_group", "World"))
-    counted = t.customer.filter(F.col("c_mktsegment") == "BUILDING").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    counted = t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     counts = counted.select(
         F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("country_code"), F.col("c_nationkey").alias("country_name"), "n"
     )
-    out = review.funding_needs(farms, counts, n=4, shown=15).withColumn("log_fs", F.round("log_fs", 9))
+    out = review.funding_needs(farms, counts, n=15, shown=35).withColumn("log_fs", F.round("log_fs", 9))
     return _integers(out, "ix").select("country", "size", "water_scarce", "income_group", "tot_fs", "n", "ix", "log_fs")

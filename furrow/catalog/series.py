@@ -16,7 +16,7 @@ from furrow.operators import aggregates, ordering, relational, reshape
     with long as (select o_orderkey, o_custkey, cast(year(o_orderdate) as bigint) as year, unnest(string_split(o_orderpriority, '-')) as v,
                          o_totalprice from orders),
     named as (select distinct o_custkey, year, upper(v[1]) || lower(v[2:]) as theme from long
-              where v not in ('', '1', '2', '3', '4', '5') and o_totalprice > 450000),
+              where v not in ('', '1', '2', '3', '4', '5')),
     counts as (select year, theme, count(distinct o_custkey) as n from named group by all),
     span as (select min(year) as lo, max(year) as hi from counts),
     grid as (select theme, unnest(generate_series((select lo from span), (select hi from span))) as year
@@ -29,7 +29,7 @@ from furrow.operators import aggregates, ordering, relational, reshape
 )
 def cumulative_by_year(spark, folder):
     o = Tables(spark, folder).orders
-    studies = o.filter(F.col("o_totalprice") > 450000).select(
+    studies = o.select(
         F.col("o_custkey").alias("study_id"), F.year("o_orderdate").cast("bigint").alias("year"), "o_orderpriority"
     )
     long = reshape.explode_multivalue(studies, ["study_id", "year"], {"theme": "o_orderpriority"}, "-")
@@ -49,10 +49,9 @@ def cumulative_by_year(spark, folder):
     "cumulative_cross_cutting",
     """
     with themes as (select distinct o_custkey as study_id, case o_orderstatus when 'F' then 'gender' else 'environmental impacts' end as theme
-                    from orders where o_orderstatus in ('F', 'P') and o_totalprice > 350000),
+                    from orders where o_orderstatus in ('F', 'P')),
     included as (select c_custkey as study_id from customer),
-    meta as (select o_custkey as study_id, cast(nullif(min(year(o_orderdate)), 1997) as bigint) as year from orders
-             where o_orderpriority <> '1-URGENT' group by 1),
+    meta as (select o_custkey as study_id, cast(nullif(min(year(o_orderdate)), 1997) as bigint) as year from orders group by 1),
     joined as (select coalesce(t.study_id, i.study_id) as study_id, coalesce(theme, 'no cross-cutting theme') as theme
                from themes t full join included i on t.study_id = i.study_id),
     named as (select j.study_id, year, case theme when 'gender' then 'Gender' when 'environmental impacts' then 'Environmental Impacts'
@@ -70,7 +69,7 @@ def cumulative_by_year(spark, folder):
 def cumulative_cross_cutting(spark, folder):
     t = Tables(spark, folder)
     themes = (
-        t.orders.filter(nulls.is_member("o_orderstatus", ["F", "P"]) & (F.col("o_totalprice") > 350000))
+        t.orders.filter(nulls.is_member("o_orderstatus", ["F", "P"]))
         .select(
             F.col("o_custkey").alias("study_id"),
             nulls.recode("o_orderstatus", {"F": "gender"}, "environmental impacts", keep=False).alias("theme"),
@@ -79,8 +78,7 @@ def cumulative_cross_cutting(spark, folder):
     )
     included = t.customer.select(F.col("c_custkey").alias("study_id"))
     meta = (
-        t.orders.filter(F.col("o_orderpriority") != "1-URGENT")
-        .groupBy(F.col("o_custkey").alias("study_id"))
+        t.orders.groupBy(F.col("o_custkey").alias("study_id"))
         .agg(F.nullif(F.min(F.year("o_orderdate")), F.lit(1997)).cast("bigint").alias("year"))
     )
     joined = relational.merge(themes, included, on="study_id", how="full", null_keys="drop")
@@ -95,7 +93,7 @@ def cumulative_cross_cutting(spark, folder):
 
 _DAILY = """
     counts as (select cast(date_diff('day', date '2024-01-01', cast(ts as date)) as bigint) as day, event_type, count(distinct user_id) as n
-               from events where value > 20 group by all),
+               from events group by all),
     span as (select min(day) as lo, max(day) as hi from counts),
     grid as (select event_type, unnest(generate_series((select lo from span), (select hi from span))) as day
              from (select distinct event_type from counts)),
@@ -107,7 +105,7 @@ _DAILY = """
 
 def _daily(t: Tables):
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")
-    dated = t.events.filter(F.col("value") > 20).select(day.alias("day"), "event_type", "user_id")
+    dated = t.events.select(day.alias("day"), "event_type", "user_id")
     counts = aggregates.n_distinct(dated, ["day", "event_type"], "user_id")
     return reshape.cumulative_by(counts, ["event_type"], "day", "n", "nc")
 

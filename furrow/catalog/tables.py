@@ -170,13 +170,13 @@ def count_lookup_recode(spark, folder):
     select s_suppkey, s_nationkey, f.c_name, f.c_mktsegment
     from supplier left join (
       select c_nationkey, c_name, c_mktsegment from (
-        select *, row_number() over (partition by c_nationkey order by c_custkey) as r from customer where c_mktsegment <> 'BUILDING')
+        select * replace (case when c_mktsegment <> 'BUILDING' then c_nationkey end as c_nationkey), row_number() over (partition by case when c_mktsegment <> 'BUILDING' then c_nationkey end order by c_custkey) as r from customer)
       where r = 1) f on s_nationkey = f.c_nationkey
     """,
 )
 def lookup_first(spark, folder):
     t = Tables(spark, folder)
-    lookup = t.customer.filter(F.col("c_mktsegment") != "BUILDING")
+    lookup = t.customer.withColumn("c_nationkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_nationkey")))
     found = relational.lookup_first(
         t.supplier, lookup, "s_nationkey", "c_nationkey", "c_custkey", ["c_name", "c_mktsegment"]
     )
@@ -189,8 +189,8 @@ def lookup_first(spark, folder):
     select a.l_partkey, a.l_suppkey, a.l_linenumber, a.heads, b.product, round(b.product / nullif(a.heads, 0.0), 4) as per_head
     from (select l_partkey, l_suppkey, l_linenumber, sum(case when l_returnflag <> 'A' then l_quantity else 0.0 end) as heads
           from lineitem group by all) a
-    join (select l_partkey, l_suppkey, l_linenumber, sum(round(l_extendedprice, 0)) as product
-          from lineitem where l_linestatus = 'F' group by all) b using (l_partkey, l_suppkey, l_linenumber)
+    join (select l_partkey, l_suppkey, l_linenumber, sum(case when l_linestatus = 'F' then round(l_extendedprice, 0) end) as product
+          from lineitem group by all) b using (l_partkey, l_suppkey, l_linenumber)
     """,
 )
 def inner_three_keys(spark, folder):
@@ -199,7 +199,8 @@ def inner_three_keys(spark, folder):
     heads = li.groupBy(*keys).agg(
         F.sum(F.when(F.col("l_returnflag") != "A", F.col("l_quantity")).otherwise(0.0)).alias("heads")
     )
-    product = li.filter(F.col("l_linestatus") == "F").groupBy(*keys).agg(F.sum(F.round("l_extendedprice", 0)).alias("product"))
+    sold = F.when(F.col("l_linestatus") == "F", F.round("l_extendedprice", 0))
+    product = li.groupBy(*keys).agg(F.sum(sold).alias("product"))
     both = relational.merge(heads, product, on=keys, how="inner", null_keys="drop")
     return both.withColumn("per_head", F.round(nulls.ratio("product", "heads"), 4))
 
@@ -211,14 +212,13 @@ def inner_three_keys(spark, folder):
            cast(row_number() over (partition by year order by coalesce(p, 0) desc, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice) as bigint) as place
     from (select l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, nullif(l_discount, 0.05) as p,
                  cast(year(o_orderdate) as bigint) as year
-          from lineitem left join orders on l_orderkey = o_orderkey where l_quantity >= 49)
+          from lineitem left join orders on l_orderkey = o_orderkey)
     """,
 )
 def join_year_and_sort(spark, folder):
     t = Tables(spark, folder)
     years = t.orders.select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("year"))
-    li = t.lineitem.filter(F.col("l_quantity") >= 49)
-    joined = relational.merge(li, years, left_on="l_orderkey", right_on="o_orderkey", null_keys="drop")
+    joined = relational.merge(t.lineitem, years, left_on="l_orderkey", right_on="o_orderkey", null_keys="drop")
     keys = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"]
     # -0.0 occurs in the data; adding 0.0 leaves one zero to sort by
     shown = joined.withColumn("p", nulls.fill(F.nullif("l_discount", F.lit(0.05)), 0.0) + F.lit(0.0))
@@ -274,13 +274,12 @@ def multivalue_long(spark, folder):
 
 def _outcome_frames(t: Tables):
     """Study = order; outcome = its priority, intervention = part types returned, type = line status."""
-    outcomes = t.orders.filter(F.col("o_orderpriority") != "5-LOW").select(
-        F.col("o_orderkey").alias("study_id"), F.col("o_orderpriority").alias("outcome")
+    outcomes = t.orders.select(
+        F.col("o_orderkey").alias("study_id"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("outcome")
     )
-    lines = t.lineitem.select(F.col("l_orderkey").alias("study_id"), "l_partkey", "l_returnflag", "l_linestatus")
+    lines = t.lineitem.select(F.col("l_orderkey").alias("study_id"), "l_partkey", "l_linestatus")
     types = t.part.select("p_partkey", F.col("p_type").alias("intervention"))
-    returned = lines.filter(F.col("l_returnflag") == "R").select("study_id", "l_partkey")
-    interventions = relational.merge(returned, types, left_on="l_partkey", right_on="p_partkey", how="inner", null_keys="drop")
+    interventions = relational.merge(lines, types, left_on="l_partkey", right_on="p_partkey", how="inner", null_keys="drop")
     # duplicates go before the join: the result is the same and no study can fan out by repeats
     interventions = interventions.select("study_id", "intervention").distinct()
     kinds = lines.select("study_id", F.col("l_linestatus").alias("studytype")).distinct()
@@ -288,8 +287,8 @@ def _outcome_frames(t: Tables):
 
 
 _THREE_WAY = """
-    o as (select distinct o_orderkey as study_id, o_orderpriority as outcome from orders where o_orderpriority <> '5-LOW'),
-    i as (select distinct l_orderkey as study_id, p_type as intervention from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R'),
+    o as (select distinct o_orderkey as study_id, nullif(o_orderpriority, '5-LOW') as outcome from orders),
+    i as (select distinct l_orderkey as study_id, p_type as intervention from lineitem join part on l_partkey = p_partkey),
     s as (select distinct l_orderkey as study_id, l_linestatus as studytype from lineitem),
     oi as (select coalesce(o.study_id, i.study_id) as study_id, outcome, intervention from o full join i on o.study_id = i.study_id),
     ois as (select distinct coalesce(oi.study_id, s.study_id) as study_id, outcome, intervention, studytype
@@ -326,9 +325,7 @@ def full_outer_three_way(spark, folder):
 def crosstab_counts(spark, folder):
     frame = three_way(Tables(spark, folder))
     keyed = frame.filter(F.col("outcome").isNotNull() & F.col("studytype").isNotNull())
-    kinds = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    wide = aggregates.crosstab(keyed, ["outcome", "studytype"], "intervention", kinds)
-    cells = reshape.unpivot(wide, ["outcome", "studytype"], kinds, "intervention", "n")
+    cells = aggregates.crosstab_long(keyed, ["outcome", "studytype"], "intervention")
     totals = relational.group_total(cells, "n", ["intervention"], "intervention_total")
     return relational.group_stat(totals, ["outcome", "intervention"], pair_total=nulls.sum_strict("n"))
 
@@ -363,7 +360,7 @@ def unpivot_pivot(spark, folder):
         from (select *, rank() over (partition by c_mktsegment order by balance desc) as place
               from (select *, nullif(round(c_acctbal / 10.0, 0) * 10.0, 0.0) as balance from customer) where balance > 0) c
         left join nation on c_nationkey = n_nationkey
-        left join (select o_custkey, count(*) as n from orders where o_orderstatus = 'P' group by 1) o on o_custkey = c_custkey
+        left join (select o_custkey, count(*) as n from orders group by 1) o on o_custkey = c_custkey
         where place <= 15))
     order by c_mktsegment, ix desc limit 35
     """,
@@ -376,7 +373,7 @@ def top_n_ties(spark, folder):
     )
     names = t.nation.select("n_nationkey", "n_name")
     best = relational.merge(best, names, left_on="c_nationkey", right_on="n_nationkey", null_keys="drop")
-    studies = aggregates.count_by(t.orders.filter(F.col("o_orderstatus") == "P"), ["o_custkey"])
+    studies = aggregates.count_by(t.orders, ["o_custkey"])
     best = relational.merge(best, studies, left_on="c_custkey", right_on="o_custkey", null_keys="drop")
     shown = best.select(
         "c_mktsegment",

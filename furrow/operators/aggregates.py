@@ -18,9 +18,9 @@ def n_distinct(df: DataFrame, by: list[str], col: str, name: str = "n", approxim
 
     Spark first removes duplicates on (by, col), so a hot group is spread by ``col``.
     """
-    if approximate:
-        return df.groupBy(*by).agg(F.approx_count_distinct(col, approximate).alias(name))
     has_null = F.max(F.col(col).isNull().cast("int"))
+    if approximate:
+        return df.groupBy(*by).agg((F.approx_count_distinct(col, approximate) + has_null).alias(name))
     return df.groupBy(*by).agg((F.count_distinct(F.col(col)) + has_null).alias(name))
 
 
@@ -73,6 +73,20 @@ def crosstab(df: DataFrame, rows: list[str], col: str, values: list | None = Non
     return wide.na.fill(0, counts)
 
 
+def crosstab_long(df: DataFrame, rows: list[str], col: str, name: str = "n") -> DataFrame:
+    """Counts of ``rows`` by ``col`` in long form, zero for pairs never seen; every value of ``col`` but NULL has a part.
+
+    The values come from the counted groups, so none is lost and none is collected. A group of ``rows`` with
+    NULLs is a group. One row per distinct group and value: sizes of the result, not of the data.
+    """
+    counts = df.groupBy(*rows, col).agg(F.count(F.lit(1)).alias(name))
+    values = counts.filter(F.col(col).isNotNull()).agg(F.array_sort(F.collect_set(col)).alias("__values"))
+    groups = counts.groupBy(*rows).agg(F.map_from_entries(F.collect_list(F.when(F.col(col).isNotNull(), F.struct(col, name)))).alias("__seen"))
+    wide = groups.withColumn("__values", values.scalar())
+    each = wide.select(*rows, "__seen", F.explode("__values").alias(col))
+    return each.select(*rows, col, F.coalesce(F.try_element_at("__seen", F.col(col)), F.lit(0)).cast("bigint").alias(name))
+
+
 def fold_summary(df: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
     """Mean and population standard deviation of each metric over the folds."""
     aggs: list[Column] = [F.avg(m).alias(f"mean_{m}") for m in metrics]

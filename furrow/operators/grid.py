@@ -45,6 +45,11 @@ class GridSpec:
         xmax, ymax = 2 * math.pi * KX * EARTH_RADIUS, KY * EARTH_RADIUS
         return cls(-xmax + dx, ymax + dy, res, math.ceil(2 * ymax / res), math.ceil(2 * xmax / res), "eck4")
 
+    @property
+    def is_global(self) -> bool:
+        """Whether the grid goes once around the globe and from pole to pole."""
+        return self.crs == "lonlat" and math.isclose(self.ncol * self.res, 360.0) and math.isclose(self.nrow * self.res, 180.0)
+
     def row(self, cell: Column | str) -> Column:
         return F.floor(_col(cell) / F.lit(self.ncol)).cast("int")
 
@@ -113,7 +118,8 @@ def regrid(
 
     The target centres are inverted in closed form and equi-joined on the source cell id. ``by``
     carries layer columns, so all layers of one source grid are done in one job. Bilinear is NULL
-    where one of the four neighbours is missing.
+    where one of the four neighbours is missing. On a grid around the globe the neighbour of the last column is
+    the first one, and beyond the poles the edge row counts twice.
     """
     by = by or []
     spark = layer.sparkSession
@@ -132,11 +138,15 @@ def regrid(
         "cell_id", F.floor(fx).alias("c"), F.floor(fy).alias("r"), (fx - F.floor(fx)).alias("u"), (fy - F.floor(fy)).alias("v")
     )
     u, v, r, c = F.col("u"), F.col("v"), F.col("r"), F.col("c")
+    if src.is_global:
+        near = lambda i, j: src.id_of(F.least(F.greatest(i, F.lit(0)), F.lit(src.nrow - 1)), F.pmod(j, F.lit(src.ncol)))
+    else:
+        near = src.id_of
     corners = F.array(
-        F.struct(src.id_of(r, c).alias("s"), ((1 - u) * (1 - v)).alias("k")),
-        F.struct(src.id_of(r, c + 1).alias("s"), (u * (1 - v)).alias("k")),
-        F.struct(src.id_of(r + 1, c).alias("s"), ((1 - u) * v).alias("k")),
-        F.struct(src.id_of(r + 1, c + 1).alias("s"), (u * v).alias("k")),
+        F.struct(near(r, c).alias("s"), ((1 - u) * (1 - v)).alias("k")),
+        F.struct(near(r, c + 1).alias("s"), (u * (1 - v)).alias("k")),
+        F.struct(near(r + 1, c).alias("s"), ((1 - u) * v).alias("k")),
+        F.struct(near(r + 1, c + 1).alias("s"), (u * v).alias("k")),
     )
     spread = placed.select("cell_id", F.explode(corners).alias("e")).select(
         "cell_id", F.col("e.s").alias("__src"), F.col("e.k").alias("__k")

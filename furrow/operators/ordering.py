@@ -152,12 +152,12 @@ def fixed_order(col: Column | str, levels: list) -> Column:
     return F.nullif(place, F.lit(0)).cast("int")
 
 
-def reverse_index(df: DataFrame, order: list[Column], first: int, name: str = "ix") -> DataFrame:
-    """The first rows in the given order, numbered n, n-1, ... of all n rows.
+def reverse_index(df: DataFrame, order: list[Column], first: int | None = None, name: str = "ix") -> DataFrame:
+    """The rows in the given order, numbered n, n-1, ... 1; with ``first`` only that many from the top.
 
-    The cut is a distributed top-k, so the numbering sees ``first`` rows; n is a scalar subquery.
-    ``order`` must settle every tie.
+    With ``first`` the cut is a distributed top-k, so the numbering sees ``first`` rows; n is a scalar subquery.
+    Without it all rows are numbered in one sort: for results of bounded size. ``order`` must settle every tie.
     """
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    head = df.orderBy(*order).limit(first)
+    head = df if first is None else df.orderBy(*order).limit(first)
     return head.withColumn(name, n - F.row_number().over(Window.orderBy(*order)) + 1)

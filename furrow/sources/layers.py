@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from furrow.operators.grid import GridSpec
 
 
-def read_layer(spark: SparkSession, path: str, grid: GridSpec) -> DataFrame:
-    """One layer as (cell_id, value) with row and column; ids outside the grid are dropped at the scan."""
-    cells = spark.read.schema("cell_id bigint, value double").parquet(path)
-    inside = cells.filter(F.col("cell_id").between(0, grid.nrow * grid.ncol - 1))
+def _on_grid(cells: DataFrame, grid: GridSpec, on_outside: str) -> DataFrame:
+    """Cells whose id lies on the grid. Others, and NULL ids, are an error or (``'drop'``) left out at the scan."""
+    inside = F.col("cell_id").between(0, grid.nrow * grid.ncol - 1)
+    if on_outside == "drop":
+        return cells.filter(inside)
+    if on_outside != "error":
+        raise ValueError(f"on_outside must be 'error' or 'drop', not {on_outside!r}")
+    foreign = F.raise_error(F.concat(F.lit("cell id outside the grid: "), F.coalesce(F.col("cell_id").cast("string"), F.lit("NULL"))))
+    return cells.withColumn("cell_id", F.when(inside, F.col("cell_id")).otherwise(foreign.cast("bigint")))
+
+
+def read_layer(spark: SparkSession, path: str, grid: GridSpec, on_outside: str = "error") -> DataFrame:
+    """One layer as (cell_id, value) with row and column; ids outside the grid fail unless ``on_outside='drop'``."""
+    inside = _on_grid(spark.read.schema("cell_id bigint, value double").parquet(path), grid, on_outside)
     return inside.withColumns({"row": grid.row("cell_id"), "col": grid.col("cell_id")})
 
 
@@ -20,14 +30,14 @@ def write_cube(cube: DataFrame, path: str) -> None:
     cube.withColumn("year", F.year("ts")).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-def read_cube(spark: SparkSession, path: str, grid: GridSpec, start: str | None = None, end: str | None = None) -> DataFrame:
-    """(cell_id, ts, value) of a cube stored by year; both ends of the range included."""
+def read_cube(spark: SparkSession, path: str, grid: GridSpec, start: str | None = None, end: str | None = None, on_outside: str = "error") -> DataFrame:
+    """(cell_id, ts, value) of a cube stored by year; both ends of the range included. Foreign ids as in ``read_layer``."""
     cube = spark.read.schema("cell_id bigint, ts date, value double, year int").parquet(path)
     if start:
         cube = cube.filter((F.col("year") >= int(start[:4])) & (F.col("ts") >= F.lit(start).cast("date")))
     if end:
         cube = cube.filter((F.col("year") <= int(end[:4])) & (F.col("ts") <= F.lit(end).cast("date")))
-    return cube.filter(F.col("cell_id").between(0, grid.nrow * grid.ncol - 1)).drop("year")
+    return _on_grid(cube, grid, on_outside).drop("year")
 
 
 def read_layers(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -48,7 +58,7 @@ def read_layers(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 _POINTS = "array<array<double>>"
 
 
-def read_polygons(spark: SparkSession, path: str, attributes: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_polygons(spark: SparkSession, path: str, attributes: str, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
     """GeoJSON to (feature_id, ring, points) rings and an attribute table.
 
     ``attributes`` is the schema of the properties, e.g. ``iso string, value double``; it must name

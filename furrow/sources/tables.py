@@ -10,9 +10,21 @@ from furrow.constants import PREVIEW, SURVEY_COLUMNS, SURVEY_DROP_PATTERN, SURVE
 from furrow.operators.relational import drop_matching, rename, select_from
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = True) -> DataFrame:
-    """CSV with a header. ``multiline=False`` lets Spark split large files that hold no quoted breaks."""
-    return (
+MISSING = "NA"
+
+
+def _missing_as_null(df: DataFrame) -> DataFrame:
+    """The study's rule for text: a blank field is empty text, ``NA`` is missing."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+    return df.withColumns({c: F.nullif(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(MISSING)) for c in texts})
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = False) -> DataFrame:
+    """CSV with a header. A blank text stays empty text, ``NA`` is NULL; a blank or ``NA`` number is NULL.
+
+    Large files are split over tasks; ``multiline=True`` reads a file in one task, for quoted line breaks.
+    """
+    read = (
         spark.read.option("header", True)
         .option("multiLine", multiline)
         .option("quote", '"')
@@ -20,6 +32,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str, multili
         .schema(schema)
         .csv(path)
     )
+    return _missing_as_null(read)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +52,8 @@ def read_survey(
 ) -> DataFrame:
     """A survey export: ``head_rows`` rows above the data, test entries, leading and helper columns go.
 
-    ``header`` names the columns of the file. A quoted field may hold line breaks, so a file is read
+    ``header`` names the columns of the file; blank answers stay empty text, ``NA`` is NULL, and a row goes as a test
+    entry only where its response type says so or is missing. A quoted field may hold line breaks, so a file is read
     by one task and its rows get rising ids; those of its first ``head_rows`` rows are found per file.
     """
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))])
@@ -54,19 +68,19 @@ def read_survey(
     )
     starts = raw.groupBy("__file").agg(F.min("__id").alias("__start"))
     rows = raw.join(starts, "__file").filter(F.col("__id") - F.col("__start") >= head_rows)
-    named = rename(rows.drop("__file", "__id", "__start"), [f"{n}" for n in header])
+    named = rename(_missing_as_null(rows.drop("__file", "__id", "__start")), [f"{n}" for n in header])
     kept = named.filter(F.col(f"`{response_type}`") != PREVIEW)
     answers = drop_matching(select_from(kept, lead_columns + 1), SURVEY_DROP_PATTERN)
     return rename(answers, names or SURVEY_COLUMNS)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Write a result; CSV gets a header and no row names."""
+    """Write a result; CSV gets a header, no row names, and ``NA`` for NULL."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.option("header", True).option("escape", '"').option("nullValue", MISSING)
     writer.format(fmt).save(path)
 
 

@@ -75,7 +75,7 @@ def test_share_of_total(spark):
 def test_distinct_counts_null_as_value(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("b", 2)], "g string, x int")
     assert table(aggregates.n_distinct(df, ["g"], "x")) == [("a", 2), ("b", 1)]
-    assert table(aggregates.n_distinct(df, ["g"], "x", approximate=0.05)) == [("a", 1), ("b", 1)]
+    assert table(aggregates.n_distinct(df, ["g"], "x", approximate=0.05)) == table(aggregates.n_distinct(df, ["g"], "x"))
 
 
 def test_top_n_with_ties(spark):

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import table
@@ -31,13 +33,13 @@ def test_survey(spark, tmp_path):
     ])
     write_survey(folder / "two.csv", [survey_row("Anonymous", "abc", "No")])
     got = tables.read_survey(spark, str(folder), HEADER, "Response Type")
-    assert [r.study_id for r in got.orderBy("study_id").collect()] == ["7", "abc"]
+    assert [r.study_id for r in got.orderBy("study_id").collect()] == ["7", "9", "abc"]
     assert got.filter("study_id = '7'").first().title == 'two\nlines, "quoted"'
     assert got.columns[:4] == ["enumerator", "study_id", "title", "inclusion"] and len(got.columns) == 15
 
 
 def test_csv_round_trip_and_handoff(spark, tmp_path):
-    df = spark.createDataFrame([(1, 'a "b", c', 1.5), (2, None, None)], "i int, s string, x double")
+    df = spark.createDataFrame([(1, 'a "b", c', 1.5), (2, None, None), (3, "", 0.0)], "i int, s string, x double")
     path = str(tmp_path / "csv")
     tables.write_table(df, path, "csv")
     assert table(tables.read_table(spark, path, df.schema)) == table(df)
@@ -51,7 +53,9 @@ def test_layers_and_cube(spark, tmp_path):
     grid = GridSpec(0.0, 2.0, 1.0, 2, 2)
     one = spark.createDataFrame([(0, 1.0), (3, 2.0), (9, 5.0)], "cell_id bigint, value double")
     one.write.parquet(str(tmp_path / "layer"))
-    assert table(layers.read_layer(spark, str(tmp_path / "layer"), grid)) == [(0, 1.0, 0, 0), (3, 2.0, 1, 1)]
+    assert table(layers.read_layer(spark, str(tmp_path / "layer"), grid, on_outside="drop")) == [(0, 1.0, 0, 0), (3, 2.0, 1, 1)]
+    with pytest.raises(Exception, match="cell id outside the grid"):
+        layers.read_layer(spark, str(tmp_path / "layer"), grid).collect()
     cube = spark.createDataFrame([(0, "1995-12-31", 1.0), (0, "1996-01-01", 2.0), (1, "2005-12-31", 3.0), (1, "2006-01-01", 4.0)], "cell_id bigint, ts string, value double")
     layers.write_cube(cube.withColumn("ts", F.to_date("ts")), str(tmp_path / "cube"))
     got = layers.read_cube(spark, str(tmp_path / "cube"), grid, "1996-01-01", "2005-12-31")
@@ -79,7 +83,7 @@ def test_polygons(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
     (tmp_path / "b.json").write_text("\n".join(json.dumps(f) for f in features))
     schema = "feature_id bigint, iso string"
-    rings, attributes = layers.read_polygons(spark, str(tmp_path / "a.json"), schema)
+    rings, attributes = layers.read_polygons(spark, str(tmp_path / "a.json"), schema, multiline=True)
     lines = layers.read_polygons(spark, str(tmp_path / "b.json"), schema, multiline=False)
     assert table(attributes) == [(1, "A"), (2, "B")] == table(lines[1])
     assert table(rings.select("feature_id", "ring")) == [(1, 0), (2, 0), (2, 1)]
