@@ -34,6 +34,15 @@ HEADLINE = [
     "nb_cross_validated",
     "nb_grid_search",
     "metrics_table",
+    "review_matrix",
+    "review_themes",
+    "review_needs",
+    "quantile_threshold_flag",
+    "rain_composite",
+    "farm_summary",
+    "svm_rff",
+    "mlp_text",
+    "batch_score",
 ]
 
 

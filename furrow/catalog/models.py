@@ -11,6 +11,10 @@ from furrow.lineage import cut
 from furrow.operators import corpus, evaluation, kernels, neural, ordering
 
 
+#: Hash slots of the batch scorer.
+SLOTS = 1 << 18
+
+
 def _hashed(t: Tables, dims: int):
     """Labelled documents with a test mark and hashed TF-IDF features."""
     ids, counts = corpus.counted(labelled(t), "doc_id", ["label"])
@@ -46,10 +50,13 @@ def forest_text(spark, folder):
 
 @query("batch_score")
 def batch_score(spark, folder):
+    """Fitted on the training side of the labelled documents; scores the test side and all unlabelled ones."""
     t = Tables(spark, folder)
-    texts = labelled(t)
-    ids, counts = corpus.counted(texts, "doc_id", ["label"])
-    features = corpus.hashed_features(counts, "doc_id", neural.DIMS)
-    model = neural.logistic_fit(neural.vectors(corpus.with_features(ids, features, "doc_id")))
-    scorer = neural.linear_predictor(model.coefficients.toArray().tolist(), float(model.intercept))
-    return neural.score_text(t.documents.select("doc_id", "text"), "text", scorer).select("doc_id", "prediction")
+    marks = labelled(t).select("doc_id", "label")
+    texts = corpus.clean_text(t.documents.select("doc_id", F.concat(F.lit("Abstract: "), F.col("text")).alias("text")))
+    ids, counts = corpus.counted(texts.join(marks, "doc_id", "left"), "doc_id", ["label"])
+    features = corpus.hashed_features(counts, "doc_id", SLOTS)
+    rows = cut(corpus.with_features(ordering.split_rows(ids, "doc_id", 0.25, seed=7), features, "doc_id"))
+    seen = F.col("label").isNotNull() & ~F.col("is_test")
+    weights, intercept = neural.mean_difference(rows.filter(seen))
+    return neural.score_slots(rows.filter(~seen), weights, intercept, SLOTS).select("doc_id", "prediction")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -69,6 +70,38 @@ def score_text(
     return df.withColumn(name, score(F.col(col)))
 
 
+def mean_difference(train: DataFrame, label: str = "label") -> tuple[dict[int, float], float]:
+    """Weights per slot and intercept of the linear scorer between the class means; the hashed rows stay on the
+    cluster, at most one weight per slot comes back."""
+    sizes = {r[0]: r[1] for r in train.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    cells = train.select(label, F.explode(F.arrays_zip("slots", "values")).alias("e")).select(label, "e.slots", "e.values")
+    part = lambda k: F.sum(F.when(F.col(label) == k, F.col("values")).otherwise(0.0)) / F.lit(float(max(sizes.get(k, 0), 1)))
+    rows = cells.groupBy("slots").agg(part(1).alias("one"), part(0).alias("zero")).collect()
+    weights = {r.slots: r.one - r.zero for r in rows}
+    return weights, 0.5 * (sum(r.zero**2 for r in rows) - sum(r.one**2 for r in rows))
+
+
+def score_slots(df: DataFrame, weights: dict[int, float], intercept: float, dims: int, name: str = "prediction") -> DataFrame:
+    """1 where the linear score of (slots, values) is positive, one vectorised product per Arrow batch. A row without
+    slots has the intercept as its score. The model has at most ``dims`` weights."""
+    own = np.zeros(dims)
+    own[list(weights)] = list(weights.values())
+    shared = df.sparkSession.sparkContext.broadcast(own)
+
+    @F.pandas_udf("int")
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for slots, values in parts:
+            sizes = slots.map(len).to_numpy()
+            if not sizes.sum():
+                yield pd.Series(np.full(len(slots), int(intercept > 0)), dtype="int32")
+                continue
+            product = shared.value[np.concatenate(slots.to_numpy())] * np.concatenate(values.to_numpy())
+            total = np.bincount(np.repeat(np.arange(len(slots)), sizes), product, len(slots))
+            yield pd.Series((total + intercept > 0).astype("int32"))
+
+    return df.withColumn(name, score("slots", "values"))
+
+
 def linear_predictor(weights: list[float], intercept: float) -> Callable[[], Callable[[pd.Series], pd.Series]]:
     """Factory of a linear scorer over hashed terms; as small as the number of slots."""
 
@@ -76,8 +109,6 @@ def linear_predictor(weights: list[float], intercept: float) -> Callable[[], Cal
         import re
         import zlib
 
-        import numpy as np
-
         word = re.compile(r"\b\w\w+\b")
         w, dims = np.asarray(weights), len(weights)
 

@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
@@ -132,3 +133,14 @@ def test_classifiers_learn(spark):
     assert table(scored.select("id", "prediction")) == table(neural.predicted(linear, rows).select("id", "prediction"))
     constant = neural.score_text(docs, "text", lambda: lambda batch: pd.Series([7] * len(batch)))
     assert {r.prediction for r in constant.collect()} == {7}
+
+
+def test_slot_scorer_is_the_plain_product(spark):
+    rows = [(1, 1, [0, 3], [0.6, 0.8]), (2, 0, [1], [1.0]), (3, 1, [3], [1.0]), (4, 0, [], []), (5, None, [1, 3], [0.8, 0.6])]
+    df = spark.createDataFrame(rows, "id int, label int, slots array<int>, values array<double>")
+    weights, intercept = neural.mean_difference(df.filter("label IS NOT NULL"))
+    assert weights == pytest.approx({0: 0.3, 3: 0.9, 1: -0.5}) and intercept == pytest.approx(0.5 * (0.25 - 0.09 - 0.81))
+    got = {r.id: r.prediction for r in neural.score_slots(df, weights, intercept, 8).collect()}
+    want = {i: int(sum(weights[s] * v for s, v in zip(ss, vs)) + intercept > 0) for i, _, ss, vs in rows}
+    assert got == want
+    assert neural.score_slots(df.limit(0), weights, intercept, 8).collect() == []
