@@ -95,6 +95,39 @@ def _dense(name: str, where: str = "true") -> str:
     """
 
 
+@query(
+    "keyword_table",
+    """
+    with s as (select *, left(o_orderpriority, 1) as p from orders where o_orderstatus <> 'P'),
+    long as (
+      select o_custkey, 'interventions' as category, unnest(string_split(replace(o_orderpriority, '-', ','), ',')) as v from s
+      union all select o_custkey, 'outcomes', unnest([o_orderstatus, o_orderpriority]) from s
+      union all select o_custkey, 'environmental impacts', unnest(case o_orderstatus when 'F' then ['No'] else ['No', 'Water', o_orderpriority] end) from s
+      union all select o_custkey, 'type of study', unnest(case p when '1' then ['Observational primary data', 'Modelling'] when '2' then ['Experimental primary data'] else ['Other'] end) from s
+      union all select o_custkey, 'crop_livestock', unnest(['Crop', 'Mixed']) from s where p <> '3'
+      union all select o_custkey, 'gender', 'Gender' from s where o_orderkey % 2 = 1
+      union all select o_custkey, 'country', unnest([' C' || p, ' Y' || year(o_orderdate)]) from s)
+    select cast(o_custkey as integer) as study_id, category, lower(v) as subcategory from long where v <> '' and lower(v) <> 'no'
+    """,
+)
+def keyword_table(spark, folder):
+    """A survey made from the orders: an answer list per category, some blank, one label with a comma."""
+    o = Tables(spark, folder).orders
+    status, priority, first = F.col("o_orderstatus"), F.col("o_orderpriority"), F.left("o_orderpriority", F.lit(1))
+    survey = o.select(
+        F.concat(F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 7 == 0, ".5").otherwise("")).alias("study_id"),
+        F.when(status == "P", "No").otherwise("Yes").alias("inclusion"),
+        F.replace(priority, F.lit("-"), F.lit(",")).alias("interventions"),
+        F.concat(status, F.lit(",,"), priority).alias("outcomes"),
+        F.when(status == "F", "").otherwise(F.concat(F.lit(",Water,"), priority)).alias("environmental_impacts"),
+        F.when(first == "1", "Observational, primary data,Modelling").when(first == "2", "Experimental, primary data").otherwise("Other").alias("type_of_study"),
+        F.when(first != "3", "Crop,,Mixed").otherwise("").alias("crop_livestock"),
+        F.when(F.col("o_orderkey") % 2 == 1, "Gender").otherwise("No").alias("gender"),
+        F.concat(F.lit(" C"), first, F.lit(", Y"), F.year("o_orderdate").cast("string")).alias("country"),
+    )
+    return review.keyword_long(survey)
+
+
 @query(
     "review_countries",
     f"""

@@ -27,8 +27,6 @@ REGIONS = [
     "South Asia",
     "Sub-Saharan Africa",
 ]
-DEVELOPMENT_EDGES = [0.549, 0.699, 0.799]
-DEVELOPMENT_LABELS = ["Low HDI", "Medium HDI", "High HDI", "Very High HDI"]
 
 # --- fixed values: country names the class list spells another way ------------------------------
 COUNTRY_CODES = {
@@ -88,11 +86,5 @@ STUDY_TYPE_NOISE = "Primary|Secondary|Data|With"
 # --- fixed values: classifier grids -------------------------------------------------------------
 SVM_GRID = {"C": [0.01, 0.1, 1.0], "kernel": ["rbf", "poly"], "gamma": [0.01, 0.1, 1.0]}
 BAYES_GRID = {"alpha": [0.01, 0.1, 1.0]}
-FOREST_GRID = {
-    "n_estimators": [10, 20, 30],
-    "criterion": ["gini", "entropy"],
-    "max_features": [5, 10, 15],
-}
-NEIGHBOUR_GRID = {"n_neighbors": [3, 7, 10], "weights": ["uniform", "distance"]}
 OUTER_FOLDS = 10
 INNER_FOLDS = 5

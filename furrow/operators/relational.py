@@ -42,10 +42,6 @@ def between_dates(df: DataFrame, col: str, start: str, end: str) -> DataFrame:
     return df.filter(F.col(col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
-    return reduce(and_, [left[a].eqNullSafe(right[b]) for a, b in pairs])
-
-
 def merge(
     left: DataFrame,
     right: DataFrame,
