@@ -152,7 +152,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xs"), F.col("weights").alias("xw"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("ys"), F.col("weights").alias("yw"))
     both = pairs.join(right, "b").join(left, "a")
-    return both.withColumn("s", similar("xs", "xw", "ys", "yw")).filter(F.col("s") >= SIMILAR).select("a", "b")
+    return both.withColumn("s", similar("xs", "xw", "ys", "yw")).filter(F.col("s") >= SIMILAR - 1e-9).select("a", "b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -176,7 +176,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, label, id): for every different text its class and the least doc_id with that text.
 
-    ``node`` is the text's digest, ``label`` the least digest of its class.
+    ``node`` is the text's digest, ``label`` one digest of its class.
     """
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text), node(F.col(text)).alias("_node"))
 
@@ -208,18 +208,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     each = few.alias("l").join(few.alias("r"), F.expr("l.key = r.key AND l.node < r.node")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     tried = cut(found.union(each).distinct())
     links = cut(_verified(tried, sets))
+    labels = components(links)
     for _ in range(ROUNDS):
-        labels = components(links)
         labelled = seats.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed_ = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct("company", "node", "label"))["label"].alias("main")).filter("l0 <> l1")
-        rest = labelled.join(mixed_, "key").filter("label <> main").select("key", "node", "company")
-        fresh = pairs_of(rest, [popular, F.min(spread)["node"]]).distinct()
-        new = cut(fresh.join(tried, ["a", "b"], "left_anti"))
+        apart = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct("company", "node", "label"))["label"].alias("main")).filter("l0 <> l1")
+        rest = labelled.join(apart, "key").filter("label <> main").select("key", "node", "company")
+        new = cut(pairs_of(rest, [popular, F.min(spread)["node"]]).distinct().join(tried, ["a", "b"], "left_anti"))
         if not new.limit(1).count():
             break
-        more = cut(_verified(new, sets))
-        tried, links = cut(tried.union(new)), cut(links.union(more))
-    labels = components(links)
+        tried = cut(tried.union(new))
+        # the labels stand for the links found before
+        labels = components(_verified(new, sets).union(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
     return nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
