@@ -10,6 +10,7 @@ from furrow.catalog.base import Tables, query
 from furrow.constants import EARTH_RADIUS
 from furrow.operators import polygons, relational
 from furrow.operators.grid import KX, KY, GridSpec, align, regrid, rotate, stack_layers, to_layer
+from furrow.plans import irrigation
 
 SOURCE = GridSpec.degrees(1)
 # moved off the globe's corner so that no target centre falls on a source edge
@@ -177,3 +178,60 @@ def attribute_to_polygon(spark, folder):
 def write_back(spark, folder):
     marked = _layer(Tables(spark, folder)).withColumn("mark", F.when(F.col("value") > 40, F.lit(1)))
     return to_layer(marked, "mark", SOURCE.cells(spark))
+
+
+_BLENDED = ["rain", "gdp_pc", "irri_area", "paddy_area", "rainfed_area"]
+_NAMED = ["fs", "months", "world", *_BLENDED[:4]]
+_NUMBERED = " ".join(f"when {i} then '{n}'" for i, n in enumerate(_NAMED, 1))
+_SPOT = f"(l_orderkey * 7 + l_linenumber * 11 + l_partkey * 13) % {SOURCE.nrow * SOURCE.ncol}"
+
+
+@query(
+    "overlay_frame",
+    f"""
+    with {_TARGETS},
+    drawn as (select case l_linenumber {_NUMBERED} end as layer, {_SPOT} as spot, l_quantity as q, l_suppkey from lineitem
+              union all select 'rainfed_area', {_SPOT}, l_quantity, l_suppkey from lineitem where l_linenumber <= 7),
+    base as (select layer, case layer when 'rain' then (spot // 360) * 360 + (spot % 360 + 180) % 360 else spot end as cell_id,
+                    cast(case layer when 'world' then max(l_suppkey % 25) else sum(q) end as double) as value
+             from drawn group by layer, spot),
+    near as (select layer, t.cell_id, value from targets t join base b
+             on b.cell_id = cast(floor(90e0 - lat) as bigint) * {SOURCE.ncol} + cast(floor(lon + 180e0) as bigint) where layer in ('fs', 'months', 'world')),
+    pos as (select cell_id, lon + 180e0 - 0.5e0 as fx, 90e0 - lat - 0.5e0 as fy from targets),
+    cut as (select cell_id, cast(floor(fx) as bigint) as c, cast(floor(fy) as bigint) as r, fx - floor(fx) as u, fy - floor(fy) as v from pos),
+    parts as (select cell_id, r + dr as r, c + dc as c, (case dc when 0 then 1 - u else u end) * (case dr when 0 then 1 - v else v end) as k
+              from cut, (values (0, 0), (0, 1), (1, 0), (1, 1)) d(dr, dc)),
+    blend as (select layer, p.cell_id, case when count(*) = 4 then sum(k * value) end as value from parts p
+              join base b on b.cell_id = least(greatest(p.r, 0), {SOURCE.nrow - 1}) * {SOURCE.ncol} + (p.c + {SOURCE.ncol}) % {SOURCE.ncol}
+              where layer not in ('fs', 'months', 'world') group by all),
+    moved as (select * from near union all select * from blend),
+    frame as (select id as cell_id, {", ".join(f"max(value) filter (where layer = '{n}') as {n}" for n in [*_NAMED, "rainfed_area"])}
+              from range({TARGET.nrow * TARGET.ncol}) r(id) left join moved on cell_id = id group by id)
+    select cell_id, fs, months, cast(world as integer) as world, {", ".join(f"round({n}, 5) as {n}" for n in _BLENDED)}, n_name as country,
+           case n_regionkey when 0 then 'Low income' when 1 then 'High income' end as income_group
+    from frame left join nation on n_nationkey = world
+    """,
+)
+def overlay_frame_query(spark, folder):
+    """Eight layers, one of them on a 0..360 grid, resampled, stacked, with country and income group."""
+    t = Tables(spark, folder)
+    li = t.lineitem.filter(F.col("l_linenumber") <= len(_NAMED))
+    spot = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 11 + F.col("l_partkey") * 13) % (SOURCE.nrow * SOURCE.ncol)
+    drawn = li.withColumn("cell_id", spot)
+    turned_grid = GridSpec(0.0, 90.0, 1.0, SOURCE.nrow, SOURCE.ncol)
+    layers = {}
+    for number, name in enumerate(_NAMED, 1):
+        value = F.max(F.col("l_suppkey") % 25) if name == "world" else F.sum("l_quantity")
+        cells = drawn.filter(F.col("l_linenumber") == number).groupBy("cell_id").agg(value.alias("value"))
+        layers[name] = rotate(cells, turned_grid) if name == "rain" else (cells, SOURCE)
+    layers["rainfed_area"] = (drawn.groupBy("cell_id").agg(F.sum("l_quantity").alias("value")), SOURCE)
+    lookup = t.nation.select(
+        F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("seq"),
+        F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("iso3"), F.col("n_name").alias("country"),
+    )
+    incomes = t.region.select(
+        F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("code"),
+        F.when(F.col("r_regionkey") == 0, "Low income").when(F.col("r_regionkey") == 1, "High income").alias("income_group"),
+    )
+    frame = irrigation.overlay_frame(layers, TARGET, lookup, incomes)
+    return frame.select("cell_id", "fs", "months", "world", *[F.round(n, 5).alias(n) for n in _BLENDED], "country", "income_group")
