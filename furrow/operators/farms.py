@@ -119,7 +119,8 @@ def country_thresholds(
             pick("gdp", "low").alias("min_gdp"),
         )
     )
-    return merge(usable, wide, on=[*by, "iso3_usable"])
+    # stored: one row per country, whose size the planner then knows, so the cells need not move to meet it
+    return cut(merge(usable, wide, on=[*by, "iso3_usable"]))
 
 
 def classify_small_scale(

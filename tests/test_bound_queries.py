@@ -39,6 +39,11 @@ def test_top_n_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(spark, "top_n_ties")
 
 
+def test_cells_stay_where_they_are_for_the_thresholds(spark):
+    text = plan(spark, "small_scale_class")
+    assert "hashpartitioning" not in text and "BroadcastHashJoin" in text
+
+
 def test_total_row_comes_from_one_scan(spark):
     assert plan(spark, "pooled_pct_with_total").count("lineitem.parquet") == 1
 
