@@ -43,10 +43,11 @@ class Rolling:
 
 
 def stretches(raws: list[bytes], length: int = LENGTH, seed: int = SEED) -> pd.DataFrame:
-    """(text, lo, hi, seed, content): strings of text number ``text`` that start in lo..hi own one seed occurrence."""
+    """(text, lo, hi, gap, seed, content): strings of text number ``text`` that start in lo..hi own one seed
+    occurrence, at lo + gap."""
     sizes = np.array([len(r) for r in raws], np.int64)
     data = np.frombuffer(b"".join(raws), np.uint8)
-    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("text", "lo", "hi", "seed", "content")})
+    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("text", "lo", "hi", "gap", "seed", "content")})
     if len(data) < length:
         return none
     first = Rolling(data, 0)
@@ -71,7 +72,7 @@ def stretches(raws: list[bytes], length: int = LENGTH, seed: int = SEED) -> pd.D
     hi_at = np.append(lo_at[1:], len(starts)) - 1
     lo, hi, own = starts[lo_at], starts[hi_at], owner[lo_at]
     content = Rolling(data, 1)(lo, hi + length) ^ mixed((chosen[lo_at] - lo).astype(np.uint64), 3)
-    return pd.DataFrame({"text": own, "lo": lo - begin[own], "hi": hi - begin[own], "seed": hashed[chosen[lo_at]].view(np.int64), "content": content.view(np.int64)})
+    return pd.DataFrame({"text": own, "lo": lo - begin[own], "hi": hi - begin[own], "gap": chosen[lo_at] - lo, "seed": hashed[chosen[lo_at]].view(np.int64), "content": content.view(np.int64)})
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -182,10 +183,10 @@ def _scan(docs: DataFrame, length: int, seed: int) -> DataFrame:
     def found(nodes: list[tuple[bytes, int]], raws: list[bytes]) -> pd.DataFrame:
         made = stretches(raws, length, seed)
         shift = np.array([lo for _, lo in nodes])[made["text"]]
-        return pd.DataFrame({"node": [nodes[i][0] for i in made["text"]], "lo": made["lo"] + shift, "hi": made["hi"] + shift, "seed": made["seed"], "content": made["content"]})
+        return pd.DataFrame({"node": [nodes[i][0] for i in made["text"]], "lo": made["lo"] + shift, "hi": made["hi"] + shift, "gap": made["gap"], "seed": made["seed"], "content": made["content"]})
 
     own = docs.select("_node", F.col("_text").cast("binary").alias("raw")).filter(F.octet_length("_text") >= length)
-    return own.mapInPandas(scanned, "node binary, lo int, hi int, seed long, content long")
+    return own.mapInPandas(scanned, "node binary, lo int, hi int, gap int, seed long, content long")
 
 
 def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -194,14 +195,14 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     ``docs`` has _id, _node (digest of the text) and _text (never NULL).
     """
     found = cut(_scan(docs, length, seed))
-    kinds = cut(found.groupBy("seed", "content").agg(F.count("*").alias("times"), F.min(F.struct("node", "lo", "hi")).alias("one")))
+    kinds = cut(found.groupBy("seed", "content").agg(F.count("*").alias("times"), F.min(F.struct("node", "lo", "hi", "gap")).alias("one")))
     crowd = kinds.groupBy("seed").agg(F.count("*").alias("kinds"))
     copied = found.join(kinds.filter("times > 1").select("seed", "content"), ["seed", "content"]).select("node", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     unlike = cut(kinds.join(crowd.filter("kinds > 1"), "seed").select("seed", "content", "times", "kinds", "one.*"))
     shards = max(1, -(-unlike.count() // SHARD))
     salts = F.ceil(F.col("kinds") / CROWD)
     dealt = unlike.withColumn("shard", F.pmod(F.xxhash64("seed", F.pmod(F.xxhash64("content"), salts)), F.lit(shards)))
-    wanted = dealt.groupBy("node").agg(F.collect_list(F.struct("shard", "lo", "hi", "times", (F.col("kinds") > CROWD).alias("crowded"))).alias("wanted"))
+    wanted = dealt.groupBy("node").agg(F.collect_list(F.struct("shard", "lo", "hi", "gap", "times", "seed", "kinds")).alias("wanted"))
     first = docs.groupBy("_node").agg(F.min("_id").alias("_id"))
     texts = docs.join(wanted.join(first, wanted.node == first._node).drop("_node"), (F.col("_node") == F.col("node")) & (docs._id == first._id))
     cell = F.explode("wanted")
@@ -213,57 +214,59 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
         part = part.drop_duplicates(["node", "lo"]).sort_values(["node", "lo"])  # a row of the table may be repeated
         starts, keys = twice([bytes(x) for x in part["raw"]], length)
         made, at = [], 0
-        crowded, keep = part["crowded"].to_numpy(), []
+        keep = []
         for (n, lo, hi, times), own in zip(part[["node", "lo", "hi", "times"]].itertuples(index=False), starts, strict=True):
             if times == 1:
-                made += [(n, a + lo, b + lo + length, None, None, None) for a, b in _runs(own)]
+                made += [(n, a + lo, b + lo + length, *[None] * 6) for a, b in _runs(own)]
             keep.append((at, at + hi - lo + 1))
             at += hi - lo + 1
-        for i in np.flatnonzero(crowded):
-            n, lo = part["node"].iloc[i], int(part["lo"].iloc[i])
-            own = keys[slice(*keep[i])]
-            made.append((n, lo, None, own[:, 0].tobytes(), own[:, 1].tobytes(), int(part["times"].iloc[i])))
-        return pd.DataFrame(made, columns=["node", "start", "end", "k0", "k1", "times"]).astype({"start": "Int32", "end": "Int32", "times": "Int64"})
-
-    shape = "node binary, start int, end int, k0 binary, k1 binary, times long"
+        for place, (n, lo, gap, times, its, kinds) in zip(keep, part[["node", "lo", "gap", "times", "seed", "kinds"]].itertuples(index=False), strict=True):
+            if kinds > CROWD:
+                own = keys[slice(*place)]
+                made.append((n, lo, None, own[:, 0].tobytes(), own[:, 1].tobytes(), gap, times, its, kinds))
+        return pd.DataFrame(made, columns=columns).astype({c: "Int64" for c in columns if c not in ("node", "k0", "k1")})
+
+    shape = "node binary, start int, end int, k0 binary, k1 binary, gap int, times long, seed long, kinds long"
+    columns = [c.split()[0] for c in shape.split(", ")]
     local = cut(rows.groupBy("shard").applyInPandas(sorted_shard, shape))
     crowds = local.filter("k0 IS NOT NULL")
-    tasks = max(1, -(-(crowds.agg(F.sum(F.octet_length("k0") / 8)).first()[0] or 0).__ceil__() // MERGE))
+    span = length - seed + 1
 
     def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each run of string keys cut by the merge task of its keys; equal keys of a batch are told once, as twice there."""
+        """The string keys of each stretch, cut by merge task.
+
+        Equal strings lie equally far before equal seeds, so a task takes a seed's strings of some distances: about
+        ``MERGE`` keys. Where even one distance has more, its keys are dealt by their values too.
+        """
         for b in batches:
-            if not len(b):
-                continue
-            k0, k1 = (np.concatenate([np.frombuffer(x, np.uint64) for x in b[c]]) for c in ("k0", "k1"))
-            n = np.array([len(x) // 8 for x in b["k0"]])
-            row = np.repeat(np.arange(len(b)), n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(b["start"].to_numpy(np.int64), n)
-            order = np.lexsort((k1, k0))
-            task = (k0[order] >> np.uint64(11)) % np.uint64(tasks)
-            by = np.argsort(task, kind="stable")
-            order, task = order[by], task[by]
-            bounds = np.flatnonzero(np.diff(task, prepend=task[:1] + np.uint64(1)))
-            for lo, hi in zip(bounds, np.append(bounds[1:], len(task)), strict=True):
-                o = order[lo:hi]
-                yield pd.DataFrame({"task": [int(task[lo])], "k0": [k0[o].tobytes()], "k1": [k1[o].tobytes()], "at": [place[o].astype(np.int64).tobytes()], "nodes": [list(b["node"].iloc[row[o]])], "one": [(b["times"].to_numpy(np.int64)[row[o]] == 1).tobytes()]})
+            made = []
+            for n, lo, k0, k1, gap, times, its, kinds in b[["node", "start", "k0", "k1", "gap", "times", "seed", "kinds"]].itertuples(index=False):
+                keys = np.frombuffer(k0, np.uint64), np.frombuffer(k1, np.uint64)
+                away = gap - np.arange(len(keys[0]))
+                blocks = min(span, -(-kinds * span // 2 // MERGE))
+                salts = max(1, -(-kinds // MERGE))
+                cell = away * blocks // span * salts + (keys[0] % np.uint64(salts)).astype(np.int64)
+                bounds = np.flatnonzero(np.diff(cell, prepend=cell[0] + 1))
+                for i, j in zip(bounds.tolist(), [*bounds[1:].tolist(), len(cell)], strict=True):
+                    made.append((its, int(cell[i]), n, lo + i, keys[0][i:j].tobytes(), keys[1][i:j].tobytes(), times == 1))
+            yield pd.DataFrame(made, columns=["seed", "cell", "node", "start", "k0", "k1", "one"])
 
     def merged(part: pd.DataFrame) -> pd.DataFrame:
-        """Sorted runs of keys, searched one in the other; a key met twice marks its places."""
-        runs = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(part["k0"], part["k1"], strict=True)]
-        k0, k1 = (np.concatenate(c) for c in zip(*runs, strict=True))
-        base = np.unique(k0)
-        slot = np.searchsorted(base, k0)  # binary search of every run in the merged keys
-        same = slot.astype(np.uint64) * np.uint64(_PRIMES[1]) ^ k1
-        _, inverse, times = np.unique(same, return_inverse=True, return_counts=True)
-        at, one = np.concatenate([np.frombuffer(x, np.int64) for x in part["at"]]), np.concatenate([np.frombuffer(x, bool) for x in part["one"]])
-        nodes = np.array([n for x in part["nodes"] for n in x], dtype=object)
-        hit = (times[inverse.reshape(-1)] > 1) & one
-        made = pd.DataFrame({"node": nodes[hit], "start": at[hit].astype(np.int32)})
-        return made.assign(end=made["start"] + length)
-
-    pieces = "task long, k0 binary, k1 binary, at binary, nodes array<binary>, one binary"
-    crossed = crowds.mapInPandas(parted, pieces).groupBy("task").applyInPandas(merged, "node binary, start int, end int")
+        """Runs of keys, each searched in the merged ones; a key met twice marks its places."""
+        k0, k1 = (np.concatenate([np.frombuffer(x, np.uint64) for x in part[c]]) for c in ("k0", "k1"))
+        slot = np.searchsorted(np.unique(k0), k0)  # binary search
+        _, inverse, times = np.unique(slot.astype(np.uint64) * np.uint64(_PRIMES[1]) ^ k1, return_inverse=True, return_counts=True)
+        twice_ = times[inverse.reshape(-1)] > 1
+        made, at = [], 0
+        for n, start, raw, one in part[["node", "start", "k0", "one"]].itertuples(index=False):
+            size = len(raw) // 8
+            if one:
+                made += [(n, start + a, start + b + length) for a, b in _runs(np.flatnonzero(twice_[at : at + size]))]
+            at += size
+        return pd.DataFrame(made, columns=["node", "start", "end"])
+
+    pieces = "seed long, cell long, node binary, start int, k0 binary, k1 binary, one boolean"
+    crossed = crowds.mapInPandas(parted, pieces).groupBy("seed", "cell").applyInPandas(merged, "node binary, start int, end int")
     removed = copied.distinct().union(local.filter("k0 IS NULL").select("node", "start", "end")).union(crossed)
 
     # start and end in one long, so that a text's runs are an array of numbers

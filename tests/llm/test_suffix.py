@@ -41,7 +41,7 @@ def test_suffix_array_and_common_prefixes():
 def test_against_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(suffix, "CROWD", crowd)
     monkeypatch.setattr(suffix, "SHARD", 20)
-    monkeypatch.setattr(suffix, "MERGE", 500)
+    monkeypatch.setattr(suffix, "MERGE", 60)
     monkeypatch.setattr(suffix, "CHUNK", 700)
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
