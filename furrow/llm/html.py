@@ -55,7 +55,7 @@ def _dropped(name: str, attributes: str, inside: bool) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """(text, length that counts) of each line: length 0 for empty lines and for text in links."""
+    """(text, length that counts) of each line: length 0 for empty lines and for text in links outside article and main."""
     made: list[tuple[str, int]] = []
     text: list[str] = []
     linked = 0
@@ -95,7 +95,7 @@ def lines(page: str) -> list[tuple[str, int]]:
         piece = page[at : m.start()] if m else page[at:]
         if piece and not depth["dropped"]:
             text.append(piece)
-            linked += len(piece) if depth["a"] else 0
+            linked += len(piece) if depth["a"] and not depth["inside"] else 0
         if m is None:
             break
         at = m.end()
@@ -158,7 +158,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, page: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with the main text in ``into`` (replacing a column of that name).
 
-    A NULL or empty page, or one without text outside links and dropped elements, gives an empty text. Every
+    A NULL or empty page, or one without text that counts outside dropped elements, gives an empty text. Every
     row stays, repeated rows give the same text, cut-off markup is read as far as it goes. One pass, no shuffle.
     """
 

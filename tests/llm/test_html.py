@@ -40,3 +40,16 @@ def test_article_of_every_page(spark):
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         blocks = (" ".join(unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", article))
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+LINKED = [
+    ("<article><h1><a href=x>Title</a></h1><p>Body</p></article>", "Title\nBody"),
+    ("<article><p>Body.</p><ol><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a><li><a href=4>Four</a></ol><p>End.</p></article>", "Body.\nOne\nTwo\nThree\nFour\nEnd."),
+    ("<main><p><a href=1>a</a></p><p><a href=2>b</a></p><p><a href=3>c</a></p><p><a href=4>d</a></p></main>", "a\nb\nc\nd"),
+    ("<ul><li><a href=1>Home page of the site</a><li><a href=2>Next</a><li><a href=3>x</a></ul><article><p>B <a href=4>c</a></p></article>", "B c"),
+]
+
+
+@pytest.mark.parametrize("page,text", LINKED)
+def test_links_of_an_article_stay(page, text):
+    assert html.main_text(page) == text
