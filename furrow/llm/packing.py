@@ -9,6 +9,7 @@ for best fit. What goes back to Spark is a table of slots per length: a piece fi
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +30,10 @@ TEXTS, REMEMBERED = 256, 600_000
 STEP, RATE, NEAR, REST = 0.34, 3.0, 0.02, 400
 
 
+#: Not word by word: double spaces, a space between other white space, white space other than spaces and line breaks.
+_WHOLE = re.compile(r"  |\s (?!\S)|[^\S \n]")
+
+
 def public_vocabulary() -> str:
     import public_tokenizers
 
@@ -38,9 +43,10 @@ def public_vocabulary() -> str:
 class Ids:
     """Byte-level BPE ids of texts, remembered per word.
 
-    The vocabulary's pattern never joins a word to the space after it, so a text without double spaces may be
-    encoded word by word (a word with the space before it). Unknown words are encoded together and parted by
-    their lengths in bytes.
+    The vocabulary's pattern never joins a word to the space after it, so a text whose white space is single spaces and
+    plain line breaks may be encoded word by word (a word with the space before it), where no space is inside a run of
+    white space. Unknown words are encoded together and parted by their lengths in bytes, those that begin or end with
+    white space one by one.
     """
 
     def __init__(self, path: str):
@@ -62,6 +68,11 @@ class Ids:
     def _learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
+        for w in [w for w in words if w != w.strip() or not w]:
+            self.known[w] = np.array(self.coder.encode_ordinary(" " + w), "<u4").tobytes()
+        words = [w for w in words if w and w == w.strip()]
+        if not words:
+            return
         ids = np.array(self.coder.encode_ordinary(" " + " ".join(words)), "<u4")
         ends = np.cumsum(self.sizes[ids])
         at = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in words])) + 1
@@ -72,7 +83,7 @@ class Ids:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split(" ") if "  " not in t else None for t in texts]
+        split = [None if _WHOLE.search(t) else t.split(" ") for t in texts]
         wanted = set().union(*(s[1:] for s in split if s))
         new = wanted - self.known.keys()
         if new:

@@ -74,3 +74,14 @@ def test_word_by_word_is_the_same_as_whole(spark, plain):
 
     texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert packing.Ids(packing.public_vocabulary())(texts) == [np.array(plain(t), "<u4").tobytes() for t in texts]
+
+
+def test_white_space_in_turns(plain):
+    import itertools
+
+    runs = ["".join(r) for n in (1, 2, 3, 4, 5) for r in itertools.product(" \n\xa0", repeat=n)]
+    runs += [" \t ", "\t ", "\r\n ", " \u3000 \u3000 ", " \x85 ", "\u2009 \u2009"]
+    texts = ["foo \xa0 \xa0 bar", *(f"foo{r}bar" for r in runs), *(f"foo{r}" for r in runs), *(f"{r}bar 's" for r in runs), *(f"a{r}b{s}c" for r in runs[:39] for s in runs[:39])]
+    ids = packing.Ids(packing.public_vocabulary())
+    for _ in range(2):
+        assert ids(texts) == [np.array(plain(t), "<u4").tobytes() for t in texts]
