@@ -5,6 +5,7 @@ weighted sets (the plain Jaccard index where nothing repeats). Every shingle emi
 with its weight as rate; a component keeps the shingle of its first arrival, and a shingle stops when its next
 arrival comes after the last first arrival. Exact copies are one node from the start. In each band bucket members
 are compared with leaders, the member with the most company first, so no bucket is expanded into all its pairs.
+What leaders leave apart in large buckets meets by an exact prefix filter: the rarest shingles of a text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.lineage import cut, release
@@ -22,7 +23,8 @@ from furrow.llm.links import components
 WORDS, SIMILAR = 5, 0.8
 #: Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million.
 BANDS, ROWS = 24, 4
-#: Buckets up to this size are compared pair by pair; later rounds of leaders for what a bucket's leaders left over.
+#: Buckets up to this size are compared pair by pair; later rounds of leaders for what a bucket's leaders left over,
+#: before what is still apart goes through the prefix filter.
 SMALL, ROUNDS = 6, 3
 TEXTS = 256
 
@@ -155,6 +157,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("s", similar("xs", "xw", "ys", "yw")).filter(F.col("s") >= SIMILAR - 1e-9).select("a", "b")
 
 
+def _prefixed(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes of ``rest`` with different labels, all that can reach the threshold among them.
+
+    The similarity is at most the share of each text's weight that lies in shared shingles. So in any one order of
+    the shingles, two similar texts share one among those with at most 1 - SIMILAR of the weight before them; rare
+    shingles come first, so few texts meet at one.
+    """
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n, s, w in zip(batch["node"], batch["shingles"], batch["weights"], strict=True):
+                weight = np.frombuffer(w, np.float64)
+                yield pd.DataFrame({"node": n, "shingle": np.frombuffer(s, np.int64), "share": weight / weight.sum()})
+
+    each = sets.join(rest.select("node"), "node").select("node", "shingles", "weights").mapInPandas(shares, "node binary, shingle long, share double")
+    held = each.groupBy("shingle").agg(F.count("*").alias("held"))
+    before = Window.partitionBy("node").orderBy("held", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.join(held, "shingle").withColumn("before", F.coalesce(F.sum("share").over(before), F.lit(0.0)))
+    first = cut(placed.filter((F.col("before") <= 1 - SIMILAR + 1e-6) & (F.col("held") > 1)).join(rest, "node").select("node", "label", "shingle"))
+    met = first.alias("l").join(first.alias("r"), F.expr("l.shingle = r.shingle AND l.node < r.node AND l.label <> r.label"))
+    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """Shingles and weights of the wanted nodes."""
 
@@ -219,6 +244,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         tried = cut(tried.union(new))
         # the labels stand for the links found before
         labels = components(_verified(new, sets).union(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+    labelled = seats.filter(F.col("n") > SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
+    rest = cut(labelled.join(apart, "key").select("node", "label").distinct())
+    if rest.limit(1).count():
+        new = cut(_prefixed(rest, sets).join(tried, ["a", "b"], "left_anti"))
+        labels = components(_verified(new, sets).union(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
     return nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 

@@ -74,6 +74,13 @@ def test_classes_are_brute_force_classes(spark):
     assert set(kept) == {r.class_id for r in got} and {k for k, n in kept.items() if n > 1} <= {996}
 
 
+def test_crowd_of_unlike_pairs(spark):
+    body = ["b%d" % i for i in range(104)]  # unlike texts share 100 of 128 shingles, a pair 102 of 126
+    rows = [(i, " ".join([*body, *("c%d" % (i // 2 * 2 + j) for j in range(2)), *("u%d_%d" % (i, j) for j in range(12))])) for i in range(600)]
+    got = minhash.with_class(spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)).collect()
+    assert sum(r.class_id != r.doc_id // 2 * 2 for r in got) == 0 and len(got) == 600
+
+
 def test_query_on_a_table_and_empty(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = QUERIES["op5_near_dedup"](spark, SMALL).collect()
