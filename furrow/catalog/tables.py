@@ -222,8 +222,8 @@ def join_year_and_sort(spark, folder):
     keys = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"]
     # -0.0 occurs in the data; adding 0.0 leaves one zero to sort by
     shown = joined.withColumn("p", nulls.fill(F.nullif("l_discount", F.lit(0.05)), 0.0) + F.lit(0.0))
-    place = F.row_number().over(Window.partitionBy("year").orderBy(F.col("p").desc_nulls_last(), *keys))
-    out = shown.select("l_orderkey", "l_partkey", "l_linenumber", "year", place.cast("bigint").alias("place"))
+    placed = ordering.place(shown.select("year", "p", *keys), [F.col("p").desc_nulls_last(), *keys], "place", by=["year"])
+    out = placed.select("l_orderkey", "l_partkey", "l_linenumber", "year", (F.col("place") + 1).alias("place"))
     return out.orderBy(F.col("year").asc_nulls_last(), "place")
 
 

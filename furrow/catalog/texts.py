@@ -66,7 +66,8 @@ _FOLDS = f"""
 
 @query("kfold_contiguous", f"with {_CLEAN}, {_FOLDS} select doc_id, cast(label as bigint) as label, fold from docs")
 def kfold_contiguous(spark, folder):
-    docs = ordering.kfold(labelled(Tables(spark, folder)), OUTER_FOLDS, "doc_id", ["label"], descending=("label",))
+    ids = labelled(Tables(spark, folder)).select("doc_id", "label")
+    docs = ordering.kfold(ids, OUTER_FOLDS, "doc_id", ["label"], descending=("label",))
     return docs.select("doc_id", F.col("label").cast("bigint").alias("label"), F.col("fold").cast("bigint").alias("fold"))
 
 

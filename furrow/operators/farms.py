@@ -33,7 +33,6 @@ from furrow.functions.nulls import (
     sum_skip,
 )
 from furrow.lineage import cut
-from furrow.operators.ordering import BUCKETS, equi_depth_splits
 from furrow.operators.quantile import quantile_of_weights
 from furrow.operators.relational import lookup_first, merge
 
@@ -69,7 +68,7 @@ def country_thresholds(
     q: float = SMALL_SCALE_QUANTILE,
     min_cells: int = MIN_USABLE_CELLS,
     by: list[str] | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Per (by, iso3): iso3_usable and the thresholds t_fs, t_gdp and minima min_fs, min_gdp of its group.
 
@@ -105,8 +104,7 @@ def country_thresholds(
         .groupBy(*group, "__x")
         .agg(F.sum("__w").alias("__w"))
     )
-    splits = equi_depth_splits(pooled, ["__x"], buckets)["__x"]
-    cuts = quantile_of_weights(pooled.filter(F.col("__w") > 0), group, q, "t", splits)
+    cuts = quantile_of_weights(pooled.filter(F.col("__w") > 0), group, q, "t", buckets)
     lows = pooled.groupBy(*group).agg(F.min("__x").alias("low"))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
     wide = (
@@ -128,7 +126,7 @@ def classify_small_scale(
     q: float = SMALL_SCALE_QUANTILE,
     min_cells: int = MIN_USABLE_CELLS,
     by: list[str] | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Mark cells of small-scale farms: both farm size and product per head in the lowest share.
 

@@ -1,79 +1,121 @@
 """Orders, ordinals and folds without a single-task sort.
 
-The trick throughout: equi-depth split points of the order column, fetched once and put in the plan
-as literals. A bucket then holds about 1/buckets of all rows however the groups are skewed, and as
-the splits are literals a recomputed task puts every row in the same bucket again.
+The trick throughout: a frame is stored once, range-partitioned in the wanted order, and each stored row carries
+its range and its place in the range. Rows are counted per range, the counts give offsets, and offset plus place is
+the position. The order may be any list of sort columns of any types; a key that a third of all rows share is cut
+into several ranges by the order in which the rows were read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Callable
+from itertools import accumulate
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.nulls import _col
+from furrow.lineage import cut, release
 
-BUCKETS = 512
+AT = "__at"
+_INSIDE = 33  # bits of the place in a range, as ``monotonically_increasing_id`` has them
+#: Rows a range holds at most on average, however few partitions the session asks for.
+RANGE_ROWS = 2_000_000
 
 
-def equi_depth_splits(df: DataFrame, cols: list[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
-    """Inner split points per column. Runs one pass over these columns; the sketches merge on the way."""
-    if buckets < 2:
-        return {c: [] for c in cols}
-    probabilities = [i / buckets for i in range(1, buckets)]
-    found = df.approxQuantile(cols, probabilities, 1.0 / (2 * buckets))
-    return {c: sorted({float(v) for v in vs}) for c, vs in zip(cols, found)}
+def same(left: list[str], right: list[str]) -> Column:
+    """Null-safe equality of two lists of columns."""
+    cond = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        cond = cond & F.col(a).eqNullSafe(F.col(b))
+    return cond
 
 
-def with_bucket(df: DataFrame, col: str, splits: list[float], name: str = "__bucket") -> DataFrame:
-    """Add the bucket number of ``col``; buckets follow the order of ``col``."""
-    if not splits:
-        return df.withColumn(name, F.lit(0))
-    edges = [float("-inf"), *splits, float("inf")]
-    cut = Bucketizer(splits=edges, inputCol=col, outputCol=name, handleInvalid="keep")
-    return cut.transform(df).withColumn(name, F.col(name).cast("int"))
+def range_of(at: Column | str = AT) -> Column:
+    return F.shiftright(_col(at), _INSIDE).cast("int")
 
 
-def ordinal(
+def ranged(df: DataFrame, order: list[Column | str], buckets: int | None = None) -> DataFrame:
+    """``df`` stored in ranges of ``order``, sorted inside each; ``__at`` holds range and place in it.
+
+    The frame is computed once: it is stored as it comes unless it already is (``lineage.cut``), and the split points
+    are sampled from that store. Without ``buckets`` there are as many ranges as the session has shuffle partitions,
+    more if a range would hold over ``RANGE_ROWS`` rows. Rows equal in ``order`` lie in the order of the store, so
+    that many equal rows do not meet in one task.
+    """
+    own = getattr(df, "stored_path", None) is None
+    source = cut(df) if own else df
+    if buckets is None:
+        buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), source.count() // RANGE_ROWS + 1)
+    keys = [*order, F.col("__tie")]
+    spread = source.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(buckets, *keys)
+    stored = cut(spread.sortWithinPartitions(*keys).drop("__tie").withColumn(AT, F.monotonically_increasing_id()))
+    if own:
+        release(source)
+    return stored
+
+
+def _sort(cols: list[str], descending: tuple[str, ...]) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if c in descending else F.col(c).asc_nulls_last() for c in cols]
+
+
+def positions(stored: DataFrame) -> tuple[Callable[[str], Column], int]:
+    """What turns an ``__at`` of this stored frame into a 0-based position, and the row count. One count per range
+    comes to the driver."""
+    sizes = {r[0]: r[1] for r in stored.groupBy(range_of()).count().collect()}
+    counts = [sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)]
+    before = F.split(F.lit(",".join(map(str, accumulate([0, *counts])))), ",").cast("array<bigint>")
+    return lambda at: F.get(before, range_of(at)) + F.col(at).bitwiseAND((1 << _INSIDE) - 1), sum(counts)
+
+
+def numbered(df: DataFrame, name: str = "ordinal") -> tuple[DataFrame, int]:
+    """``df`` stored with gapless 0-based numbers in the order it was read, and its row count. No shuffle."""
+    stored = cut(df.withColumn(AT, F.monotonically_increasing_id()))
+    position, n = positions(stored)
+    return stored.withColumn(name, position(AT)).drop(AT), n
+
+
+def place(
     df: DataFrame,
-    key: str,
-    lead: list[str] | None = None,
+    order: list[Column | str],
     name: str = "ordinal",
+    by: list[str] | None = None,
     total: str | None = None,
-    buckets: int = BUCKETS,
-    splits: list[float] | None = None,
+    buckets: int | None = None,
     descending: tuple[str, ...] = (),
 ) -> DataFrame:
-    """0-based position in the order of ``lead`` (few-valued columns), then ``key`` (numeric, unique).
+    """0-based position of every row in ``order``, inside its group of ``by``; ``total`` adds the group's row count.
 
-    Rows are counted per (lead, bucket), the counts turned into offsets, and positions taken inside
-    each bucket; nothing is sorted in one task but the offset table of buckets x lead values.
-    ``total`` also adds the row count.
+    Starts jobs. Positions are fixed by what is stored, equal rows included. The driver sees one count per range.
+    A group is found by one aggregate and one join, and may hold any share of the rows.
     """
-    lead = lead or []
-    if splits is None:
-        splits = equi_depth_splits(df, [key], buckets)[key]
-    cut = with_bucket(df, key, splits)
-    groups = [*lead, "__bucket"]
-    sizes = cut.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    lead_order = [F.col(c).desc_nulls_last() if c in descending else F.col(c).asc_nulls_last() for c in lead]
-    everything = Window.orderBy(*lead_order, F.col("__bucket"))
-    offsets = sizes.select(
-        *[F.col(c).alias(f"__o_{c}") for c in groups],
-        F.coalesce(F.sum("__n").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__n").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
-    )
-    cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in lead], F.col("__bucket") == F.col("__o___bucket"))
-    placed = cut.join(offsets, cond, "inner")
-    inside = F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(key)))
-    out = {name: F.col("__before") + inside - 1}
+    by = by or []
+    stored = ranged(df, [*_sort(by, descending), *order], buckets)
+    position, n = positions(stored)
+    out = {name: position(AT)}
+    if by:
+        keys = [f"__b{i}" for i in range(len(by))]
+        groups = stored.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(
+            F.min(AT).alias("__pl_first"), F.count(F.lit(1)).alias("__pl_rows")
+        )
+        stored = stored.join(groups, same(by, keys), "inner")
+        out[name] = position(AT) - position("__pl_first")
     if total:
-        out[total] = F.col("__total")
-    drop = ["__bucket", "__before", "__total", *[f"__o_{c}" for c in groups]]
-    return placed.withColumns(out).drop(*drop)
+        out[total] = F.col("__pl_rows") if by else F.lit(n).cast("bigint")
+    return stored.withColumns(out).drop(AT, "__pl_first", "__pl_rows", *[f"__b{i}" for i in range(len(by))])
+
+
+def ordinal(
+    df: DataFrame,
+    key: str,
+    lead: list[str] | None = None,
+    name: str = "ordinal",
+    total: str | None = None,
+    buckets: int | None = None,
+    descending: tuple[str, ...] = (),
+) -> DataFrame:
+    """0-based position in the order of ``lead``, then ``key``; ``total`` also adds the row count."""
+    return place(df, [*_sort(lead or [], descending), F.col(key)], name, total=total, buckets=buckets)
 
 
 def fold_of(position: Column | str, n: Column | str, k: int) -> Column:
@@ -95,14 +137,8 @@ def kfold(df: DataFrame, k: int, key: str, lead: list[str] | None = None, name:
 
 def stratified_kfold(df: DataFrame, k: int, key: str, label: str, name: str = "fold", **kwargs) -> DataFrame:
     """Contiguous folds inside each class: every fold keeps the class shares."""
-    sized = ordinal(df, key, [label], name="__i", **kwargs)
-    bounds = sized.groupBy(F.col(label).alias("__class")).agg(
-        F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__rows")
-    )
-    joined = sized.join(bounds, F.col(label).eqNullSafe(F.col("__class")), "inner")
-    return joined.withColumn(name, fold_of(F.col("__i") - F.col("__first"), "__rows", k)).drop(
-        "__i", "__class", "__first", "__rows"
-    )
+    placed = place(df, [F.col(key)], "__i", by=[label], total="__rows", **kwargs)
+    return placed.withColumn(name, fold_of("__i", "__rows", k)).drop("__i", "__rows")
 
 
 def hash_key(col: Column | str, seed: int) -> Column:
@@ -127,22 +163,19 @@ def split_rows(df: DataFrame, key: str, test: float = 0.25, seed: int = 0, metho
         return df.withColumn("is_test", hash_bucket(key, seed, scale) < int(test * scale))
     if method != "exact":
         raise ValueError(f"method must be 'hash' or 'exact', not {method!r}")
-    # 52 bits of the hash: exact as a double, and unique in practice; the key settles any tie.
-    spread = df.withColumn("__spread", F.conv(F.substring(hash_key(key, seed), 1, 13), 16, 10).cast("double"))
-    placed = ordinal(spread, "__spread", name="__i", total="__rows", **kwargs)
-    return placed.withColumn("is_test", F.col("__i") < F.ceil(F.col("__rows") * test)).drop("__i", "__rows", "__spread")
+    # 52 bits of the hash: unique in practice; the key settles any tie
+    placed = place(df, [F.substring(hash_key(key, seed), 1, 13), F.col(key)], "__i", total="__rows", **kwargs)
+    return placed.withColumn("is_test", F.col("__i") < F.ceil(F.col("__rows") * test)).drop("__i", "__rows")
 
 
 def category_order(df: DataFrame, category: str, by: Column, name: str = "category_ord") -> DataFrame:
     """Attach the 1-based rank of each category, highest aggregate first, name as tie-break.
 
-    The ranking runs on one row per category.
+    The categories, one row each, are placed like any other frame, so there may be any number of them.
     """
     totals = df.groupBy(F.col(category).alias("__cat")).agg(by.alias("__by"))
-    ranked = totals.select(
-        "__cat",
-        F.row_number().over(Window.orderBy(F.col("__by").desc_nulls_last(), F.col("__cat").asc_nulls_last())).alias(name),
-    )
+    placed = place(totals, [F.col("__by").desc_nulls_last(), F.col("__cat").asc_nulls_last()], "__place")
+    ranked = placed.select("__cat", (F.col("__place") + 1).cast("int").alias(name))
     return df.join(ranked, F.col(category).eqNullSafe(F.col("__cat")), "left").drop("__cat")
 
 
@@ -156,8 +189,10 @@ def reverse_index(df: DataFrame, order: list[Column], first: int | None = None,
     """The rows in the given order, numbered n, n-1, ... 1; with ``first`` only that many from the top.
 
     With ``first`` the cut is a distributed top-k, so the numbering sees ``first`` rows; n is a scalar subquery.
-    Without it all rows are numbered in one sort: for results of bounded size. ``order`` must settle every tie.
+    Without it the rows are placed by ranges. ``order`` must settle every tie.
     """
+    if first is None:
+        placed = place(df, order, "__place", total="__rows")
+        return placed.withColumn(name, (F.col("__rows") - F.col("__place")).cast("bigint")).drop("__place", "__rows")
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    head = df if first is None else df.orderBy(*order).limit(first)
-    return head.withColumn(name, n - F.row_number().over(Window.orderBy(*order)) + 1)
+    return df.orderBy(*order).limit(first).withColumn(name, n - F.row_number().over(Window.orderBy(*order)) + 1)

@@ -1,143 +1,117 @@
 """Exact per-group quantiles that survive hot groups.
 
-Rows are first summed per (group, value). Equi-depth buckets of the value then give short running
-sums per group; only the bucket in which the target falls is sorted. A group of any size is spread
-over the buckets, and no list of values is ever built.
+Rows are summed once per (group, value); the sums are stored in ranges of (group, value). The weight of each
+(group, range) gives the range in which a group's target falls, and only the rows of that range are put in order. A
+group of any size is spread over the ranges, and no list of values is ever built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.nulls import if3, nan_to_null
-from furrow.operators.ordering import BUCKETS, equi_depth_splits, with_bucket
+from furrow.lineage import cut
+from furrow.operators.ordering import range_of, ranged, same
 
 Reached = Callable[[Column, Column], Column]  # (running weight, total weight) -> target reached
 
 
-def _same(left: list[str], right: list[str]) -> Column:
-    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+def _first_reaching(stored: DataFrame, by: list[str], targets: dict[str, Reached], usable: Column | None = None) -> DataFrame:
+    """``stored`` is a ``ranged`` frame of by, __x, __w with one row per (by, __x). One row per group, one column per target.
 
-
-def _first_reaching(
-    weights: DataFrame, by: list[str], splits: list[float], targets: dict[str, Reached]
-) -> DataFrame:
-    """``weights`` holds by, __x, __w with one row per (by, __x). One row per group, one column per target."""
-    cut = with_bucket(weights, "__x", splits)
-    in_order = Window.partitionBy(*by).orderBy("__bucket")
-    sums = cut.groupBy(*by, "__bucket").agg(F.sum("__w").alias("__bw"))
+    A group has at most as many range sums as there are ranges. A target is settled in a range of one group; rows of
+    other ranges are dropped by a semi-join-like filter before anything is sorted.
+    """
+    rows = (stored if usable is None else stored.filter(usable)).withColumn("__range", range_of())
+    in_order = Window.partitionBy(*by).orderBy("__range")
+    sums = rows.groupBy(*by, "__range").agg(F.sum("__w").alias("__bw"))
     running = sums.select(
         *by,
-        "__bucket",
+        "__range",
         F.sum("__bw").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("__cum"),
         F.coalesce(F.sum("__bw").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
         F.sum("__bw").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__tot"),
     )
-    names = list(targets)
-    spot = F.struct(F.col("__bucket").alias("b"), F.col("__before").alias("before"), F.col("__tot").alias("tot"))
+    spot = F.struct(F.col("__range").alias("b"), F.col("__before").alias("before"), F.col("__tot").alias("tot"))
     keys = [f"__k{i}" for i in range(len(by))]
-    hits = running.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("which"),
-                    F.min_by(spot, F.when(targets[t](F.col("__cum"), F.col("__tot")), F.col("__bucket"))).alias("at"),
-                )
-                for i, t in enumerate(names)
-            ]
-        ).alias("__hits")
-    )
+    found = [
+        F.struct(F.lit(i).alias("which"), F.min_by(spot, F.when(reached(F.col("__cum"), F.col("__tot")), F.col("__range"))).alias("at"))
+        for i, reached in enumerate(targets.values())
+    ]
+    hits = running.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.array(*found).alias("__hits"))
     hits = hits.select(*keys, F.explode("__hits").alias("__h")).select(
         *keys,
         F.col("__h.which").alias("__which"),
-        F.col("__h.at.b").alias("__at"),
+        F.col("__h.at.b").alias("__spot"),
         F.col("__h.at.before").alias("__before"),
         F.col("__h.at.tot").alias("__tot"),
     )
-    inside = cut.join(hits, _same([*by, "__bucket"], [*keys, "__at"]), "inner")
+    inside = rows.join(hits, same([*by, "__range"], [*keys, "__spot"]), "inner")
     within = Window.partitionBy(*by, "__which").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("__cum", F.col("__before") + F.sum("__w").over(within))
     picks = []
-    for i, t in enumerate(names):
+    for i, (name, reached) in enumerate(targets.items()):
         mine = F.col("__which") == i
-        reached = F.min(F.when(mine & targets[t](F.col("__cum"), F.col("__tot")), F.col("__x")))
-        # The two running sums may differ in the last bit; the bucket's last value is then the answer.
-        picks.append(F.coalesce(reached, F.max(F.when(mine, F.col("__x")))).alias(t))
+        first = F.min(F.when(mine & reached(F.col("__cum"), F.col("__tot")), F.col("__x")))
+        # The two running sums may differ in the last bit; the range's last value is then the answer.
+        picks.append(F.coalesce(first, F.max(F.when(mine, F.col("__x")))).alias(name))
     return inside.groupBy(*by).agg(*picks)
 
 
 def weighted_quantile(
-    df: DataFrame,
-    x: str,
-    w: str,
-    q: float,
-    by: list[str],
-    name: str = "threshold",
-    buckets: int = BUCKETS,
-    splits: list[float] | None = None,
+    df: DataFrame, x: str, w: str, q: float, by: list[str], name: str = "threshold", buckets: int | None = None
 ) -> DataFrame:
     """Smallest ``x`` whose cumulative weight share reaches ``q``: one row per group with a valid pair.
 
-    Rows with NULL or NaN ``x``, or NULL, NaN or zero ``w`` are left out. Runs one pass for the split
-    points unless ``splits`` are given.
+    Rows with NULL or NaN ``x``, or NULL, NaN or zero ``w`` are left out. ``df`` is computed once, into sums.
     """
     if not 0 <= q < 1:
         raise ValueError("q must be in [0, 1)")
     valid = df.select(
         *by, nan_to_null(F.col(x).cast("double")).alias("__x"), nan_to_null(F.col(w).cast("double")).alias("__w")
     ).filter(F.col("__x").isNotNull() & (F.col("__w") > 0))
-    if splits is None:
-        splits = equi_depth_splits(valid, ["__x"], buckets)["__x"]
     weights = valid.groupBy(*by, "__x").agg(F.sum("__w").alias("__w"))
-    return quantile_of_weights(weights, by, q, name, splits)
+    return quantile_of_weights(weights, by, q, name, buckets)
 
 
-def quantile_of_weights(weights: DataFrame, by: list[str], q: float, name: str, splits: list[float]) -> DataFrame:
+def quantile_of_weights(weights: DataFrame, by: list[str], q: float, name: str, buckets: int | None = None) -> DataFrame:
     """The same from rows already summed to one per (by, __x) with a weight __w above 0."""
-    return _first_reaching(weights, by, splits, {name: lambda cum, tot: cum / tot >= q})
+    stored = ranged(weights, [*[F.col(c) for c in by], F.col("__x")], buckets)
+    return _first_reaching(stored, by, {name: lambda cum, tot: cum / tot >= q})
 
 
-def median_strict(
-    df: DataFrame,
-    x: str,
-    by: list[str],
-    name: str = "median",
-    buckets: int = BUCKETS,
-    splits: list[float] | None = None,
-) -> DataFrame:
+def median_strict(df: DataFrame, x: str, by: list[str], name: str = "median", buckets: int | None = None) -> DataFrame:
     """Exact median per group (mean of the middle two); NULL when a group holds a NULL or NaN."""
     values = df.select(*by, nan_to_null(F.col(x).cast("double")).alias("__x"))
-    if splits is None:
-        splits = equi_depth_splits(values.filter(F.col("__x").isNotNull()), ["__x"], buckets)["__x"]
     weights = values.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__w"))
+    stored = ranged(weights, [*[F.col(c) for c in by], F.col("__x")], buckets)
     keys = [f"__s{i}" for i in range(len(by))]
-    whole = weights.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(
+    whole = stored.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(
         F.max(F.col("__x").isNull()).alias("__broken")
     )
     middle = _first_reaching(
-        weights.filter(F.col("__x").isNotNull()),
-        by,
-        splits,
-        {"__lo": lambda cum, tot: cum * 2 >= tot, "__hi": lambda cum, tot: cum * 2 >= tot + 1},
+        stored, by, {"__lo": lambda cum, tot: cum * 2 >= tot, "__hi": lambda cum, tot: cum * 2 >= tot + 1}, F.col("__x").isNotNull()
     )
-    joined = whole.join(middle, _same(keys, by), "left")
+    joined = whole.join(middle, same(keys, by), "left")
     value = F.when(~F.col("__broken"), (F.col("__lo") + F.col("__hi")) / 2)
-    return joined.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], value.alias(name))
+    return joined.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], value.alias(name))
 
 
 def flag_below_quantile(
     df: DataFrame, x: str, w: str, q: float, by: list[str], threshold: str, flag: str, **kwargs
 ) -> DataFrame:
-    """Add the group's weighted quantile and 1/0 for ``x`` at or below / above it (NULL if either is)."""
+    """Add the group's weighted quantile and 1/0 for ``x`` at or below / above it (NULL if either is).
+
+    ``df`` is computed once: it is stored unless it already is.
+    """
+    df = df if getattr(df, "stored_path", None) else cut(df)
     cuts = weighted_quantile(df, x, w, q, by, threshold, **kwargs)
     keys = [f"__q{i}" for i in range(len(by))]
     cuts = cuts.withColumnsRenamed(dict(zip(by, keys)))
-    joined = df.join(cuts, _same(by, keys), "left").drop(*keys)
+    joined = df.join(cuts, same(by, keys), "left").drop(*keys)
     return joined.withColumn(flag, if3(nan_to_null(F.col(x).cast("double")) <= F.col(threshold), F.lit(1), F.lit(0)))
 
 

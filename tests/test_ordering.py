@@ -104,3 +104,83 @@ def test_mode_first_seen_wins_ties(spark):
     rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "y"), ("a", 4, "x"), ("b", 1, None), ("b", 2, None), ("b", 3, "z"), ("c", 2, "q"), ("c", 1, "p")]
     df = spark.createDataFrame(rows, "k string, layer int, v string")
     assert table(mode_first(df, ["k"], "v", "layer")) == [("a", "x"), ("b", None), ("c", "p")]
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 512])
+def test_place_in_composite_orders_is_the_same_for_any_number_of_ranges(spark, buckets):
+    rows = [(f"k{i * 7919 % 13}" if i % 11 else None, float(i % 5) if i % 3 else float("nan"), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "s string, x double, i int")
+    order = [F.col("x").desc_nulls_last(), F.col("s").asc_nulls_first(), F.col("i")]
+    got = ordering.place(df, order, "p", buckets=buckets, total="n")
+    want = F.row_number().over(Window.orderBy(*order)) - 1
+    assert got.withColumn("w", want).filter("w <> p or n <> 600").count() == 0
+    inside = ordering.place(df, order, "p", by=["s"], total="n", buckets=buckets)
+    groups = Window.partitionBy("s")
+    checked = inside.withColumns({"w": F.row_number().over(groups.orderBy(*order)) - 1, "m": F.count(F.lit(1)).over(groups)})
+    assert checked.filter("w <> p or n <> m").count() == 0 and checked.count() == 600
+
+
+def test_equal_rows_are_spread_over_the_ranges(spark):
+    df = spark.range(0, 4000, 1, 8).select(F.lit("hot").alias("k"), F.lit(1).alias("v"))
+    stored = ordering.ranged(df, [F.col("k")], 8)
+    sizes = [r["count"] for r in stored.groupBy(ordering.range_of()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 900
+    assert sorted(r[0] for r in ordering.place(df, [F.col("k")], "p", buckets=8).select("p").collect()) == list(range(4000))
+
+
+def test_place_of_nothing_and_one_row(spark):
+    empty = spark.createDataFrame([], "k string, v int")
+    assert ordering.place(empty, [F.col("v")], "p", by=["k"], total="n").collect() == []
+    assert ordering.place(empty, [F.col("v")], "p", total="n").collect() == []
+    assert [tuple(r) for r in ordering.place(empty.unionAll(spark.sql("select null, 3")), [F.col("v")], "p", by=["k"], total="n").collect()] == [(None, 3, 0, 1)]
+
+
+def test_folds_and_splits_are_the_same_for_any_number_of_ranges(spark):
+    df = spark.range(200).select("id", (F.col("id") % 3).cast("int").alias("label"))
+    for make in (
+        lambda n: ordering.kfold(df, 7, "id", ["label"], buckets=n, descending=("label",)),
+        lambda n: ordering.stratified_kfold(df, 4, "id", "label", buckets=n),
+        lambda n: ordering.split_rows(df, "id", 0.3, seed=1, method="exact", buckets=n),
+    ):
+        assert table(make(2)) == table(make(7)) == table(make(512))
+
+
+def test_no_row_is_numbered_in_one_task(spark):
+    df = spark.range(300).select("id", (F.col("id") % 3).alias("g"))
+    for made in (ordering.place(df, [F.col("id")], by=["g"]), ordering.reverse_index(df, [F.col("id")]), ordering.kfold(df, 3, "id", ["g"])):
+        text = made._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in text and "SinglePartition" not in text
+
+
+class Reads:
+    """Rows that a frame yields each time it is computed."""
+
+    def __init__(self, spark, df):
+        self.count = spark.sparkContext.accumulator(0)
+        seen = self.count
+
+        def tell(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        self.df = df.mapInArrow(tell, df.schema)
+
+
+def test_inputs_are_computed_once(spark):
+    base = spark.range(0, 500, 1, 4).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 37).cast("double").alias("x"), F.lit(1.0).alias("w"))
+    for use in (
+        lambda df: weighted_quantile(df, "x", "w", 0.4, ["g"]),
+        lambda df: median_strict(df, "x", ["g"]),
+        lambda df: flag_below_quantile(df, "x", "w", 0.4, ["g"], "t", "f"),
+        lambda df: ordering.kfold(df, 5, "id", ["g"]),
+    ):
+        reads = Reads(spark, base)
+        use(reads.df).collect()
+        assert reads.count.value == 500
+
+
+def test_quantiles_are_the_same_for_any_number_of_ranges(spark):
+    df = spark.range(900).select((F.col("id") % 4).alias("g"), ((F.col("id") * 31) % 97).cast("double").alias("x"), ((F.col("id") * 7) % 5).cast("double").alias("w"))
+    assert table(weighted_quantile(df, "x", "w", 0.4, ["g"], buckets=2)) == table(weighted_quantile(df, "x", "w", 0.4, ["g"], buckets=7)) == table(weighted_quantile(df, "x", "w", 0.4, ["g"], buckets=512))
+    assert table(median_strict(df, "x", ["g"], buckets=2)) == table(median_strict(df, "x", ["g"], buckets=512))
