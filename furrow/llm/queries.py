@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, decontam, html, minhash, packing, quality, rules, sharding, suffix, toxicity
+from furrow.llm import chat, decontam, html, merkle, minhash, packing, quality, rules, sharding, suffix, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -141,3 +141,68 @@ def op6_decontaminate(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     made = decontam.with_leaks(docs, table(spark, folder, "benchmark"))
     return made.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.share", "leak.cosine")
+
+
+#: crc32 of a decimal number, a byte and a bit at a time.
+_CRC = (
+    "xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda b: ascii(b)::bigint), "
+    "lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"
+)
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)) + ")"
+
+
+def _tree_sql(name: str, start: str) -> str:
+    """CTE of all nodes (tree, level, i, d) over the leaves of ``start``, each with the number of nodes of its level."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, i, d, count(*) OVER (PARTITION BY tree) AS n FROM {start}
+  UNION ALL
+  SELECT tree, level, i, d, count(*) OVER (PARTITION BY tree) FROM (
+    SELECT tree, level + 1 AS level, i // 16 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d FROM {name} WHERE n > 1 GROUP BY tree, level, i // 16)
+)"""
+
+
+OP11_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i, {_leaf_sql("text")} AS d,
+    CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other
+  FROM documents
+), {_tree_sql("nodes", "leaves")},
+subroots AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, d, tree AS own FROM nodes WHERE n = 1),
+{_tree_sql("tops", "subroots")},
+steps AS (
+  SELECT l.doc_id, x.level AS step, string_agg(x.d, '' ORDER BY x.i) FILTER (x.i < l.i // (16 ** x.level)::bigint) AS a,
+    string_agg(x.d, '' ORDER BY x.i) FILTER (x.i > l.i // (16 ** x.level)::bigint) AS b
+  FROM leaves l JOIN nodes x ON x.tree = l.tree AND x.n > 1 AND x.i // 16 = l.i // (16 ** (x.level + 1))::bigint GROUP BY ALL
+  UNION ALL
+  SELECT l.doc_id, 100 + x.level, string_agg(x.d, '' ORDER BY x.i) FILTER (x.i < s.i // (16 ** x.level)::bigint),
+    string_agg(x.d, '' ORDER BY x.i) FILTER (x.i > s.i // (16 ** x.level)::bigint)
+  FROM leaves l JOIN subroots s ON s.own = l.tree JOIN tops x ON x.n > 1 AND x.i // 16 = s.i // (16 ** (x.level + 1))::bigint GROUP BY ALL
+), placed AS (SELECT doc_id, coalesce(a, '') AS a, coalesce(b, '') AS b, step, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS k FROM steps),
+folds AS (
+  SELECT doc_id, 0 AS k, coalesce(other, d) AS h FROM leaves
+  UNION ALL
+  SELECT f.doc_id, p.k, sha256(p.a || f.h || p.b) FROM folds f JOIN placed p ON p.doc_id = f.doc_id AND p.k = f.k + 1
+)
+SELECT l.doc_id, l.d AS leaf, s.d AS subroot, r.d AS root,
+  sha256(coalesce((SELECT string_agg(a || b, '' ORDER BY k) FROM placed p WHERE p.doc_id = l.doc_id), '')) AS proof_sha256,
+  f.h AS folded_root, f.h = r.d AS verified
+FROM leaves l JOIN subroots s ON s.own = l.tree CROSS JOIN (SELECT d FROM tops WHERE n = 1) r
+JOIN (SELECT doc_id, arg_max(h, k) AS h FROM folds GROUP BY doc_id) f ON f.doc_id = l.doc_id
+"""
+
+
+@query("op11_merkle", OP11_SQL)
+def op11_merkle(spark, folder):
+    docs = table(spark, folder, "documents")
+    lower = F.translate("text", merkle.UPPER, merkle.LOWER)
+    made = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", {"text": lower}, remainder("doc_id", 5) == 0)
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_whiten")
+def op13_whiten(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
