@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, decontam, html, merkle, minhash, packing, quality, rules, sharding, suffix, toxicity, whitening
+from furrow.llm import chat, decontam, html, merkle, minhash, ngrams, packing, quality, rules, sharding, suffix, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -203,6 +203,14 @@ def op11_merkle(spark, folder):
     return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+@query("op12_lm_score")
+def op12_lm_score(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
+    made = ngrams.score(docs.withColumn("held_out", held), ngrams.train(docs.filter(~held)), ["doc_id", "held_out"])
+    return made.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op13_whiten")
 def op13_whiten(spark, folder):
     return whitening.whiten(table(spark, folder, "embeddings"))
