@@ -5,7 +5,8 @@ weighted sets (the plain Jaccard index where nothing repeats). Every shingle emi
 with its weight as rate; a component keeps the shingle of its first arrival, and a shingle stops when its next
 arrival comes after the last first arrival. Exact copies are one node from the start. In each band bucket members
 are compared with leaders, the member with the most company first, so no bucket is expanded into all its pairs.
-What leaders leave apart in large buckets meets by an exact prefix filter: the rarest shingles of a text.
+What leaders leave apart in a large bucket is compared in blocks: some hundred members outside the bucket's main class with
+some hundred members, by products of incidence matrices, and only links that join classes come out.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.lineage import cut, release
@@ -24,8 +25,8 @@ WORDS, SIMILAR = 5, 0.8
 #: Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million.
 BANDS, ROWS = 24, 4
 #: Buckets up to this size are compared pair by pair; later rounds of leaders for what a bucket's leaders left over,
-#: before what is still apart goes through the prefix filter.
-SMALL, ROUNDS = 6, 3
+#: before what is still apart is compared in blocks of so many members, so many shingles at once.
+SMALL, ROUNDS, BLOCK, WIDTH = 6, 3, 384, 4096
 TEXTS = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -143,13 +144,18 @@ def node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _read(shingles: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of a stored set; no weights stand for ones."""
+    hashes = np.frombuffer(shingles, np.uint64)
+    return hashes, np.frombuffer(weights, np.float64) if len(weights) else np.ones(len(hashes))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold."""
 
     @F.pandas_udf("double")
     def similar(xs: pd.Series, xw: pd.Series, ys: pd.Series, yw: pd.Series) -> pd.Series:
-        read = lambda s, w: (np.frombuffer(s, np.uint64), np.frombuffer(w, np.float64))
-        return pd.Series([similarity(read(a, b), read(c, d)) for a, b, c, d in zip(xs, xw, ys, yw, strict=True)], dtype=float)
+        return pd.Series([similarity(_read(a, b), _read(c, d)) for a, b, c, d in zip(xs, xw, ys, yw, strict=True)], dtype=float)
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xs"), F.col("weights").alias("xw"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("ys"), F.col("weights").alias("yw"))
@@ -157,27 +163,88 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("s", similar("xs", "xw", "ys", "yw")).filter(F.col("s") >= SIMILAR - 1e-9).select("a", "b")
 
 
-def _prefixed(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the nodes of ``rest`` with different labels, all that can reach the threshold among them.
-
-    The similarity is at most the share of each text's weight that lies in shared shingles. So in any one order of
-    the shingles, two similar texts share one among those with at most 1 - SIMILAR of the weight before them; rare
-    shingles come first, so few texts meet at one.
+def _overlaps(shingle: list[np.ndarray], weight: list[np.ndarray], queries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of what each of the first ``queries`` sets shares with each set, by its own weights and by the other's."""
+    sizes = [len(x) for x in shingle]
+    known, at, held = np.unique(np.concatenate(shingle), return_inverse=True, return_counts=True)
+    column = np.cumsum(held > 1) - 1  # a shingle of one set is shared with none
+    row, value = np.repeat(np.arange(len(shingle)), sizes), np.concatenate(weight)
+    some = held[at] > 1
+    row, at, value = row[some], column[at[some]], value[some].astype(np.float32)
+    own, other = (np.zeros((queries, len(shingle)), np.float32) for _ in range(2))
+    order = np.argsort(at, kind="stable")
+    row, at, value = row[order], at[order], value[order]
+    plain = bool((value == 1).all())
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, WIDTH):
+        a, b = np.searchsorted(at, (first, first + WIDTH))
+        there = np.zeros((len(shingle), WIDTH), np.float32)
+        there[row[a:b], at[a:b] - first] = 1
+        if plain:
+            own += there[:queries] @ there.T
+            continue
+        heavy = np.zeros_like(there)
+        heavy[row[a:b], at[a:b] - first] = value[a:b]
+        own += heavy[:queries] @ there.T
+        other += there[:queries] @ heavy.T
+    return own, own if plain else other
+
+
+def linked_classes(label: np.ndarray, query: np.ndarray, shingle: list[np.ndarray], weight: list[np.ndarray]) -> list[tuple]:
+    """Pairs of labels that a link between a query and any other member joins, enough of them to join all that belong together.
+
+    A similarity is at most the share of either weight that is shared; where no shingle repeats it follows from the shared
+    weight. Exact similarities are taken only of pairs that can reach the threshold and whose labels are still apart.
     """
-
-    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for n, s, w in zip(batch["node"], batch["shingles"], batch["weights"], strict=True):
-                weight = np.frombuffer(w, np.float64)
-                yield pd.DataFrame({"node": n, "shingle": np.frombuffer(s, np.int64), "share": weight / weight.sum()})
-
-    each = sets.join(rest.select("node"), "node").select("node", "shingles", "weights").mapInPandas(shares, "node binary, shingle long, share double")
-    held = each.groupBy("shingle").agg(F.count("*").alias("held"))
-    before = Window.partitionBy("node").orderBy("held", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.join(held, "shingle").withColumn("before", F.coalesce(F.sum("share").over(before), F.lit(0.0)))
-    first = cut(placed.filter((F.col("before") <= 1 - SIMILAR + 1e-6) & (F.col("held") > 1)).join(rest, "node").select("node", "label", "shingle"))
-    met = first.alias("l").join(first.alias("r"), F.expr("l.shingle = r.shingle AND l.node < r.node AND l.label <> r.label"))
-    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    order = np.argsort(~query, kind="stable")
+    label, shingle, weight, n = label[order], [shingle[i] for i in order], [weight[i] for i in order], int(query.sum())
+    own, other = _overlaps(shingle, weight, n)
+    total = np.array([w.sum() for w in weight])
+    plain = np.array([bool((w == 1).all()) for w in weight])
+    some = np.minimum(own / total[:n, None], other / total)
+    some = np.where(plain[:n, None] & plain, own / np.maximum(total[:n, None] + total - own, 1e-9), some)
+    up = {x: x for x in set(label.tolist())}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    made = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero((some >= SIMILAR - 1e-4) & (label[:n, None] != label))), strict=True):
+        a, b = top(label[i]), top(label[j])
+        if a != b and similarity((shingle[i], weight[i]), (shingle[j], weight[j])) >= SIMILAR - 1e-9:
+            up[a] = b
+            made.append((label[i], label[j]))
+    return made
+
+
+def _blocked(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): labels joined by links inside the buckets of ``rest`` (key, node, label; each bucket has several labels).
+
+    In a bucket all members outside its largest class meet all members, block by block: a task has at most some ``BLOCK``
+    of each, and a member's set goes to as many tasks as the other side has blocks. A pair with both ends in the largest class is a
+    link already.
+    """
+    by_label = rest.groupBy("key", "label").agg(F.count("*").alias("c"))
+    sizes = by_label.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("main"))
+    ways = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    placed = rest.join(sizes.select("key", F.col("main.label").alias("main"), ways(F.col("m")).alias("all"), ways(F.col("m") - F.col("main.c")).alias("few")), "key")
+    part = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    asked = placed.filter("label <> main").select(
+        "key", "node", "label", F.lit(True).alias("query"), part("few", 1).alias("q"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("t")
+    )
+    there = placed.select("key", "node", "label", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("q"), part("all", 2).alias("t"))
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        shingle, weight = zip(*map(_read, rows["shingles"], rows["weights"]), strict=True)
+        names, label = np.unique(np.array([bytes(x).hex() for x in rows["label"]]), return_inverse=True)
+        made = linked_classes(label.reshape(-1), rows["query"].to_numpy(bool), list(shingle), list(weight))
+        ends = [[bytes.fromhex(str(names[x])) for x in side] for side in (zip(*made, strict=True) if made else ((), ()))]
+        return pd.DataFrame({"a": ends[0], "b": ends[1]})
+
+    met = asked.unionByName(there).join(sets, "node")
+    return met.groupBy("key", "q", "t").applyInPandas(compared, "a binary, b binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -190,7 +257,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                 own, shingle, weight = shingles(part["text"].tolist())
                 ends = np.searchsorted(own, np.arange(len(part) + 1))
                 cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-                yield pd.DataFrame({"node": part["node"], "shingles": [shingle[a:b].tobytes() for a, b in cuts], "weights": [weight[a:b].tobytes() for a, b in cuts]})
+                yield pd.DataFrame({"node": part["node"], "shingles": [shingle[a:b].tobytes() for a, b in cuts], "weights": [b"" if (weight[a:b] == 1).all() else weight[a:b].tobytes() for a, b in cuts]})
 
     own = docs.select(F.col("_node").alias("node"), "_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     # of equal texts the one with the least id is read; rows that repeat it too are joined away below
@@ -241,15 +308,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         new = cut(pairs_of(rest, [popular, F.min(spread)["node"]]).distinct().join(tried, ["a", "b"], "left_anti"))
         if not new.limit(1).count():
             break
-        tried = cut(tried.union(new))
+        old, tried = tried, cut(tried.union(new))
+        release(old)
         # the labels stand for the links found before
-        labels = components(_verified(new, sets).union(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+        old, labels = labels, components(_verified(new, sets).union(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+        release(old)
+        release(new)
     labelled = seats.filter(F.col("n") > SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
-    rest = cut(labelled.join(apart, "key").select("node", "label").distinct())
+    rest = cut(labelled.join(apart, "key").select("key", "node", "label"))
     if rest.limit(1).count():
-        new = cut(_prefixed(rest, sets).join(tried, ["a", "b"], "left_anti"))
-        labels = components(_verified(new, sets).union(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+        old, labels = labels, components(_blocked(rest, sets).union(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+        release(old)
+    for stored in (seats, sets, tried, links, rest):
+        release(stored)
     return nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 

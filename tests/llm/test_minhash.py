@@ -35,7 +35,8 @@ def brute(rows):
 
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if sets[a] and sets[b] and alike(sets[a], sets[b]) >= 0.8 - 1e-9:
+            few = min(len(sets[a]), len(sets[b]))
+            if few and top(a) != top(b) and len(sets[a].keys() & sets[b].keys()) > few / 2 and alike(sets[a], sets[b]) >= 0.8 - 1e-9:
                 up[top(a)] = top(b)
     least = {}
     for d, t in rows:
@@ -91,6 +92,48 @@ def test_query_on_a_table_and_empty(spark):
     assert minhash.with_class(none).collect() == [] and minhash.representatives(none).collect() == []
 
 
+def test_query_on_its_whole_table(spark):
+    """All texts of the table by brute force: pairs that share enough shingles are found by an inverted list."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {r.doc_id: r.class_id for r in QUERIES["op5_near_dedup"](spark, SMALL).collect()}
+    assert Counter(got.items()) == brute(rows)
+
+
+def crowd(n, words=100):
+    """Variants of one text; a word more or less changed, so that some pairs reach 0.8 and most do not."""
+    rng = random.Random(4)
+    base, rows = ["w%d" % i for i in range(words)], []
+    for i in range(n):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4])):
+            own[rng.randrange(words)] = "c%d" % rng.randrange(60)
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_crowd_of_variants_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 24)
+    rows = crowd(260)
+    got = minhash.with_class(spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == brute(rows)
+
+
+def test_blocks_make_fewer_rows_than_pairs(spark, monkeypatch):
+    """Rows that meet in blocks grow with members times blocks of the other side, not with pairs."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(minhash, "BLOCK", 500)
+    made = []
+    for n in (1000, 2000):
+        rest = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.col("id").cast("string").cast("binary").alias("node"), F.when(F.col("id") < n // 2, F.lit("main")).otherwise(F.col("id").cast("string")).cast("binary").alias("label"))
+        one = [np.array([5], np.uint64).tobytes(), np.array([1.0]).tobytes()]
+        sets = rest.select("node", F.lit(bytearray(one[0])).alias("shingles"), F.lit(bytearray(one[1])).alias("weights"))
+        linked = minhash._blocked(rest, sets).collect()
+        made.append(len(linked))
+        assert n // 2 <= len(linked) <= n * -(-n // 500)
+    assert made[1] < 1000 * 1999 / 100  # of so many pairs
+
+
 @pytest.mark.parametrize("pairs", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(100, 3), (200, 201), (None, 5)]])
 def test_components(spark, pairs):
     up = {}
