@@ -2,8 +2,8 @@
 
 Markup is stripped to lines, one per block. Sums of text lengths over sliding windows of lines surge where the
 article begins and dive to nothing where it ends; the text between the points of the largest swell is kept.
-Elements that are never article text (menus, scripts, notices ...) leave one empty line, the edges of an article
-or main element as many as a window holds.
+Elements that are never article text (menus, scripts, notices ...) leave one empty line. An article or main element that is
+in no other one is a swell by its own marks: from its first line to its last, whatever is inside.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def _dropped(name: str, attributes: str, inside: bool) -> bool:
     if not attributes or name in ("html", "body"):
         return False
     for key, value in _HINTS.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
+        key, value = key.lower(), re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value.strip("\"'")).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if key in ("class", "id", "role"):
@@ -54,11 +54,12 @@ def _dropped(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """(text, length that counts) of each line: length 0 for empty lines and for text in links outside article and main."""
-    made: list[tuple[str, int]] = []
+def lines(page: str) -> list[tuple[str, int, int]]:
+    """(text, length that counts, number of the outermost article or main it is in, 0 outside) of each line: length 0 for
+    empty lines and for text in links outside article and main."""
+    made: list[tuple[str, int, int]] = []
     text: list[str] = []
-    linked = 0
+    linked = regions = here = 0
     stack: list[tuple[str, bool]] = []  # open elements: name, dropped
     depth = {"dropped": 0, "a": 0, "inside": 0}
     at = 0
@@ -67,21 +68,21 @@ def lines(page: str) -> list[tuple[str, int]]:
         nonlocal linked
         whole = " ".join(html.unescape("".join(text)).split()) if text else ""
         if whole:
-            made.append((whole, max(0, len(whole) - linked)))
+            made.append((whole, max(0, len(whole) - linked), here))
         text.clear()
         linked = 0
 
     def gap(n: int) -> None:
         end_line()
         if n > 1 or not made or made[-1][0]:  # neighbouring dropped elements leave one empty line
-            made.extend([("", 0)] * n)
+            made.extend([("", 0, 0)] * n)
 
     def close(k: int) -> None:
         for name, gone in stack[k:]:
             depth["dropped"] -= gone
             depth["a"] -= name == "a"
             depth["inside"] -= name in _EDGES
-        edge = any(n in _EDGES and not gone for n, gone in stack[k:])
+        edge = not depth["inside"] and any(n in _EDGES and not gone for n, gone in stack[k:])
         block = any(n in _BLOCKS for n, _ in stack[k:])
         del stack[k:]
         if not depth["dropped"]:
@@ -95,6 +96,7 @@ def lines(page: str) -> list[tuple[str, int]]:
         piece = page[at : m.start()] if m else page[at:]
         if piece and not depth["dropped"]:
             text.append(piece)
+            here = regions if depth["inside"] else 0
             linked += len(piece) if depth["a"] and not depth["inside"] else 0
         if m is None:
             break
@@ -119,8 +121,9 @@ def lines(page: str) -> list[tuple[str, int]]:
         if not depth["dropped"]:
             if gone and name in _BLOCKS | _RAW:
                 gap(1)
-            elif name in _EDGES:
+            elif name in _EDGES and not depth["inside"]:
                 gap(WINDOW)
+                regions += 1
             elif name in _BLOCKS:
                 end_line()
             elif name == "br":
@@ -139,9 +142,16 @@ def lines(page: str) -> list[tuple[str, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """Lines between the surge and the dive of the largest swell, joined by a line break."""
+    """The lines of the outermost article or main with most text; on a page without, those between the surge and the dive of
+    the largest swell. Joined by a line break; of equals the first."""
     rows = lines(page or "")
-    size = [n for _, n in rows]
+    size = [n for _, n, _ in rows]
+    inside = [0] * (max((r for *_, r in rows), default=0) + 1)
+    for _, n, region in rows:
+        inside[region] += n
+    if any(inside[1:]):
+        best = inside.index(max(inside[1:]), 1)
+        return "\n".join(t for t, _, region in rows if region == best)
     sums = [sum(size[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(size))]
     best, best_size, start = (0, 0), 0, None
     for i, s in enumerate([*sums, 0]):
@@ -152,7 +162,7 @@ def main_text(page: str | None) -> str:
             if swell > best_size:
                 best, best_size = (start, i), swell
             start = None
-    return "\n".join(t for t, _ in rows[best[0] : best[1]] if t)
+    return "\n".join(t for t, *_ in rows[best[0] : best[1]] if t)
 
 
 def extract(pages: DataFrame, page: str = "html", into: str = "text") -> DataFrame:

@@ -53,3 +53,19 @@ LINKED = [
 @pytest.mark.parametrize("page,text", LINKED)
 def test_links_of_an_article_stay(page, text):
     assert html.main_text(page) == text
+
+
+OUTERMOST = [
+    ("<main><h1>Title</h1><article><p>One.</p><p>Two.</p></article></main>", "Title\nOne.\nTwo."),
+    ("<article><p>Lead</p><article class=quote><p>Quoted words</p></article><p>End</p></article>", "Lead\nQuoted words\nEnd"),
+    ("<article><p>x</p></article><div class='box'>longer text</div>", "x"),
+    ("<main><p>Text.</p><div class='adBox'>Buy now</div><p>End.</p></main>", "Text.\nEnd."),
+    ("<main><article><p>First.</p></article><article><p>Second.</p></article></main>", "First.\nSecond."),
+    ("<article><p>short</p></article><article><p>the longer one</p></article>", "the longer one"),
+    ("<article></article><div><p>Only text outside.</p></div>", "Only text outside."),
+]
+
+
+@pytest.mark.parametrize("page,text", OUTERMOST)
+def test_outermost_article_is_kept_whole(page, text):
+    assert html.main_text(page) == text
