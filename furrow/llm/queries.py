@@ -133,6 +133,7 @@ def op10_suffix_dedup(spark, folder):
         (F.octet_length("raw") - F.octet_length("remaining")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("remaining", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("touched"),
     )
 
 

@@ -4,8 +4,8 @@ Each 400-byte string owns one seed, the window of ``SEED`` bytes with the least
 seeds at equal distances. The strings of one seed occurrence make one stretch of text. Stretches of equal seed and
 equal content are counted by Spark without their text. Of seeds with different stretches one text per stretch goes
 to shards; a shard sorts its suffixes (Larsson-Sadakane refinement), takes common prefixes in text order (Kasai) and
-marks strings that occur twice. Seeds with very many stretches are dealt over several shards, which then merge
-their sorted string keys by binary search.
+marks strings that occur twice. Seeds with very many stretches are dealt over several shards; across these no suffixes
+are merged: two 64-bit hashes of each string are counted, as only whether a string occurs twice is asked.
 """
 
 from __future__ import annotations
@@ -252,9 +252,9 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
             yield pd.DataFrame(made, columns=["seed", "cell", "node", "start", "k0", "k1", "one"])
 
     def merged(part: pd.DataFrame) -> pd.DataFrame:
-        """Runs of keys, each searched in the merged ones; a key met twice marks its places."""
+        """String keys of several shards; a key met twice marks its places."""
         k0, k1 = (np.concatenate([np.frombuffer(x, np.uint64) for x in part[c]]) for c in ("k0", "k1"))
-        slot = np.searchsorted(np.unique(k0), k0)  # binary search
+        slot = np.unique(k0, return_inverse=True)[1].reshape(-1)
         _, inverse, times = np.unique(slot.astype(np.uint64) * np.uint64(_PRIMES[1]) ^ k1, return_inverse=True, return_counts=True)
         twice_ = times[inverse.reshape(-1)] > 1
         made, at = [], 0
