@@ -40,8 +40,11 @@ HEADLINE = [
     "quantile_threshold_flag",
     "rain_composite",
     "farm_summary",
+    "join_year_and_sort",
+    "kfold_contiguous",
     "svm_rff",
     "mlp_text",
+    "forest_text",
     "batch_score",
 ]
 

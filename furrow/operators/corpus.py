@@ -61,27 +61,55 @@ def tfidf(counts: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     return weighted.select(key, "term", "tf", (F.col("__raw") / length).alias("weight"))
 
 
-def hashed_features(counts: DataFrame, key: str, dims: int, by_weight: bool = False) -> DataFrame:
-    """(key, slots, values): term counts or weights summed in ``dims`` hash slots, document length 1.
+def hashed_features(counts: DataFrame, key: str, dims: int | None = None, by_weight: bool = False) -> DataFrame:
+    """(key, slots, values): term counts or weights of each document, its length 1.
 
-    The slot is crc32 of the term, so a Python scorer can build the same features. A document has at
-    most ``dims`` slots.
+    A slot is a 64-bit hash of the term, so every term has its own, however many there are; with ``dims`` terms share that many.
     """
     amount = F.col("weight") if by_weight else F.col("tf").cast("double")
-    slots = counts.groupBy(key, (F.crc32(F.col("term").cast("binary")) % dims).cast("int").alias("slot")).agg(
-        F.sum(amount).alias("v")
-    )
-    packed = slots.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("f"))
-    length = F.sqrt(F.aggregate(F.transform("f", lambda e: e["v"] * e["v"]), F.lit(0.0), lambda a, b: a + b))
-    return packed.select(
-        key,
-        F.transform("f", lambda e: e["slot"]).alias("slots"),
-        F.transform("f", lambda e: e["v"] / length).alias("values"),
+    slot = F.xxhash64("term") if dims is None else (F.crc32(F.col("term").cast("binary")) % dims).cast("int")
+    slots = counts.groupBy(key, slot.alias("slot")).agg(F.sum(amount).alias("v"))
+    packed = slots.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("f"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length")
     )
+    return packed.select(key, F.col("f.slot").alias("slots"), F.transform("f", lambda e: e["v"] / F.col("length")).alias("values"))
 
 
 def with_features(docs: DataFrame, hashed: DataFrame, key: str) -> DataFrame:
     """Attach hashed features; a document without terms keeps its row with empty ones."""
     joined = docs.join(hashed, key, "left")
-    empty = lambda c, t: F.coalesce(F.col(c), F.array().cast(f"array<{t}>")).alias(c)
-    return joined.select(*docs.columns, empty("slots", "int"), empty("values", "double"))
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(dict(hashed.dtypes)[c])).alias(c)
+    return joined.select(*docs.columns, empty("slots"), empty("values"))
+
+
+def telling_terms(counts: DataFrame, docs: DataFrame, key: str, most: int, label: str = "label") -> DataFrame:
+    """(term, slot): the ``most`` terms of the highest chi-squared against a label of 1 or 0, numbered from 0.
+
+    From document frequencies per (term, label), one shuffle by term; the cut is a distributed top-k. ``docs`` are
+    the documents to learn from.
+    """
+    marked = counts.join(docs.select(key, F.col(label).cast("double").alias("__y")), key)
+    held = marked.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("h"), F.sum("__y").alias("a"))
+    sizes = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("p")).first()
+    n, p = float(sizes["n"]), float(sizes["p"] or 0)
+    a, h = F.col("a"), F.col("h")
+    gap = F.lit(n) * a - F.lit(p) * h
+    spread = h * (F.lit(n) - h) * F.lit(p) * F.lit(n - p)
+    ranked = held.select("term", F.coalesce(F.lit(n) * gap * gap / F.nullif(spread, F.lit(0.0)), F.lit(0.0)).alias("chi"))
+    few = ranked.orderBy(F.round("chi", 9).desc(), "term").limit(most)
+    # as many rows as are asked for
+    return cut(few.select("term", (F.row_number().over(Window.orderBy(F.round("chi", 9).desc(), "term")) - 1).alias("slot")))
+
+
+def term_columns(weights: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, slots, values) of the numbered terms alone."""
+    own = weights.join(terms, "term")
+    return own.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("slot", "weight"))).alias("f")).select(
+        key, F.col("f.slot").alias("slots"), F.col("f.weight").alias("values")
+    )
+
+
+def unit_cells(counts: DataFrame, key: str) -> DataFrame:
+    """(key, term, v): term counts of each document, its length 1."""
+    length = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key)))
+    return counts.select(key, "term", (F.col("tf") / length).alias("v"))

@@ -1,8 +1,8 @@
-"""Support vector classifier with rbf and polynomial kernels, as random features and a linear machine.
+"""Support vector classifiers with rbf and polynomial kernels, as random features and linear machines.
 
-MLlib has a linear machine only. The kernels are approximated by random features, so results are
-close to, not equal to, an exact kernel machine. Spark hashes, groups and trains; the one Python step
-multiplies a batch of rows with a small seeded matrix.
+The kernels are approximated by random features, so results are close to, not equal to, an exact kernel machine. There is
+no table of terms and no bound on them: a term's row of the projection is drawn from a hash of the term, and a text's row is the
+sum over its own terms. All machines of a search, every setting and fold, are trained together (``descent``).
 """
 
 from __future__ import annotations
@@ -11,111 +11,171 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from furrow.lineage import cut
+from furrow.lineage import cut, release
+from furrow.operators.descent import descend
 from furrow.operators.evaluation import best_setting, parameter_grid
-from furrow.operators.relational import tag
 
-DIMS = 1024
 FEATURES = 256
 DEGREE = 3
+#: Texts projected at once.
+TEXTS = 128
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _dense(slots: pd.Series, values: pd.Series, dims: int) -> np.ndarray:
-    rows = np.zeros((len(slots), dims), dtype=np.float64)
-    for i, (s, v) in enumerate(zip(slots, values)):
-        rows[i, s] = v
-    return rows
+def _hash(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x + np.uint64((salt + 1) * 0x632BE59BD9B4E019 % (1 << 64))) * _MIX
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
-def _rbf(gamma: float, dims: int, features: int, seed: int):
-    """Random Fourier features: inner products approach exp(-gamma |x - y|^2)."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, np.sqrt(2.0 * gamma), (dims, features))
-    b = rng.uniform(0.0, 2.0 * np.pi, features)
-    return lambda x: np.sqrt(2.0 / features) * np.cos(x @ w + b)
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
-def _poly(gamma: float, dims: int, features: int, seed: int):
-    """Tensor sketch: inner products approach (gamma x.y)^degree."""
-    rng = np.random.default_rng(seed)
-    maps = []
-    for _ in range(DEGREE):
-        one = np.zeros((dims, features))
-        one[np.arange(dims), rng.integers(0, features, dims)] = rng.choice([-1.0, 1.0], dims)
-        maps.append(one)
+def _term_rows(terms: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Normal numbers, one row per term: the same row for a term in every batch."""
+    cells = _hash(terms, seed)[:, None] + np.arange(width, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    return np.sqrt(-2 * np.log(_uniform(_hash(cells, 1)))) * np.cos(2 * np.pi * _uniform(_hash(cells, 2)))
 
-    def sketch(x: np.ndarray) -> np.ndarray:
-        spectrum = None
-        for one in maps:
-            f = np.fft.rfft(x @ one, axis=1)
-            spectrum = f if spectrum is None else spectrum * f
-        return gamma ** (DEGREE / 2) * np.fft.irfft(spectrum, n=features, axis=1)
 
-    return sketch
+def _cells(slots: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, term, value) of a batch's terms."""
+    sizes = slots.map(len).to_numpy()
+    term = np.concatenate([np.asarray(s, np.int64) for s in slots] or [np.zeros(0, np.int64)]).view(np.uint64)
+    return np.repeat(np.arange(len(slots)), sizes), term, np.concatenate([np.asarray(v, float) for v in values] or [np.zeros(0)])
 
 
-def kernel_features(
-    hashed: DataFrame, kernel: str, gamma: float, dims: int = DIMS, features: int = FEATURES, seed: int = 11
-) -> DataFrame:
-    """Add the vector column ``features`` to rows with ``slots`` and ``values``. No shuffle."""
-    make = {"rbf": _rbf, "poly": _poly}[kernel]
+def projected(slots: pd.Series, values: pd.Series, width: int, seed: int) -> np.ndarray:
+    """Texts x width: sums of the terms' rows. A text without terms has zeros."""
+    made = np.zeros((len(slots), width))
+    for first in range(0, len(slots), TEXTS):
+        row, term, value = _cells(slots.iloc[first : first + TEXTS], values.iloc[first : first + TEXTS])
+        if len(row):
+            own, at = np.unique(term, return_inverse=True)
+            heads = np.flatnonzero(np.diff(row, prepend=-1))
+            made[first + row[heads]] = np.add.reduceat(_term_rows(own, width, seed)[at] * value[:, None], heads, axis=0)
+    return made
+
+
+def _sketched(slots: pd.Series, values: pd.Series, width: int, seed: int) -> np.ndarray:
+    """Tensor sketch: inner products approach (x.y) ** DEGREE. Place and sign of a term follow from its hash, per degree."""
+    row, term, value = _cells(slots, values)
+    spectrum = None
+    for d in range(DEGREE):
+        h = _hash(term, seed + 101 * (d + 1))
+        place, sign = (h >> np.uint64(1)) % np.uint64(width), 1.0 - 2.0 * (h & np.uint64(1)).astype(float)
+        one = np.bincount(row * width + place.astype(np.int64), value * sign, len(slots) * width).reshape(len(slots), width)
+        f = np.fft.rfft(one, axis=1)
+        spectrum = f if spectrum is None else spectrum * f
+    return np.fft.irfft(spectrum, n=width, axis=1)
+
+
+def mapped(slots: pd.Series, values: pd.Series, maps: list[tuple[str, float]], features: int, seed: int) -> list[np.ndarray]:
+    """The features of each (kernel, gamma); what the gammas of a kernel share is made once."""
+    made: list[np.ndarray] = []
+    base: dict[str, np.ndarray] = {}
+    shift = np.random.default_rng(seed).uniform(0.0, 2.0 * np.pi, features)
+    for kernel, gamma in maps:
+        if kernel not in base:
+            base[kernel] = {"rbf": projected, "poly": _sketched}[kernel](slots, values, features, seed)
+        if kernel == "rbf":  # inner products approach exp(-gamma |x - y|^2)
+            made.append(np.sqrt(2.0 / features) * np.cos(np.sqrt(2.0 * gamma) * base[kernel] + shift))
+        else:
+            made.append(gamma ** (DEGREE / 2) * base[kernel])
+    return made
+
+
+def kernel_features(hashed: DataFrame, kernel: str, gamma: float, features: int = FEATURES, seed: int = 11) -> DataFrame:
+    """Add the vector column ``features`` to rows with ``slots`` (whole numbers that stand for terms) and ``values``. No shuffle."""
 
     @F.pandas_udf("array<double>")
     def project(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        apply = make(gamma, dims, features, seed)
         for slots, values in parts:
-            yield pd.Series(list(apply(_dense(slots, values, dims))))
+            yield pd.Series(list(mapped(slots, values, [(kernel, gamma)], features, seed)[0]))
 
     return hashed.withColumn("features", array_to_vector(project("slots", "values"))).drop("slots", "values")
 
 
-def svm_fit(train: DataFrame, C: float, label: str = "label", max_iter: int = 30, n: int | None = None) -> LinearSVCModel:  # noqa: N803
-    """Linear machine on kernel features; the penalty is 1 / (C n)."""
-    n = train.count() if n is None else n
-    machine = LinearSVC(
-        featuresCol="features", labelCol=label, maxIter=max_iter, regParam=1.0 / (C * max(n, 1)), predictionCol="svm"
-    )
-    return machine.fit(train)
-
-
-def svm_predict(model: LinearSVCModel, rows: DataFrame) -> DataFrame:
-    scored = model.transform(rows)
-    return scored.withColumn("prediction", F.col("svm").cast("int")).drop("svm", "rawPrediction", "features")
+def svm_predictions(
+    rows: DataFrame,
+    settings: list[dict],
+    held: list[int],
+    fold: str = "fold",
+    label: str = "label",
+    max_iter: int = 40,
+    features: int = FEATURES,
+    seed: int = 11,
+) -> DataFrame:
+    """Predictions of every setting (dicts of C, kernel, gamma) on the rows of every fold in ``held``, by machines that have not
+    seen that fold: the columns of ``rows`` without slots and values, ``setting`` (its place in the list), ``prediction``.
 
+    ``label`` is 1 or 0. Hinge loss with the penalty 1 / (C n). All machines take each step together, so the number
+    of jobs is that of the rounds, however many settings and folds there are; the features are stored once.
+    """
+    maps = sorted({(s["kernel"], s["gamma"]) for s in settings})
+    models = [[(i, s["C"], f) for i, s in enumerate(settings) if (s["kernel"], s["gamma"]) == m for f in held] for m in maps]
+    others = [c for c in rows.columns if c not in ("slots", "values")]
 
-def svm_cross_validate(
-    rows: DataFrame, fold: str, k: int, C: float, label: str = "label", max_iter: int = 30  # noqa: N803
-) -> DataFrame:
-    """Held-out predictions of every fold. One distributed training per fold."""
-    found = []
-    for f in range(k):
-        train = rows.filter(F.col(fold) != f)
-        found.append(svm_predict(svm_fit(train, C, label, max_iter), rows.filter(F.col(fold) == f)))
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other)
-    return out
-
-
-def svm_grid_search(
-    hashed: DataFrame, grid: dict[str, list], fold: str = "fold", k: int = 5, label: str = "label", max_iter: int = 30, **kwargs
-) -> DataFrame:
-    """Mean fold accuracy per setting and the winner. Features are made once per (kernel, gamma)."""
-    made: dict[tuple, DataFrame] = {}
-    names, found = [], []
-    for setting in parameter_grid(**grid):
-        at = (setting["kernel"], setting["gamma"])
-        if at not in made:
-            made[at] = cut(kernel_features(hashed, *at, **kwargs))
-        name = f"C={setting['C']} kernel={at[0]} gamma={at[1]}"
-        names.append(name)
-        found.append(tag(svm_cross_validate(made[at], fold, k, setting["C"], label, max_iter), setting=name))
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other)
-    return best_setting(out, "setting", names, fold, label)
+    @F.pandas_udf("array<binary>")
+    def project(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for slots, values in parts:
+            made = [x.astype(np.float32) for x in mapped(slots, values, maps, features, seed)]
+            yield pd.Series([[x[i].tobytes() for x in made] for i in range(len(slots))], dtype=object)
+
+    stored = cut(rows.withColumn("__maps", project("slots", "values")).select(*others, "__maps"))
+    sizes = {r[0]: r[1] for r in stored.groupBy(fold).count().collect()}
+    n = [np.array([max(1, sum(sizes.values()) - sizes.get(f, 0)) for _, _, f in own]) for own in models]
+    reg = [1 / (np.array([c for _, c, _ in own]) * many) for own, many in zip(models, n, strict=True)]
+    out = [np.array([f for *_, f in own]) for own in models]
+
+    def matrix(batch: pd.DataFrame, g: int) -> np.ndarray:
+        x = np.frombuffer(b"".join(m[g] for m in batch["__maps"]), np.float32).reshape(len(batch), features)
+        return np.hstack([x, np.ones((len(batch), 1), np.float32)])
+
+    def gradients(batch: pd.DataFrame, params: list[np.ndarray]) -> list[np.ndarray]:
+        y, own = 2.0 * batch[label].to_numpy(float)[:, None] - 1, batch[fold].to_numpy()[:, None]
+        made = []
+        for g, w in enumerate(params):
+            x = matrix(batch, g)
+            short = (y * (x @ w) < 1) & (own != out[g])
+            made.append(-(x.T.astype(float) @ (short * y)))
+        return made
+
+    def finish(grads: list[np.ndarray], params: list[np.ndarray]) -> list[np.ndarray]:
+        inner = np.append(np.ones(features), 0)[:, None]  # no penalty on the constant
+        return [g / many + r * w * inner for g, many, r, w in zip(grads, n, reg, params, strict=True)]
+
+    weights = descend(stored, gradients, finish, [np.zeros((features + 1, len(own))) for own in models], max_iter)
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, own in enumerate(models):
+                found = (matrix(batch, g) @ weights[g] > 0).astype(np.int32)
+                for j, (setting, _, f) in enumerate(own):
+                    here = (batch[fold] == f).to_numpy()
+                    if here.any():
+                        yield batch.loc[here, others].assign(setting=setting, prediction=found[here, j])
+
+    kept = [stored.schema[c] for c in others]
+    made = cut(stored.mapInPandas(predict, StructType([*kept, *(StructField(c, IntegerType()) for c in ("setting", "prediction"))])))
+    release(stored)
+    return made
+
+
+def svm_cross_validate(rows: DataFrame, fold: str, k: int, C: float, kernel: str, gamma: float, label: str = "label", **kwargs) -> DataFrame:  # noqa: N803
+    """Held-out predictions of every fold by one setting."""
+    return svm_predictions(rows, [{"C": C, "kernel": kernel, "gamma": gamma}], list(range(k)), fold, label, **kwargs).drop("setting")
+
+
+def svm_grid_search(rows: DataFrame, grid: dict[str, list], fold: str = "fold", k: int = 5, label: str = "label", **kwargs) -> DataFrame:
+    """C, kernel and gamma of every setting with ``n`` predictions and their mean fold accuracy, and the winner."""
+    settings = parameter_grid(**grid)
+    found = svm_predictions(rows, settings, list(range(k)), fold, label, **kwargs)
+    best = best_setting(found, "setting", list(range(len(settings))), fold, label).join(found.groupBy("setting").agg(F.count("*").alias("n")), "setting")
+    column = lambda name: F.get(F.array(*[F.lit(s[name]) for s in settings]), F.col("setting")).alias(name)
+    return best.select(*[column(c) for c in ("C", "kernel", "gamma")], "setting", "n", "mean_accuracy", "is_best")

@@ -1,4 +1,4 @@
-"""Neural and forest text classifiers on hashed terms, and batch scoring of a text column."""
+"""Neural and forest text classifiers, and batch scoring of a text column."""
 
 from __future__ import annotations
 
@@ -14,17 +14,90 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-DIMS = 256
+from furrow.lineage import cut, release
+from furrow.operators.descent import descend
+from furrow.operators.kernels import projected
 
+#: Inputs of the network: random projections of all terms. Terms that the forest splits on.
+WIDTH, TERMS = 256, 512
 
-def vectors(hashed: DataFrame, dims: int = DIMS) -> DataFrame:
-    """(slots, values) to a dense vector column ``features``; JVM-side."""
-    amounts = F.map_from_arrays("slots", "values")
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(amounts, i), F.lit(0.0))
-    )
-    return hashed.withColumn("features", array_to_vector(dense)).drop("slots", "values")
+
+def vectors(rows: DataFrame, dims: int) -> DataFrame:
+    """(slots, values) to a dense vector column ``features``; slots are numbers below ``dims``."""
+
+    @F.pandas_udf("array<double>")
+    def dense(slots: pd.Series, values: pd.Series) -> pd.Series:
+        made = np.zeros((len(slots), dims))
+        sizes = slots.map(len).to_numpy()
+        if sizes.sum():
+            at = np.concatenate([np.asarray(s, np.int64) for s in slots])
+            made[np.repeat(np.arange(len(slots)), sizes), at] = np.concatenate([np.asarray(v, float) for v in values])
+        return pd.Series(list(made))
+
+    return rows.withColumn("features", array_to_vector(dense("slots", "values"))).drop("slots", "values")
+
+
+def projections(rows: DataFrame, width: int = WIDTH, seed: int = 17) -> DataFrame:
+    """(slots, values) to a dense vector column ``features``: a random projection in which every term has a row of its own."""
+
+    @F.pandas_udf("array<double>")
+    def dense(slots: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series(list(projected(slots, values, width, seed)))
+
+    return rows.withColumn("features", array_to_vector(dense("slots", "values"))).drop("slots", "values")
+
+
+def network_cross_validate(
+    rows: DataFrame, fold: str, k: int, label: str = "label", width: int = WIDTH, hidden: int = 16, max_iter: int = 40, seed: int = 17
+) -> DataFrame:
+    """Held-out predictions of every fold by networks of one hidden layer with softmax output, trained together.
+
+    ``rows`` have slots and values; the inputs are random projections of all terms, stored once. The number of jobs is that of
+    the rounds, however many folds there are.
+    """
+    others = [c for c in rows.columns if c not in ("slots", "values")]
+
+    @F.pandas_udf("binary")
+    def project(slots: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([x.tobytes() for x in projected(slots, values, width, seed).astype(np.float32)], dtype=object)
+
+    stored = cut(rows.withColumn("__x", project("slots", "values")).select(*others, "__x"))
+    sizes = {r[0]: r[1] for r in stored.groupBy(fold).count().collect()}
+    n = np.array([max(1, sum(sizes.values()) - sizes.get(f, 0)) for f in range(k)], float)[:, None, None]
+    rng = np.random.default_rng(seed)
+    start = [
+        rng.normal(0, 1 / np.sqrt(width), (k, width + 1, hidden)),
+        rng.normal(0, 1 / np.sqrt(hidden), (k, hidden + 1, 1)),
+    ]
+
+    def forward(batch: pd.DataFrame, params: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(batch["__x"]), np.float32).reshape(len(batch), width).astype(float)
+        x = np.hstack([x, np.ones((len(batch), 1))])
+        inner = np.concatenate([np.tanh(x @ params[0]), np.ones((k, len(batch), 1))], axis=2)
+        return x, inner, 1 / (1 + np.exp(-np.clip(inner @ params[1], -40, 40)))
+
+    def gradients(batch: pd.DataFrame, params: list[np.ndarray]) -> list[np.ndarray]:
+        x, inner, p = forward(batch, params)
+        seen = batch[fold].to_numpy()[None, :, None] != np.arange(k)[:, None, None]
+        miss = (p - batch[label].to_numpy(float)[None, :, None]) * seen  # the cross-entropy's slope
+        back = (miss @ params[1][:, :-1].transpose(0, 2, 1)) * (1 - inner[:, :, :-1] ** 2)
+        return [x.T @ back, inner.transpose(0, 2, 1) @ miss]
+
+    finish = lambda grads, params: [g / n + 1e-4 * w for g, w in zip(grads, params, strict=True)]
+    weights = descend(stored, gradients, finish, start, max_iter, rate=0.05)
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            p, own = forward(batch, weights)[2][:, :, 0], batch[fold].to_numpy()
+            here = (own >= 0) & (own < k)
+            yield batch.loc[here, others].assign(prediction=(p[own[here], np.flatnonzero(here)] > 0.5).astype(np.int32))
+
+    kept = [stored.schema[c] for c in others]
+    made = cut(stored.mapInPandas(predict, StructType([*kept, StructField("prediction", IntegerType())])))
+    release(stored)
+    return made
 
 
 def mlp_fit(train: DataFrame, layers: list[int], label: str = "label", max_iter: int = 40, seed: int = 5):
@@ -70,58 +143,21 @@ def score_text(
     return df.withColumn(name, score(F.col(col)))
 
 
-def mean_difference(train: DataFrame, label: str = "label") -> tuple[dict[int, float], float]:
-    """Weights per slot and intercept of the linear scorer between the class means; the hashed rows stay on the
-    cluster, at most one weight per slot comes back."""
-    sizes = {r[0]: r[1] for r in train.groupBy(label).agg(F.count(F.lit(1))).collect()}
-    cells = train.select(label, F.explode(F.arrays_zip("slots", "values")).alias("e")).select(label, "e.slots", "e.values")
-    part = lambda k: F.sum(F.when(F.col(label) == k, F.col("values")).otherwise(0.0)) / F.lit(float(max(sizes.get(k, 0), 1)))
-    rows = cells.groupBy("slots").agg(part(1).alias("one"), part(0).alias("zero")).collect()
-    weights = {r.slots: r.one - r.zero for r in rows}
-    return weights, 0.5 * (sum(r.zero**2 for r in rows) - sum(r.one**2 for r in rows))
-
-
-def score_slots(df: DataFrame, weights: dict[int, float], intercept: float, dims: int, name: str = "prediction") -> DataFrame:
-    """1 where the linear score of (slots, values) is positive, one vectorised product per Arrow batch. A row without
-    slots has the intercept as its score. The model has at most ``dims`` weights."""
-    own = np.zeros(dims)
-    own[list(weights)] = list(weights.values())
-    shared = df.sparkSession.sparkContext.broadcast(own)
-
-    @F.pandas_udf("int")
-    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for slots, values in parts:
-            sizes = slots.map(len).to_numpy()
-            if not sizes.sum():
-                yield pd.Series(np.full(len(slots), int(intercept > 0)), dtype="int32")
-                continue
-            product = shared.value[np.concatenate(slots.to_numpy())] * np.concatenate(values.to_numpy())
-            total = np.bincount(np.repeat(np.arange(len(slots)), sizes), product, len(slots))
-            yield pd.Series((total + intercept > 0).astype("int32"))
-
-    return df.withColumn(name, score("slots", "values"))
-
-
-def linear_predictor(weights: list[float], intercept: float) -> Callable[[], Callable[[pd.Series], pd.Series]]:
-    """Factory of a linear scorer over hashed terms; as small as the number of slots."""
-
-    def load():
-        import re
-        import zlib
-
-        word = re.compile(r"\b\w\w+\b")
-        w, dims = np.asarray(weights), len(weights)
-
-        def predict(texts: pd.Series) -> pd.Series:
-            out = []
-            for text in texts:
-                x = np.zeros(dims)
-                for term in word.findall((text or "").lower()):
-                    x[zlib.crc32(term.encode()) % dims] += 1.0
-                length = np.sqrt(x @ x)
-                out.append(int((x / length if length else x) @ w + intercept > 0))
-            return pd.Series(out, dtype="int32")
-
-        return predict
-
-    return load
+def mean_difference(cells: DataFrame, marks: DataFrame, key: str, label: str = "label") -> tuple[DataFrame, float]:
+    """The linear scorer between the class means as a stored table (term, weight), one row per term, and its intercept.
+
+    ``cells`` has key, term and v; ``marks`` the documents to learn from with a label of 1 or 0.
+    """
+    sizes = {r[0]: float(r[1]) for r in marks.groupBy(label).count().collect()}
+    part = lambda k: F.sum(F.when(F.col(label) == k, F.col("v")).otherwise(0.0)) / F.lit(max(sizes.get(k, 0.0), 1.0))
+    means = cut(cells.join(marks.select(key, label), key).groupBy("term").agg(part(1).alias("one"), part(0).alias("zero")))
+    gap = means.agg(F.sum(F.col("zero") * F.col("zero") - F.col("one") * F.col("one"))).first()[0]
+    return means.select("term", (F.col("one") - F.col("zero")).alias("weight")), 0.5 * (gap or 0.0)
+
+
+def score_terms(docs: DataFrame, cells: DataFrame, weights: DataFrame, intercept: float, key: str, name: str = "prediction") -> DataFrame:
+    """``docs`` with 1 where the linear score of a document's terms is positive, else 0, as a join with the model's table and a
+    sum: no weight goes through the driver or Python. A document without known terms has the intercept as its score."""
+    found = cells.join(weights, "term").groupBy(key).agg(F.sum(F.col("v") * F.col("weight")).alias("__s"))
+    score = F.round(F.coalesce("__s", F.lit(0.0)) + F.lit(intercept), 9)
+    return docs.join(found, key, "left").withColumn(name, (score > 0).cast("int")).drop("__s")

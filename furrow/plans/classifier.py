@@ -10,8 +10,8 @@ from furrow.lineage import cut
 from furrow.operators import bayes, corpus, evaluation, kernels, neural, ordering
 
 
-def _winner(found: DataFrame, column: str):
-    return found.filter("is_best").select(column).first()[0]
+def _winner(found: DataFrame, *columns: str):
+    return found.filter("is_best").select(*columns).first()
 
 
 def compare_classifiers(
@@ -28,9 +28,8 @@ def compare_classifiers(
     stratified: bool = False,
     test: float = 0.25,
     seed: int = 7,
-    dims: int = kernels.DIMS,
     features: int = kernels.FEATURES,
-    max_iter: int = 30,
+    max_iter: int = 40,
 ) -> DataFrame:
     """Score table of the chosen models.
 
@@ -49,30 +48,19 @@ def compare_classifiers(
     else:
         outer = cut(ordering.kfold(whole, folds, key, ["label"], descending=("label",)))
     scores = {}
+    if {"svm", "neural"} & set(models):
+        hashed = cut(corpus.hashed_features(corpus.tfidf(counts, ids, key), key, by_weight=True))
+        wide = corpus.with_features(outer, hashed, key)
     if "svm" in models:
-        weights = corpus.tfidf(counts, ids, key)
-        hashed = cut(corpus.hashed_features(weights, key, dims, by_weight=True))
-        extra = {"dims": dims, "features": features}
-        found = kernels.svm_grid_search(corpus.with_features(tuned, hashed, key), svm_grid, "fold", inner, max_iter=max_iter, **extra)
-        C, kernel, gamma = (part.split("=")[1] for part in _winner(found, "setting").split())  # noqa: N806
-        made = cut(kernels.kernel_features(corpus.with_features(outer, hashed, key), kernel, float(gamma), **extra))
-        scores["svm"] = kernels.svm_cross_validate(made, "fold", folds, float(C), max_iter=max_iter)
+        found = kernels.svm_grid_search(corpus.with_features(tuned, hashed, key), svm_grid, "fold", inner, max_iter=max_iter, features=features)
+        best = _winner(found, "C", "kernel", "gamma")
+        scores["svm"] = kernels.svm_cross_validate(wide, "fold", folds, *best, max_iter=max_iter, features=features)
     if "nb" in models:
         found = bayes.nb_cross_validate(counts, tuned, key, "label", "fold", inner, tuple(alphas))
-        alpha = _winner(evaluation.best_setting(found, "alpha", alphas), "alpha")
+        alpha = _winner(evaluation.best_setting(found, "alpha", alphas), "alpha")[0]
         scores["nb"] = bayes.nb_cross_validate(counts, outer, key, "label", "fold", folds, (alpha,))
     if "neural" in models:
-        weights = corpus.tfidf(counts, ids, key)
-        slots = corpus.hashed_features(weights, key, neural.DIMS, by_weight=True)
-        made = cut(neural.vectors(corpus.with_features(outer, slots, key)))
-        parts = []
-        for f in range(folds):
-            net = neural.mlp_fit(made.filter(F.col("fold") != f), [neural.DIMS, 16, 2], max_iter=max_iter)
-            parts.append(neural.predicted(net, made.filter(F.col("fold") == f)))
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        scores["neural"] = found
+        scores["neural"] = neural.network_cross_validate(wide, "fold", folds, width=features, max_iter=max_iter)
     return evaluation.score_table(
         {name: evaluation.summarise_folds(evaluation.metrics(found, by=["fold"])) for name, found in scores.items()}
     )

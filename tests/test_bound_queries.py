@@ -17,8 +17,8 @@ def test_agrees_with_sql(spark, con, name):
     assert compare(all_queries()[name](spark, SMALL), con, all_sql()[name]) is None
 
 
-def test_every_query_but_trained_models_has_sql():
-    assert set(all_queries()) - set(all_sql()) == {"svm_rff", "mlp_text", "forest_text", "batch_score"}
+def test_every_query_has_sql():
+    assert set(all_queries()) == set(all_sql())
 
 
 def plan(spark, name):

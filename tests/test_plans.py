@@ -151,7 +151,7 @@ def test_classifier_comparison(spark):
     )
     got = classifier.compare_classifiers(
         make("water soil crop", 0), make("metal engine noise", 100), "doc_id", folds=3, inner=2,
-        svm_grid={"C": [1.0], "kernel": ["rbf"], "gamma": [1.0]}, stratified=True, dims=64, features=64, max_iter=5,
+        svm_grid={"C": [1.0], "kernel": ["rbf"], "gamma": [1.0]}, stratified=True, features=64, max_iter=12,
     )
     rows = {r.model: r for r in got.collect()}
     assert set(rows) == {"svm", "nb", "neural"} and rows["nb"].mean_accuracy == 1.0 and rows["nb"].std_f1 == 0.0
