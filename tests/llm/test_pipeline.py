@@ -62,3 +62,15 @@ def test_run_on_a_table(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_runs_on_a_table(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_columns_of_any_name_come_back(spark, planted, tmp_path):
+    rows, item, _ = planted
+    spark.createDataFrame([(5, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["raw", "spans", "remaining", "leaks", "_node", "_id", "_text", "class_id"]
+    docs = spark.createDataFrame([(i, t, *(f"{c}{i}" for c in names)) for i, t in rows.items()], ["doc_id", "text", *names])
+    for name in ("near_dedup", "suffix_dedup", "decontaminate"):
+        made = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        assert made.columns == docs.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in made.collect() for c in names), name
