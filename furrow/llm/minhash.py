@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.lineage import cut, release
+from furrow.llm.batches import small_batches
 from furrow.llm.links import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -277,7 +278,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         return pd.Series([k for at in range(0, len(texts), TEXTS) for k in band_keys(texts.iloc[at : at + TEXTS].tolist())], dtype=object)
 
     raw = own.withColumn("keys", keys(F.coalesce(F.col(text), F.lit("")))).select("_node", "_id", "keys")
-    nodes = cut(raw.groupBy(F.col("_node").alias("node")).agg(F.min(F.coalesce("_id", F.lit(2**63 - 1))).alias("id"), F.first("keys").alias("keys")))
+    with small_batches(docs.sparkSession):
+        nodes = cut(raw.groupBy(F.col("_node").alias("node")).agg(F.min(F.coalesce("_id", F.lit(2**63 - 1))).alias("id"), F.first("keys").alias("keys")))
     members = nodes.select("node", "id", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(members.join(sizes, "key"))
@@ -286,7 +288,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     release(shared)
     wanted = seats.select("node", "id").distinct()
     ided = own.withColumn("_id", F.coalesce("_id", F.lit(2**63 - 1)))
-    sets = cut(_sets(ided, wanted, text))
+    with small_batches(docs.sparkSession):
+        sets = cut(_sets(ided, wanted, text))
 
     def pairs_of(members: DataFrame, leaders: list[Column]) -> DataFrame:
         chosen = members.groupBy("key").agg(F.array(*leaders).alias("leaders"))

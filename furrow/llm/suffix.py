@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.lineage import cut, release
+from furrow.llm.batches import small_batches
 from furrow.llm.minhash import mixed, node
 
 LENGTH, SEED = 400, 48
 #: Stretches in a shard, stretches of one seed that may share a shard, string keys in a merge task, bytes scanned at once.
-SHARD, CROWD, MERGE, CHUNK = 400, 150, 40_000, 1 << 21
+SHARD, CROWD, MERGE, CHUNK = 400, 150, 40_000, 1 << 19
 _PRIMES = (0x100000001B3, 0x9E3779B97F4A7C15)
 _BYTES = [np.random.default_rng(s).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1) for s in (11, 12)]
 _MASK = np.uint64((1 << 23) - 1)
@@ -194,7 +195,8 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
 
     ``docs`` has _id, _node (digest of the text) and _text (never NULL).
     """
-    found = cut(_scan(docs, length, seed))
+    with small_batches(docs.sparkSession):
+        found = cut(_scan(docs, length, seed))
     kinds = cut(found.groupBy("seed", "content").agg(F.count("*").alias("times"), F.min(F.struct("node", "lo", "hi", "gap")).alias("one")))
     crowd = kinds.groupBy("seed").agg(F.count("*").alias("kinds"))
     copied = found.join(kinds.filter("times > 1").select("seed", "content"), ["seed", "content"]).select("node", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
