@@ -112,8 +112,8 @@ def crowd(n, words=100):
 
 
 def test_crowd_of_variants_is_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 24)
-    rows = crowd(260)
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    rows = crowd(110, 60)
     got = minhash.with_class(spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)).collect()
     assert Counter((r.doc_id, r.class_id) for r in got) == brute(rows)
 
