@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from furrow.catalog.base import Tables, query
 from furrow.constants import EARTH_RADIUS
+from furrow.lineage import cut
 from furrow.operators import polygons, relational
 from furrow.operators.grid import KX, KY, GridSpec, align, regrid, rotate, stack_layers, to_layer
 from furrow.plans import irrigation
@@ -217,14 +218,19 @@ def overlay_frame_query(spark, folder):
     t = Tables(spark, folder)
     li = t.lineitem.filter(F.col("l_linenumber") <= len(_NAMED))
     spot = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 11 + F.col("l_partkey") * 13) % (SOURCE.nrow * SOURCE.ncol)
-    drawn = li.withColumn("cell_id", spot)
     turned_grid = GridSpec(0.0, 90.0, 1.0, SOURCE.nrow, SOURCE.ncol)
+
+    def measure(number, name):
+        col, total = (F.col("l_suppkey") % 25, F.max) if name == "world" else (F.col("l_quantity"), F.sum)
+        return total(F.when(F.col("l_linenumber") == number, col)).alias(name)
+
+    # one scan gives every layer; the stored columns are then read a layer at a time
+    measures = [measure(number, name) for number, name in enumerate(_NAMED, 1)]
+    drawn = cut(li.groupBy(spot.alias("cell_id")).agg(*measures, F.sum("l_quantity").alias("rainfed_area")))
     layers = {}
-    for number, name in enumerate(_NAMED, 1):
-        value = F.max(F.col("l_suppkey") % 25) if name == "world" else F.sum("l_quantity")
-        cells = drawn.filter(F.col("l_linenumber") == number).groupBy("cell_id").agg(value.alias("value"))
+    for name in [*_NAMED, "rainfed_area"]:
+        cells = drawn.select("cell_id", F.col(name).alias("value")).filter(F.col("value").isNotNull())
         layers[name] = rotate(cells, turned_grid) if name == "rain" else (cells, SOURCE)
-    layers["rainfed_area"] = (drawn.groupBy("cell_id").agg(F.sum("l_quantity").alias("value")), SOURCE)
     lookup = t.nation.select(
         F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("seq"),
         F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("iso3"), F.col("n_name").alias("country"),

@@ -280,10 +280,7 @@ def _outcome_frames(t: Tables):
     lines = t.lineitem.select(F.col("l_orderkey").alias("study_id"), "l_partkey", "l_linestatus")
     types = t.part.select("p_partkey", F.col("p_type").alias("intervention"))
     interventions = relational.merge(lines, types, left_on="l_partkey", right_on="p_partkey", how="inner", null_keys="drop")
-    # duplicates go before the join: the result is the same and no study can fan out by repeats
-    interventions = interventions.select("study_id", "intervention").distinct()
-    kinds = lines.select("study_id", F.col("l_linestatus").alias("studytype")).distinct()
-    return outcomes.distinct(), interventions, kinds
+    return outcomes, interventions.select("study_id", "intervention"), lines.select("study_id", F.col("l_linestatus").alias("studytype"))
 
 
 _THREE_WAY = """
@@ -297,9 +294,7 @@ _THREE_WAY = """
 
 
 def three_way(t: Tables):
-    outcomes, interventions, kinds = _outcome_frames(t)
-    pairs = relational.merge(outcomes, interventions, on="study_id", how="full", null_keys="drop")
-    return relational.merge(pairs, kinds, on="study_id", how="full", null_keys="drop")
+    return relational.full_distinct(list(_outcome_frames(t)), on="study_id", null_keys="drop")
 
 
 @query("full_outer_three_way", f"with {_THREE_WAY} select * from ois")

@@ -64,10 +64,16 @@ def share_of_total(df: DataFrame, by: list[str], within: list[str], cols: dict[s
 
 
 def crosstab(df: DataFrame, rows: list[str], col: str, values: list | None = None) -> DataFrame:
-    """Counts of ``rows`` by ``col`` in wide form, zero for pairs never seen.
+    """Counts of ``rows`` by ``col`` in wide form, zero for pairs never seen. NULL in ``col`` has no column.
 
-    Give ``values`` when they are known: it saves the pass that looks them up.
+    With ``values``, which are then the columns, a row with any other value fails the job rather than being left out.
+    Without, the distinct values are looked up first: they are the names of columns, so the driver has to know
+    them (at most ``spark.sql.pivotMaxValues``). ``crosstab_long`` needs no names.
     """
+    if values is not None:
+        text = F.concat(F.lit(f"crosstab: {col} has a value outside the given ones: "), F.col(col).cast("string"))
+        known = F.col(col).isNull() | F.col(col).isin(values)
+        df = df.withColumn(col, F.when(known, F.col(col)).otherwise(F.raise_error(text).cast(df.schema[col].dataType)))
     wide = df.groupBy(*rows).pivot(col, values).agg(F.count(F.lit(1)))
     counts = [c for c in wide.columns if c not in rows]
     return wide.na.fill(0, counts)

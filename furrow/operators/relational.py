@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import and_
+from operator import and_, mul, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.nulls import _col
+from furrow.lineage import cut
+
+#: Distinct values of one side of a key that ``full_distinct`` brings together.
+BLOCK = 10_000
 
 
 def select_from(df: DataFrame, position: int) -> DataFrame:
@@ -77,6 +81,61 @@ def merge(
     return left.join(r, cond, "left").select(out).unionByName(lone, allowMissingColumns=True)
 
 
+def full_distinct(frames: list[DataFrame], on: str | list[str], null_keys: str = "match", block: int = BLOCK) -> DataFrame:
+    """The distinct rows of a full join of several frames on the same keys; many-to-many, each frame computed once.
+
+    The frames are stacked, each in a column of its own, and repeated rows go while they are spread by all
+    their columns; that is stored. A key's rows are then its values of each side multiplied out, a side without the key giving
+    NULL. NULL keys match each other (``'match'``) or nothing (``'drop'``); frames without rows are sides without keys.
+
+    A side with over ``block`` values of one key is dealt by their hash into blocks, and the key's rows into
+    one cell for each choice of blocks; every cell holds the values of its blocks, so no task meets a whole hot key.
+    """
+    if null_keys not in ("match", "drop"):
+        raise ValueError(f"null_keys must be match or drop, not {null_keys!r}")
+    keys = [on] if isinstance(on, str) else list(on)
+    sides = [[c for c in f.columns if c not in keys] for f in frames]
+    names = [c for s in sides for c in s]
+    if len(names) != len(set(names)):
+        raise ValueError(f"columns on several sides: {sorted({c for c in names if names.count(c) > 1})}; rename one")
+    held, blocks = [f"__v{i}" for i in range(len(frames))], [f"__b{i}" for i in range(len(frames))]
+    lone = F.when(reduce(or_, [F.col(f"`{k}`").isNull() for k in keys]), F.col("__side")) if null_keys == "drop" else F.lit(None)
+
+    def tagged(i: int) -> DataFrame:
+        value = F.struct(*[F.col(f"`{c}`") for c in sides[i]]) if sides[i] else F.struct(F.lit(True).alias("__in"))
+        return frames[i].select(*[F.col(f"`{k}`") for k in keys], F.lit(i).alias("__side"), value.alias(held[i]))
+
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [tagged(i) for i in range(len(frames))])
+    stored = cut(stacked.distinct().withColumn("__lone", F.coalesce(lone.cast("int"), F.lit(-1))))
+
+    group = [*keys, "__lone"]
+    many = stored.groupBy(*[F.col(f"`{k}`") for k in group], "__side").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
+    parts = F.ceil(F.col("__n") / F.lit(block))
+    hot = many.groupBy(*[F.col(f"`{k}`").alias(f"__g{j}") for j, k in enumerate(group)]).agg(
+        *[F.max(F.when(F.col("__side") == i, parts)).alias(b) for i, b in enumerate(blocks)]
+    )
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"__g{j}")) for j, k in enumerate(group)])
+    sized = stored.join(hot, same, "left").withColumns({b: F.coalesce(b, F.lit(1).cast("bigint")) for b in blocks})
+
+    def cells(i: int) -> Column:
+        """The cells of a value of side ``i``: its own block with every block of the other sides."""
+        below = reduce(mul, [F.col(b) for b in blocks[:i]], F.lit(1).cast("bigint"))
+        others = reduce(mul, [F.col(b) for j, b in enumerate(blocks) if j != i], F.lit(1).cast("bigint"))
+        own = F.pmod(F.xxhash64(held[i]), F.col(blocks[i]))
+        place = lambda r: (F.floor(r / below) * F.col(blocks[i]) + own) * below + F.pmod(r, below)
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), others - 1), place)
+
+    cell = F.explode(reduce(lambda rest, i: F.when(F.col("__side") == i, cells(i)).otherwise(rest), range(1, len(frames)), cells(0)))
+    dealt = sized.select(*[F.col(f"`{k}`") for k in group], *blocks, *held, cell.alias("__cell"))
+    met = dealt.groupBy(*[F.col(f"`{k}`") for k in group], "__cell", *blocks).agg(*[F.collect_list(v).alias(v) for v in held])
+    # a side that has the key but no value in this block of it meets the others in its other blocks
+    out = met.filter(reduce(and_, [(F.col(b) == 1) | (F.size(v) > 0) for b, v in zip(blocks, held)]))
+    for i, v in enumerate(held):
+        done = [f"__x{j}" for j in range(i)]
+        out = out.select(*[F.col(f"`{k}`") for k in keys], *held[i + 1 :], *done, F.explode_outer(v).alias(f"__x{i}"))
+    return out.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"__x{i}")[c].alias(c) for i, s in enumerate(sides) for c in s])
+
+
 def lookup_first(
     df: DataFrame, lookup: DataFrame, left_on: str, right_on: str, order: str, cols: list[str]
 ) -> DataFrame:

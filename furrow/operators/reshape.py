@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,10 +105,17 @@ def stack_position(df: DataFrame, time: str, order: str, value: str, name: str =
 def top_n(df: DataFrame, by: list[str], order: str, n: int, rank: str | None = None) -> DataFrame:
     """The ``n`` highest per group with ties; NULL never ranks.
 
-    Spark cuts each task's rows to the limit before the shuffle (window group limit), so a hot group
-    sends at most its best rows of each task.
+    Rows are counted per (group, value), so ties are one row however many there are, and the ``n`` highest values of
+    a group are enough: each has a row. Their ranks come from the counts and meet the rows by group and value.
+    No window holds rows of ``df``, which is computed twice, the first time with the group and ``order`` only.
     """
     name = rank or "__rank"
-    window = Window.partitionBy(*by).orderBy(F.col(order).desc_nulls_last())
-    ranked = df.filter(F.col(order).isNotNull()).withColumn(name, F.rank().over(window)).filter(F.col(name) <= n)
-    return ranked if rank else ranked.drop(name)
+    keys = [f"__g{i}" for i in range(len(by))]
+    ranked = df.filter(F.col(order).isNotNull())
+    counts = ranked.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(order).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    falling = Window.partitionBy(*keys).orderBy(F.col("__x").desc())
+    highest = counts.withColumn("__at", F.row_number().over(falling)).filter(F.col("__at") <= n)
+    above = F.sum("__n").over(falling.rowsBetween(Window.unboundedPreceding, -1))
+    places = highest.withColumn(name, (F.coalesce(above, F.lit(0)) + 1).cast("int")).filter(F.col(name) <= n).drop("__n", "__at")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)], F.col(order) == F.col("__x"))
+    return ranked.join(places, same).select(*df.columns, *([name] if rank else []))

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import table
@@ -31,6 +34,42 @@ def test_merge_full(spark):
     assert dropped == table(native)
 
 
+def three_sides(spark, rows, seed):
+    draw = random.Random(seed)
+    key = lambda: draw.choice([None, 1, 1, 1, 2, 3, 4, draw.randrange(20)])
+    return [
+        spark.createDataFrame([(key(), draw.choice([None, *"abcdefgh"])) for _ in range(rows)], f"k int, c{i} string")
+        for i in range(3)
+    ]
+
+
+@pytest.mark.parametrize("null_keys", ["match", "drop"])
+def test_full_distinct_is_the_chain_of_full_joins(spark, null_keys):
+    sides = three_sides(spark, 60, 5)
+    pairs = relational.merge(sides[0], sides[1], on="k", how="full", null_keys=null_keys)
+    want = table(relational.merge(pairs, sides[2], on="k", how="full", null_keys=null_keys).distinct())
+    assert len(want) > 300
+    for block in (1, 2, 3, 10_000):
+        assert table(relational.full_distinct(sides, "k", null_keys, block)) == want
+
+
+def test_full_distinct_edges(spark):
+    left, right = frames(spark)
+    none = spark.createDataFrame([], "k int, z string")
+    bare = left.select("k")
+    got = table(relational.full_distinct([left, none, right], "k"))
+    assert len(got) == 7 and (3, None, None, "z") in got and (None, "d", None, "n") in got
+    assert relational.full_distinct([none, none.withColumnRenamed("z", "y")], "k").count() == 0
+    assert table(relational.full_distinct([bare, right], "k")) == [(1, "x"), (1, "y"), (2, None), (3, "z"), (None, "n")]
+    with pytest.raises(ValueError, match="rename one"):
+        relational.full_distinct([left, left], "k")
+    two = spark.createDataFrame([(1, None, "a"), (1, "p", "b")], "k int, m string, x string")
+    far = spark.createDataFrame([(1, None, "c"), (1, "q", "d")], "k int, m string, y string")
+    assert table(relational.full_distinct([two, far], ["k", "m"])) == [(1, "p", "b", None), (1, "q", None, "d"), (1, None, "a", "c")]
+    dropped = table(relational.full_distinct([two, far], ["k", "m"], "drop"))
+    assert len(dropped) == 4 and (1, None, "a", None) in dropped and (1, None, None, "c") in dropped
+
+
 def test_merge_names(spark):
     left, right = frames(spark)
     other = right.withColumnRenamed("k", "key")
@@ -83,6 +122,23 @@ def test_top_n_with_ties(spark):
     assert table(reshape.top_n(df, ["g"], "x", 2)) == [("a", 2.0), ("a", 2.0), ("a", 3.0)]
 
 
+def test_top_n_with_mass_ties(spark):
+    df = spark.range(4000).selectExpr("if(id % 5 = 0, null, id % 3) as g", "cast(if(id % 2 = 0, 7, id % 101) as double) as x", "id")
+    want = df.filter("x is not null").withColumn("place", F.rank().over(Window.partitionBy("g").orderBy(F.desc("x")))).filter("place <= 4")
+    got = reshape.top_n(df, ["g"], "x", 4, "place")
+    assert table(got) == table(want) and got.columns == ["g", "x", "id", "place"]
+    ranks = df.filter("x is not null").withColumn("place", F.rank().over(Window.partitionBy("g").orderBy(F.desc("x"))))
+    many = reshape.top_n(df, ["g"], "x", 1500, "place")
+    assert table(many) == table(ranks.filter("place <= 1500")) and many.filter("x = 7").count() >= 2000
+    assert many.schema["place"].dataType == want.schema["place"].dataType
+    # the windows rank counted values: nothing below them but the counts
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line or "WindowGroupLimit" in line]
+    assert windows and all("id#" not in line and "x#" not in line.replace("__x#", "") for line in windows)
+    whole = reshape.top_n(df, [], "x", 2)
+    assert {r.x for r in whole.collect()} == {100.0}
+
+
 def test_explode_multivalue(spark):
     df = spark.createDataFrame([(1, "x, y,z", "", "n"), (2, None, ",b", "n"), (3, "a,", "c", "n")], "id int, p string, q string, o string")
     got = reshape.explode_multivalue(df, ["id"], {"P": "p", "Q": "q"}, protect={"P": {"x, y": "x y"}}, empty={"Q": "No"})
@@ -104,3 +160,10 @@ def test_crosstab_zero_for_unseen(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "r string, c string")
     assert table(aggregates.crosstab(df, ["r"], "c", ["x", "y"])) == [("a", 2, 0), ("b", 0, 1)]
     assert table(aggregates.crosstab(df, ["r"], "c")) == [("a", 2, 0), ("b", 0, 1)]
+
+
+def test_crosstab_fails_on_a_value_outside_the_list(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", None), ("b", "other")], "r string, c string")
+    assert table(aggregates.crosstab(df.filter("r = 'a'"), ["r"], "c", ["x", "y"])) == [("a", 1, 0)]
+    with pytest.raises(Exception, match="c has a value outside the given ones: other"):
+        aggregates.crosstab(df, ["r"], "c", ["x", "y"]).collect()
