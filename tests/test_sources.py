@@ -38,6 +38,47 @@ def test_survey(spark, tmp_path):
     assert got.columns[:4] == ["enumerator", "study_id", "title", "inclusion"] and len(got.columns) == 15
 
 
+QUOTED = (
+    'i,s,x\n1,"two\nlines, ""quoted""",1.5\n\n2,"",\n3,plain,bad\n4,"a\n\n\n"",b""\n",2\n5,"ünï\ncödé",NA\r\n'
+    '6,NA,7\r\n"7","' + "long\n" * 30 + '",8\n8,last,9'
+)
+
+
+@pytest.mark.parametrize("bytes_a_block", [1, 2, 3, 7, 16, 61, 128 << 20])
+def test_split_scan_of_quoted_line_breaks(spark, tmp_path, bytes_a_block):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes(QUOTED.encode())
+    (tmp_path / "in" / "b.csv").write_bytes(b'i,s,x\n9,"z\n",1\n')
+    (tmp_path / "in" / "c.csv").write_bytes(b"")
+    schema = "i int, s string, x double"
+    want = table(tables.read_table(spark, str(tmp_path / "in"), schema, multiline=True))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_a_block))
+    try:
+        records = tables.quoted_records(spark, str(tmp_path / "in"))
+        got = table(tables.read_table(spark, str(tmp_path / "in"), schema, multiline="split"))
+        places = sorted((r.file[-5:], r.place) for r in records.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(want) == 9 and got == want
+    assert places == [("a.csv", i) for i in range(9)] + [("b.csv", i) for i in range(2)]
+
+
+def test_survey_split_is_the_reader_of_one_task(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    for name in "ab":
+        rows = [survey_row("IP Address", f"{name}{i}", title="t\n" * (i % 4) + '"q"') for i in range(12)]
+        write_survey(tmp_path / "s" / f"{name}.csv", rows)
+    whole = table(tables.read_survey(spark, str(tmp_path / "s"), HEADER, "Response Type", split=False))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert table(tables.read_survey(spark, str(tmp_path / "s"), HEADER, "Response Type")) == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(whole) == 24
+
+
 def test_csv_round_trip_and_handoff(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c', 1.5), (2, None, None), (3, "", 0.0)], "i int, s string, x double")
     path = str(tmp_path / "csv")
