@@ -42,6 +42,29 @@ def test_rules_query_counts_on_a_table(spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed)
 
 
+def walk(column, split, path, row, node=0):
+    if column[node] < 0:
+        return path[node]
+    return walk(column, split, path, row, 2 * node + (2 if row[column[node]] >= split[node] else 1))
+
+
+def test_verdict_is_a_plain_walk_of_every_tree(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    forest, texts = rules.train(docs.select("doc_id", "text"), labels), {r.doc_id: r.text or "" for r in docs.collect()}
+    usual = 2 * (np.log(rules.SAMPLE - 1) + np.euler_gamma) - 2 * (rules.SAMPLE - 1) / rules.SAMPLE
+    verdicts = set()
+    for r in QUERIES["op8_rules"](spark, SMALL).collect():
+        text, words, chars = texts[r.doc_id], max(r.n_words, 1), max(r.word_chars, 1)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+        many = [np.log1p(10 * (n / words)) for n in (r.n_symbols, text.count("!"), text.count("|"))]
+        row = [r.word_chars / words, *many, len(re.findall("[A-Z]", text)) / chars, r.n_dup_lines / max(lines, 1), r.n_repeat_words / words]
+        paths = [walk(*tree, row) for tree in zip(forest.column, forest.split, forest.path, strict=True)]
+        anomaly = 2 ** (-sum(paths) / len(paths) / usual)
+        assert r.kept == (not r.base_failed and anomaly <= forest.threshold + 1e-12)
+        verdicts.add((r.base_failed, r.kept))
+    assert (False, True) in verdicts
+
+
 def test_isolation_parts_junk_and_keeps_good(spark, medium):
     labels = spark.read.parquet(f"{medium}/labels.parquet")
     made = QUERIES["op8_rules"](spark, medium).join(labels, "doc_id").filter(~F.col("base_failed"))
