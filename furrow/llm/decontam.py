@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of words as TF-IDF vectors over the benchmark's terms, with document frequencies over all
-different passages of the corpus. A randomised SVD, its products summed by Spark, gives the latent space; every passage is
-compared with every item by cosine there. Word shingles, matched exactly, are a second way to a candidate that needs
+different passages of the corpus. A randomised SVD of all of these, on their products by term, which Spark sums, gives the latent
+space; every passage is compared with every item by cosine there. Word shingles, matched exactly, are a second way to a candidate that needs
 no weights, for items whose words are frequent. What is near enough is read word by word: the longest common subsequence
 with the item, and whether the item's answer, its last words, is there.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.lineage import cut, release
+from furrow.llm.batches import small_batches
 from furrow.llm.minhash import _PRIME, mixed, word_hashes
 
 #: Words of a passage and between passages.
 PASSAGE, STRIDE = 64, 32
-#: Latent dimensions, extra random directions, power rounds; documents the space is fitted on at most (the first by
-#: a hash of their text). Frequencies and search cover all documents.
-RANK, EXTRA, POWER, FITTED = 256, 16, 2, 4000
+#: Latent dimensions, extra random directions, power rounds.
+RANK, EXTRA, POWER = 256, 16, 2
+#: Sums of products a task holds at once; beyond that many the terms are dealt over several passes of the stored passages.
+SUMS = 1 << 23
 #: Terms in a larger share of the passages are frequent: they keep this share of their weight, at least LEAST, and are
 #: not telling. Cosine for a candidate, and the share of the item's telling words that its passage must hold.
 COMMON, SLIGHT, LEAST, NEAR, SHARED = 0.05, 0.1, 0.01, 0.3, 0.3
@@ -173,10 +176,11 @@ def _weighted(index: Index, passage: np.ndarray, term: np.ndarray, times: np.nda
     return value / size[passage]
 
 
-def fit(docs: DataFrame, index: Index, text: str = "text", fitted: int = FITTED) -> Index:
+def fit(docs: DataFrame, index: Index, text: str = "text", fitted: int | None = None) -> Index:
     """Document frequencies over all different passages, then the latent space by a randomised range finder with power rounds.
 
-    Every item counts as a passage too, so the space holds the items' own terms.
+    The space is that of all different passages too, or, with ``fitted``, of those of so many texts (the first by a hash).
+    Every item counts as a passage, so the space holds the items' own terms.
     """
     own = docs.select(F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -184,14 +188,17 @@ def fit(docs: DataFrame, index: Index, text: str = "text", fitted: int = FITTED)
     def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for texts in _batches(frames):
-            word, _, _, first, last, passage, term, _ = _cells(ix, texts)
+            word, _, _, first, last, passage, term, times = _cells(ix, texts)
             if not len(first):
                 continue
             keys = _sequences(word, first, last)
-            ends = np.searchsorted(passage, np.arange(len(first) + 1)) * 4
-            raw = term.astype("<i4").tobytes()
+            ends = np.searchsorted(passage, np.arange(len(first) + 1))
+            raw, many = term.astype("<i4").tobytes(), times.astype(np.uint8).tobytes()
             some = np.unique(keys, return_index=True)[1]
-            yield pd.DataFrame({"key": keys[some].view(np.int64), "terms": [raw[ends[i] : ends[i + 1]] for i in some.tolist()]})
+            spans = list(zip(some.tolist(), ends[some].tolist(), ends[some + 1].tolist(), strict=True))
+            yield pd.DataFrame(
+                {"key": keys[some].view(np.int64), "terms": [raw[4 * a : 4 * b] for _, a, b in spans], "times": [many[a:b] for _, a, b in spans]}
+            )
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(index.terms) + 1, np.int64)
@@ -201,8 +208,11 @@ def fit(docs: DataFrame, index: Index, text: str = "text", fitted: int = FITTED)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"term": some, "n": total[some]})
 
-    different = own.mapInPandas(bags, "key long, terms binary").dropDuplicates(["key"])
-    found = different.mapInPandas(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    def different(texts: DataFrame) -> DataFrame:
+        return cut(texts.mapInPandas(bags, "key long, terms binary, times binary").dropDuplicates(["key"]).drop("key"))
+
+    passages_ = different(own)
+    found = passages_.mapInPandas(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(len(index.terms) + 1)
     for r in found:
         frequency[r["term"]] = r["n"]
@@ -220,18 +230,22 @@ def fit(docs: DataFrame, index: Index, text: str = "text", fitted: int = FITTED)
     order = np.argsort(term[told], kind="stable")
     index.holders, index.begins = passage[told][order], np.searchsorted(term[told][order], np.arange(len(index.terms) + 1))
     index.least = np.ceil(SHARED * np.bincount(passage[told], minlength=len(cells))).astype(int)
-    sample = cut(own.filter(F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text")).join(
-        F.broadcast(own.select(F.xxhash64("text").alias("_h")).distinct().orderBy("_h").limit(fitted)), "_h", "left_semi").dropDuplicates(["_h"]).select("text"))
+    if fitted is not None:
+        release(passages_)
+        few = own.select(F.xxhash64("text").alias("_h")).distinct().orderBy("_h").limit(fitted)
+        passages_ = different(own.filter(F.col("text").isNotNull()).join(F.broadcast(few), F.xxhash64("text") == F.col("_h"), "left_semi"))
+    products = _products(passages_, index)
+    release(passages_)
     by_part = lambda x: _times(passage, term, value, x, len(cells))
     both = lambda x: _times(term, passage, value, by_part(x), len(index.terms))
     rank = min(RANK, len(index.terms))
     rng = np.random.default_rng(6)
     basis = np.linalg.qr(rng.normal(size=(len(index.terms), min(len(index.terms), rank + EXTRA))))[0]
     for _ in range(POWER):
-        basis = np.linalg.qr(_gram(sample, index, basis) + both(basis))[0]
-    small = basis.T @ (_gram(sample, index, basis) + both(basis))
+        basis = np.linalg.qr(_gram(products, basis) + both(basis))[0]
+    small = basis.T @ (_gram(products, basis) + both(basis))
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    release(sample)
+    release(products)
     index.latent = (basis @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
     index.queries = _unit(by_part(index.latent).astype(np.float32))
     return index
@@ -250,35 +264,74 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def _gram(sample: DataFrame, index: Index, basis: np.ndarray) -> np.ndarray:
-    """(A' A) basis over the sample's passages A: each task sums its share, Spark sums by term."""
-    shared = sample.sparkSession.sparkContext.broadcast((index, basis))
+def _products(bags: DataFrame, index: Index) -> DataFrame:
+    """A' A of the weighted passages A: (term, columns, sums), one row per term. Stored.
+
+    A task sums the products of its passages, Spark those of the tasks; there are as many tasks as the session runs at once. What
+    a task holds, what is shuffled and what is stored are bounded by the terms, not by the passages.
+    """
+    terms, context = len(index.terms), bags.sparkSession.sparkContext
+    shared, height = context.broadcast(index), max(1, SUMS // max(1, len(index.terms)))
+
+    def rows(block: np.ndarray, term: int, column: int) -> pd.DataFrame:
+        some = [(i, np.flatnonzero(r)) for i, r in enumerate(block)]
+        held = [(term + i, (c + column).astype("<i4").tobytes(), block[i][c].astype("<f4").tobytes()) for i, c in some if len(c)]
+        return pd.DataFrame(held, columns=["term", "columns", "sums"])
+
+    def summer(low: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ix, high = shared.value, min(low + height, terms)
+            total = np.zeros((high - low) * terms)
+            for f in frames:
+                for at in range(0, len(f), TEXTS):
+                    n = f["times"].iloc[at : at + TEXTS].map(len).to_numpy()
+                    term = np.frombuffer(b"".join(f["terms"].iloc[at : at + TEXTS]), "<i4").astype(np.int64)
+                    times = np.frombuffer(b"".join(f["times"].iloc[at : at + TEXTS]), np.uint8).astype(float)
+                    value = _weighted(ix, np.repeat(np.arange(len(n)), n), term, times)
+                    # each cell with itself and those after it in its passage; terms ascend there
+                    one = np.flatnonzero((term >= low) & (term < high))
+                    many = np.repeat(np.cumsum(n), n)[one] - one
+                    two = np.arange(many.sum()) + np.repeat(one - (np.cumsum(many) - many), many)
+                    one = np.repeat(one, many)
+                    np.add.at(total, (term[one] - low) * terms + term[two], value[one] * value[two])
+            total = total.reshape(high - low, terms)
+            for at in range(low, high, TEXTS):
+                yield rows(total[at - low : at - low + TEXTS], at, 0)
+            total[np.arange(high - low), np.arange(low, high)] = 0
+            for at in range(low, terms, TEXTS):  # the same below the diagonal
+                yield rows(total[:, at : at + TEXTS].T, at, low)
+
+        return summed
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.bincount(np.frombuffer(b"".join(group["columns"]), "<i4"), np.frombuffer(b"".join(group["sums"]), "<f4"), terms)
+        some = np.flatnonzero(total)
+        return pd.DataFrame({"term": group["term"].iloc[:1], "columns": [some.astype("<i4").tobytes()], "sums": [total[some].astype("<f4").tobytes()]})
+
+    shape = "term int, columns binary, sums binary"
+    fewer = bags.coalesce(context.defaultParallelism)
+    parts = [fewer.mapInPandas(summer(low), shape) for low in range(0, max(1, terms), height)]
+    return cut(reduce(DataFrame.unionAll, parts).groupBy("term").applyInPandas(added, shape))
+
+
+def _gram(products: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """(A' A) basis from the stored products, some rows at a time."""
+    shared = products.sparkSession.sparkContext.broadcast(basis)
 
     def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix, own = shared.value
-        total = np.zeros_like(own)
-        for texts in _batches(frames):
-            *_, passage, term, times = _cells(ix, texts)
-            if not len(passage):
-                continue
-            value = _weighted(ix, passage, term, times)
-            starts = np.flatnonzero(np.diff(passage, prepend=-1))
-            projected = np.add.reduceat(own[term] * value[:, None], starts, axis=0)
-            by = np.argsort(term, kind="stable")
-            nth = np.cumsum(np.diff(passage, prepend=-1) > 0) - 1
-            heads = np.flatnonzero(np.diff(term[by], prepend=-1))
-            total[term[by][heads]] += np.add.reduceat(projected[nth[by]] * value[by][:, None], heads, axis=0)
-        some = np.flatnonzero(total.any(axis=1))
-        if len(some):
-            yield pd.DataFrame({"term": some, "part": list(total[some])})
-
-    def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"term": [key[0]], "part": [np.sum(np.stack(group["part"].to_numpy()), axis=0)]})
-
-    shape = "term int, part array<double>"
+        own = shared.value
+        for f in frames:
+            for at in range(0, len(f), TEXTS):
+                part = f.iloc[at : at + TEXTS]
+                strip = np.zeros((len(part), len(own)))
+                for row, columns, sums in zip(strip, part["columns"], part["sums"], strict=True):
+                    row[np.frombuffer(columns, "<i4")] = np.frombuffer(sums, "<f4")
+                yield pd.DataFrame({"term": part["term"], "part": [x.tobytes() for x in strip @ own]})
+
     made = np.zeros_like(basis)
-    for r in sample.coalesce(16).mapInPandas(product, shape).groupBy("term").applyInPandas(added, shape).collect():
-        made[r["term"]] = r["part"]
+    with small_batches(products.sparkSession):  # a row holds as many sums as there are terms
+        for r in products.mapInPandas(product, "term int, part binary").collect():
+            made[r["term"]] = np.frombuffer(r["part"])
     return made
 
 
@@ -404,7 +457,7 @@ def _searcher(shared: Broadcast) -> Callable[[Column], Column]:
     return searched
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "leaks", item_id: str = "item_id", item_text: str = "text", fitted: int = FITTED) -> DataFrame:
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "leaks", item_id: str = "item_id", item_text: str = "text", fitted: int | None = None) -> DataFrame:
     """``docs`` with the leaked items of each whole text in ``into``: array of (item_id, share, cosine), empty
     where there are none (replacing a column of that name).
 

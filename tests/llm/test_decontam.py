@@ -105,3 +105,24 @@ def test_long_items(spark, size):
     docs = [(d, " ".join(say(70 * d) + put.get(d, []) + say(90)), None, None) for d in range(12)]
     got = found(spark, docs, [(i, " ".join(w)) for i, w in items.items()])
     assert {(r.doc_id, x.item_id): round(x.share, 3) >= 0.87 for r in got for x in r.leaks} == {(0, 0): True, (1, 1): True}
+
+
+def test_latent_space_is_that_of_all_different_passages(spark, monkeypatch):
+    docs, items, _ = world(5)
+    index = decontam.item_index(items)
+    seen = []
+    first = decontam._gram
+    monkeypatch.setattr(decontam, "_gram", lambda products, basis: seen.append(first(products, np.eye(len(index.terms)))) or first(products, basis))
+    decontam.fit(spark.createDataFrame(docs + docs[:50], DOCS), index)  # copies add no passages
+    rows = {}
+    for _, text, *_ in docs:
+        word, n = decontam.words_of([text])
+        for _, a, b in zip(*(x.tolist() for x in decontam.passages(word, n)), strict=True):
+            rows[tuple(word[a:b].tolist())] = np.bincount(index.find(word[a:b])[index.find(word[a:b]) >= 0], minlength=len(index.terms))
+    cells = np.log1p(np.array(list(rows.values()))) * index.weight
+    cells = cells / np.maximum(np.linalg.norm(cells, axis=1, keepdims=True), 1e-12)
+    np.testing.assert_allclose(seen[0], cells.T @ cells, rtol=1e-5, atol=1e-6)
+    monkeypatch.setattr(decontam, "SUMS", 7 * len(index.terms))  # by seven terms a pass
+    again = decontam.item_index(items)
+    decontam.fit(spark.createDataFrame(docs, DOCS), again)
+    np.testing.assert_allclose(seen[3], seen[0], rtol=1e-5, atol=1e-6)
