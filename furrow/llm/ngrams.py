@@ -3,7 +3,7 @@
 Counts are quantised on a logarithmic scale; a gram of level q is put into the filter q times, once for each level up to its
 own, and is read back by probing level after level until one is missing. The filter is made in segments by hash, one group a
 segment, and its bytes grow with the grams of the corpus; it is broadcast while it is smaller than ``FILTER_BYTES``. Beyond that
-the same counts meet the texts by joins, without a filter.
+the keys of the texts go to the segments and are probed there, with the same answers.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from furrow.lineage import cut, release
 from furrow.llm.batches import small_batches
@@ -255,10 +255,13 @@ def _segments(docs: DataFrame, text: str, segments: int, with_grams: bool) -> Da
 
 @dataclass
 class Model:
-    """``filter`` is None where it would be too large to broadcast; ``grams`` has the stored counts then."""
+    """``filter`` is None where it would be too large to broadcast; its ``segments``, so many, are ``stored`` in any case. ``exact``: the
+    stored counts are asked in its place."""
 
     filter: Filter | None
-    grams: DataFrame | None
+    stored: DataFrame
+    segments: int
+    exact: bool
     vocabulary: DataFrame
     tokens: int
     distinct: int
@@ -268,19 +271,24 @@ class Model:
         return self.tokens + 0.5 * (self.distinct + 1)
 
 
-def train(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, segment: int = SEGMENT) -> Model:
+def train(docs: DataFrame, text: str = "text", filter_bytes: int | None = None, segment: int = SEGMENT, broadcast: int = FILTER_BYTES) -> Model:
     """Counts of all words and bigrams of all texts, whole; a NULL text is an empty one, a repeated row counts again.
 
     One shuffle, of packed arrays. A segment is one group, of about ``segment`` bytes of text whatever the texts are, as
     keys are hashes of 64 bits (two different words share one with a chance of distinct words squared / 2 ** 65). The
-    driver gets the filter, at most ``filter_bytes``; where it is larger, the bigram counts are stored instead.
+    driver gets the filter, at most ``broadcast`` bytes; where it is larger, it stays in its stored segments and is probed there: the
+    scores are those of the same filter, wherever it lies. A caller may set ``filter_bytes``: a filter that would be larger is not
+    asked at all, the exact counts, quantised, are.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     segments = size // segment + 1
     made = _segments(docs, text, segments, False)
     whole = made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    filter_ = grams_ = None
-    if whole <= filter_bytes:
+    filter_, exact = None, filter_bytes is not None and whole > filter_bytes
+    if exact:
+        release(made)
+        made = _segments(docs, text, segments, True)
+    elif whole <= broadcast:
         words_, first, sizes, at = np.zeros(whole // 8 + 1, np.uint64), np.full(segments, whole // 8), np.ones(segments, np.int64), 0
         for row in made.select("segment", "bits").toLocalIterator():
             bits = np.frombuffer(row["bits"], np.uint64)
@@ -288,12 +296,9 @@ def train(docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES,
             first[row["segment"]], sizes[row["segment"]] = at, len(bits)
             at += len(bits)
         filter_ = Filter(words_, first, sizes)
-    else:
-        release(made)
-        made = grams_ = _segments(docs, text, segments, True)
     vocabulary = made.select(F.explode(F.arrays_zip("keys", "counts")).alias("e")).select("e.keys", "e.counts")
     totals = vocabulary.agg(F.sum("counts"), F.count(F.lit(1))).first()
-    return Model(filter_, grams_, vocabulary, totals[0] or 0, totals[1])
+    return Model(filter_, made, segments, exact, vocabulary, totals[0] or 0, totals[1])
 
 
 def smoothed(both: np.ndarray, before: np.ndarray, word: np.ndarray, mass: float) -> np.ndarray:
@@ -310,21 +315,47 @@ def quantised(counts: pd.Series) -> pd.Series:
     return pd.Series(VALUES[level_of(counts.to_numpy())])
 
 
-def _joined(stored: DataFrame, model: Model) -> DataFrame:
-    """(row, ``_score``) where the filter is too large: the same quantised counts, met by joins on the stored keys."""
+def _probed(keys: DataFrame, model: Model) -> DataFrame:
+    """(key, value) of the different keys, read from the filter where its segments are: the keys go to them."""
+    segments = model.segments
+
+    @F.pandas_udf(IntegerType())
+    def segment(column: pd.Series) -> pd.Series:
+        return pd.Series(segment_of(column.to_numpy(np.int64).view(np.uint64), segments).astype(np.int32))
+
+    def probe(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        own = asked.column("key").to_numpy()
+        bits = stored.column("bits").to_pylist()
+        level = Filter(np.frombuffer(bits[0], np.uint64), np.zeros(1, np.int64), np.array([len(bits[0]) // 8])).level(own.view(np.uint64)) if bits else np.zeros(len(own), np.int64)
+        return pa.table({"key": own, "value": VALUES[level]})
+
+    asked = keys.distinct().select("key", segment("key").alias("segment"))
+    return asked.groupBy("segment").cogroup(model.stored.select("segment", "bits").groupBy("segment")).applyInArrow(probe, "key long, value double")
+
+
+def _counted(model: Model) -> tuple[DataFrame, DataFrame]:
+    """(key, value) of the words and of the bigrams from their exact counts."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, n in zip(batch["grams"].to_pylist(), batch["times"].to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (k, n)], ["both", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (k, n)], ["key", "n"])
+
+    pairs = model.stored.select("grams", "times").mapInArrow(unpack, "key long, n long").select("key", quantised("n").alias("value"))
+    return model.vocabulary.select(F.col("keys").alias("key"), quantised("counts").alias("value")), pairs
 
-    pairs = model.grams.select("grams", "times").mapInArrow(unpack, "both long, n long").select("both", quantised("n").alias("pair"))
-    values = model.vocabulary.select("keys", quantised("counts").alias("value"))
+
+def _joined(stored: DataFrame, model: Model) -> DataFrame:
+    """(row, ``_score``) without a broadcast filter: the values of the keys meet the texts by joins."""
     cells = stored.select(AT, F.explode(F.arrays_zip("_found.token", "_found.before", "_found.both")).alias("e")).select(AT, "e.*")
-    met = cells.join(pairs, "both", "left")
-    for column in ("token", "before"):
-        met = met.join(values.withColumnsRenamed({"keys": column, "value": f"of_{column}"}), column, "left")
-    both, word, prior = (F.coalesce(c, F.lit(0.0)) for c in ("pair", "of_token", "of_before"))
+    if model.exact:
+        words_, pairs = _counted(model)
+    else:
+        words_ = pairs = cut(_probed(cells.select(F.explode(F.array("token", "before", "both")).alias("key")), model))
+    met = cells
+    for column, values in (("both", pairs), ("token", words_), ("before", words_)):
+        met = met.join(values.withColumnsRenamed({"key": column, "value": f"of_{column}"}), column, "left")
+    both, word, prior = (F.coalesce(f"of_{c}", F.lit(0.0)) for c in ("both", "token", "before"))
     lower = F.lit(CONCENTRATION) * (word + 0.5) / F.lit(model.mass)
     return met.groupBy(AT).agg(F.sum(F.log10((F.least(both, prior) + lower) / (prior + CONCENTRATION))).alias("_score"))
 
@@ -342,6 +373,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", wo
     order = np.argsort(few["keys"].to_numpy().view(np.uint64))
     known = few["keys"].to_numpy().view(np.uint64)[order], few["counts"].to_numpy()[order]
     shared, mass = spark.sparkContext.broadcast((model.filter, *known)), model.mass
+    exact = model.exact
     del few, order, known
 
     @F.pandas_udf(_FOUND)
@@ -371,7 +403,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", wo
             made["score"] = np.add.reduceat(smoothed(VALUES[filter_.level(both)], word[prior], word[at], mass), first)
         lists = {"rare": np.split(token[rare].view(np.int64), ends), "token": [()] * len(sizes), "before": [()] * len(sizes), "both": [()] * len(sizes)}
         if filter_ is None:
-            before = np.where(before == START, END, before)  # a text has one of each
+            before = np.where(before == START, END, before) if exact else before  # a text has one of each, and counts are of ends
             lists |= {c: np.split(x.view(np.int64), first[1:]) for c, x in (("token", token), ("before", before), ("both", both))}
         return pd.DataFrame(made | {c: pd.Series(x, dtype=object, index=range(len(sizes))) for c, x in lists.items()})
 

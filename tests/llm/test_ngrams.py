@@ -99,3 +99,15 @@ def test_query_on_its_table(spark):
         if g.held_out:
             gain, base_sum = gain + g.score, base_sum + g.base_score
     assert gain > base_sum  # bigrams help on texts that were not learned
+
+
+def test_scores_do_not_depend_on_where_the_filter_lies(spark):
+    rng = np.random.default_rng(4)
+    texts = ODD + [" ".join(f"w{i}" for i in rng.zipf(1.3, 400) % 5000) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = []
+    for limit in (ngrams.FILTER_BYTES, 0):
+        model = ngrams.train(docs.filter("doc_id % 3 > 0"), broadcast=limit, segment=4096)
+        assert (model.filter is None) == (limit == 0)
+        scores.append({r.doc_id: r.score for r in ngrams.score(docs, model, ["doc_id"]).collect()})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12)
