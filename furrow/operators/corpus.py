@@ -10,6 +10,9 @@ from furrow.functions.text import before, min_length, strip_literal, tokens
 from furrow.lineage import cut
 from furrow.operators.relational import tag
 
+#: Bytes of text whose terms are counted by one task, on average.
+TEXT = 4 << 20
+
 
 def corpus(positive: DataFrame, negative: DataFrame, label: str = "label") -> DataFrame:
     """Included and excluded sources in one frame, labelled 1 and 0."""
@@ -23,13 +26,16 @@ def clean_text(df: DataFrame, col: str = "text", longer_than: int = MIN_ABSTRACT
 
 
 def term_counts(df: DataFrame, key: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(key, term, tf).
+    """(key, term, tf). One job sums the lengths of the texts.
 
     The texts are shuffled by key before they are split: a text is a fraction of its term rows, the
-    counting then needs no shuffle of its own, and a few large input files still feed every task.
+    counting then needs no shuffle of its own, and a few large input files still feed every task. There are as many
+    tasks as the texts' bytes ask for, so the terms that one of them counts do not grow with the input.
     """
     carry = carry or []
-    words = df.select(key, *carry, text).repartition(key).select(key, *carry, F.explode(tokens(text)).alias("term"))
+    size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, size // TEXT + 1)
+    words = df.select(key, *carry, text).repartition(tasks, key).select(key, *carry, F.explode(tokens(text)).alias("term"))
     return words.groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

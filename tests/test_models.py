@@ -7,6 +7,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from conftest import table
+from furrow import lineage
 from furrow.operators import bayes, corpus, evaluation, kernels, neural
 
 
@@ -182,3 +183,23 @@ def test_machine_has_not_seen_its_fold(spark):
     for found in (kernels.svm_cross_validate(wide, "fold", 1, 1.0, "rbf", 1.0, features=64), neural.network_cross_validate(wide, "fold", 1, width=64)):
         rows = found.collect()
         assert len(rows) == 20 and sum(r.label == r.prediction for r in rows) < 4
+
+
+def test_terms_are_counted_in_tasks_of_bounded_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "alpha beta beta " * 20) for i in range(100)] + [(None, None), (1, "beta")], "doc_id long, text string")
+    monkeypatch.setattr(corpus, "TEXT", 100)
+    counts = corpus.term_counts(docs, "doc_id")
+    assert counts.rdd.getNumPartitions() >= 100 * 320 // 100
+    found = {(r.doc_id, r.term): r.tf for r in counts.collect()}
+    assert len(found) == 200 and found[1, "beta"] == 41 and found[0, "alpha"] == 20
+
+
+def test_spread_jobs_have_more_partitions_for_more_rows(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(n) for n in names]
+    with pytest.raises(ValueError), lineage.spread(spark, 100 * lineage.ROWS):
+        assert int(spark.conf.get(names[0])) == 101
+        raise ValueError
+    with lineage.spread(spark, 0):
+        assert spark.conf.get(names[0]) == before[0]
+    assert [spark.conf.get(n) for n in names] == before
