@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.catalog.base import Tables, query
 from furrow.constants import BAYES_GRID, INNER_FOLDS, OUTER_FOLDS
-from furrow.lineage import cut
+from furrow.lineage import cut, spread
 from furrow.operators import bayes, corpus, evaluation, ordering
 
 _CLEAN = """
@@ -99,7 +99,8 @@ def tfidf_top_terms(spark, folder):
     weights = corpus.tfidf(counts, ids, "doc_id")
     shown = weights.withColumn("weight", F.round("weight", 6))
     order = Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "term")
-    return shown.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 5).drop("r")
+    with spread(spark, counts.count()):
+        return cut(shown.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 5).drop("r"))
 
 
 def _bayes_sql(k: int, alphas: list[float]) -> str:
