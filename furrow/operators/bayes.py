@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.lineage import cut
+from furrow.lineage import cut, spread
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,8 @@ def nb_fit(
     sums = scaled.groupBy("term").agg(
         *[F.expr(listed(lambda i, c=c: own(c, i))).alias(f"s_{c}") for c in classes]
     )
-    terms = cut(idf.join(sums, "term"))
+    with spread(counts.sparkSession, counts.count()):
+        terms = cut(idf.join(sums, "term"))
     mass = terms.selectExpr(
         f"{listed(lambda i: f'count(idf[{i}])')} as vocab",
         *[f"{listed(lambda i, c=c: f'coalesce(sum(s_{c}[{i}]), 0D)')} as mass_{c}" for c in classes],
@@ -87,7 +88,7 @@ def nb_predict(
 
     ``which`` numbers the model a document is scored with (the first by default). A document's
     terms meet the model in one join; the scaling to length 1 divides the sum afterwards. A document
-    without known terms goes by the prior. Ties go to the first class.
+    without known terms goes by the prior. Ties go to the first class. The predictions are stored.
     """
     classes = models.classes
     numbered = docs.withColumn("__m", F.lit(0) if which is None else which.cast("int"))
@@ -115,9 +116,11 @@ def nb_predict(
         return f"struct(double({a}) as alpha, array_max(array({ranked})).c as prediction)"
 
     choices = ", ".join(choice(j, a) for j, a in enumerate(alphas))
-    return joined.selectExpr(*docs.columns, f"explode(array({choices})) as __c").select(
+    made = joined.selectExpr(*docs.columns, f"explode(array({choices})) as __c").select(
         *docs.columns, "__c.alpha", "__c.prediction"
     )
+    with spread(counts.sparkSession, counts.count()):
+        return cut(made)
 
 
 def nb_cross_validate(
