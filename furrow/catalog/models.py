@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from furrow.catalog.base import Tables, query
 from furrow.catalog.texts import _CLEAN, _TOKENS, labelled
 from furrow.constants import SVM_GRID
-from furrow.lineage import cut
+from furrow.lineage import cut, spread
 from furrow.operators import corpus, kernels, neural, ordering
 from furrow.plans import classifier
 
@@ -22,7 +22,8 @@ _TEST = "cast('0x' || substr(md5('7:' || doc_id), 1, 7) as bigint) % 1000000 < 2
 
 def _learned(found: DataFrame, by: list[str]) -> DataFrame:
     """Held-out rows per label and whether the model learned, from predictions."""
-    sizes = found.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == F.col("prediction")).cast("long")).alias("hits"))
+    # stored, some rows a model: the predictions are made once, and a model's name is a column like others when it is joined
+    sizes = cut(found.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == F.col("prediction")).cast("long")).alias("hits")))
     whole = sizes.groupBy(*by).agg((F.sum("hits") / F.sum("n") >= F.max("n") / F.sum("n") - MARGIN).alias("learned"))
     return sizes.join(whole, by).select(*by, F.col("label").cast("long").alias("label"), "n", "learned")
 
@@ -45,7 +46,8 @@ def _weighted(t: Tables) -> DataFrame:
     """The same with the TF-IDF weights of all their terms, as 64-bit slots."""
     ids, counts = _parted(t)
     hashed = corpus.hashed_features(corpus.tfidf(counts, ids, "doc_id"), "doc_id", by_weight=True)
-    return cut(corpus.with_features(ids, hashed, "doc_id"))
+    with spread(ids.sparkSession, counts.count()):
+        return cut(corpus.with_features(ids, hashed, "doc_id"))
 
 
 @query("svm_rff", _scored_sql("svm rbf", "svm poly"))
@@ -67,9 +69,10 @@ def mlp_text(spark, folder):
 def forest_text(spark, folder):
     """The terms are chosen, and the forest grown, on the training side."""
     ids, counts = _parted(Tables(spark, folder))
-    terms = corpus.telling_terms(counts, ids.filter(~F.col("is_test")), "doc_id", neural.TERMS)
-    chosen = corpus.term_columns(corpus.tfidf(counts, ids, "doc_id"), terms, "doc_id")
-    rows = cut(neural.vectors(corpus.with_features(ids, chosen, "doc_id"), neural.TERMS))
+    with spread(spark, counts.count()):
+        terms = corpus.telling_terms(counts, ids.filter(~F.col("is_test")), "doc_id", neural.TERMS)
+        chosen = corpus.term_columns(corpus.tfidf(counts, ids, "doc_id"), terms, "doc_id")
+        rows = cut(neural.vectors(corpus.with_features(ids, chosen, "doc_id"), neural.TERMS))
     model = neural.rf_fit(rows.filter(~F.col("is_test")))
     return _learned(neural.predicted(model, rows.filter("is_test")).withColumn("model", F.lit("forest")), ["model"])
 
@@ -99,9 +102,10 @@ def batch_score(spark, folder):
     ids, counts = corpus.counted(texts, "doc_id", [])
     rows = cut(ordering.split_rows(ids.join(marks, "doc_id", "left"), "doc_id", 0.25, seed=7))
     seen = F.col("label").isNotNull() & ~F.col("is_test")
-    cells = cut(corpus.unit_cells(counts, "doc_id"))
-    weights, intercept = neural.mean_difference(cells, rows.filter(seen), "doc_id")
-    return neural.score_terms(rows.filter(~seen), cells, weights, intercept, "doc_id").select("doc_id", "prediction")
+    with spread(spark, counts.count()):
+        cells = cut(corpus.unit_cells(counts, "doc_id"))
+        weights, intercept = neural.mean_difference(cells, rows.filter(seen), "doc_id")
+        return cut(neural.score_terms(rows.filter(~seen), cells, weights, intercept, "doc_id").select("doc_id", "prediction"))
 
 
 _SETTINGS = ", ".join(f"({c!r}e0, '{k}', {g!r}e0)" for c in SVM_GRID["C"] for k in SVM_GRID["kernel"] for g in SVM_GRID["gamma"])
