@@ -22,8 +22,10 @@ from furrow.operators.evaluation import best_setting, parameter_grid
 
 FEATURES = 256
 DEGREE = 3
-#: Texts projected at once.
-TEXTS = 128
+#: Texts projected at once; terms whose rows are drawn at once (few, so that they stay in the processor's cache).
+TEXTS, DRAWN = 128, 32
+#: Frequent terms of a batch whose rows are kept while it is projected.
+OFTEN = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,8 +41,18 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 def _term_rows(terms: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Normal numbers, one row per term: the same row for a term in every batch."""
-    cells = _hash(terms, seed)[:, None] + np.arange(width, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-    return np.sqrt(-2 * np.log(_uniform(_hash(cells, 1)))) * np.cos(2 * np.pi * _uniform(_hash(cells, 2)))
+    made = np.empty((len(terms), width))
+    start, steps = _hash(terms, seed), np.arange(width, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for first in range(0, len(terms), DRAWN):
+        cells, turn = start[first : first + DRAWN, None] + steps, made[first : first + DRAWN]
+        np.multiply(2 * np.pi, _uniform(_hash(cells, 2)), out=turn)
+        np.cos(turn, out=turn)
+        size = _uniform(_hash(cells, 1))
+        np.log(size, out=size)
+        np.multiply(-2, size, out=size)
+        np.sqrt(size, out=size)
+        turn *= size
+    return made
 
 
 def _cells(slots: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,12 +65,22 @@ def _cells(slots: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray,
 def projected(slots: pd.Series, values: pd.Series, width: int, seed: int) -> np.ndarray:
     """Texts x width: sums of the terms' rows. A text without terms has zeros."""
     made = np.zeros((len(slots), width))
+    often, known = np.zeros(0, np.uint64), np.zeros((0, width))
+    if len(slots) > TEXTS:  # rows that many texts of the batch need are drawn once
+        term, times = np.unique(_cells(slots, values)[1], return_counts=True)
+        often = term[np.sort(np.argsort(-times, kind="stable")[:OFTEN])]
+        known = _term_rows(often, width, seed)
     for first in range(0, len(slots), TEXTS):
         row, term, value = _cells(slots.iloc[first : first + TEXTS], values.iloc[first : first + TEXTS])
         if len(row):
             own, at = np.unique(term, return_inverse=True)
-            heads = np.flatnonzero(np.diff(row, prepend=-1))
-            made[first + row[heads]] = np.add.reduceat(_term_rows(own, width, seed)[at] * value[:, None], heads, axis=0)
+            drawn = np.empty((len(own), width))
+            place = np.minimum(np.searchsorted(often, own), max(len(often) - 1, 0))
+            held = often[place] == own if len(often) else np.zeros(len(own), bool)
+            drawn[held], drawn[~held] = known[place[held]], _term_rows(own[~held], width, seed)
+            ends = np.searchsorted(row, np.arange(row[-1] + 2)).tolist()
+            for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                made[first + i] = value[a:b] @ drawn[at[a:b]]
     return made
 
 
