@@ -97,19 +97,24 @@ def _sketched(slots: pd.Series, values: pd.Series, width: int, seed: int) -> np.
     return np.fft.irfft(spectrum, n=width, axis=1)
 
 
+def _base(slots: pd.Series, values: pd.Series, kernel: str, features: int, seed: int) -> np.ndarray:
+    """What the gammas of a kernel share."""
+    return {"rbf": projected, "poly": _sketched}[kernel](slots, values, features, seed)
+
+
+def _of_gamma(base: np.ndarray, kernel: str, gamma: float, seed: int) -> np.ndarray:
+    """The features of a kernel and gamma, of the type of ``base``."""
+    if kernel == "poly":
+        return base * base.dtype.type(gamma ** (DEGREE / 2))
+    shift = np.random.default_rng(seed).uniform(0.0, 2.0 * np.pi, base.shape[1]).astype(base.dtype)
+    # inner products approach exp(-gamma |x - y|^2)
+    return base.dtype.type(np.sqrt(2.0 / base.shape[1])) * np.cos(base.dtype.type(np.sqrt(2.0 * gamma)) * base + shift)
+
+
 def mapped(slots: pd.Series, values: pd.Series, maps: list[tuple[str, float]], features: int, seed: int) -> list[np.ndarray]:
     """The features of each (kernel, gamma); what the gammas of a kernel share is made once."""
-    made: list[np.ndarray] = []
-    base: dict[str, np.ndarray] = {}
-    shift = np.random.default_rng(seed).uniform(0.0, 2.0 * np.pi, features)
-    for kernel, gamma in maps:
-        if kernel not in base:
-            base[kernel] = {"rbf": projected, "poly": _sketched}[kernel](slots, values, features, seed)
-        if kernel == "rbf":  # inner products approach exp(-gamma |x - y|^2)
-            made.append(np.sqrt(2.0 / features) * np.cos(np.sqrt(2.0 * gamma) * base[kernel] + shift))
-        else:
-            made.append(gamma ** (DEGREE / 2) * base[kernel])
-    return made
+    base = {kernel: _base(slots, values, kernel, features, seed) for kernel in sorted({k for k, _ in maps})}
+    return [_of_gamma(base[kernel], kernel, gamma, seed) for kernel, gamma in maps]
 
 
 def kernel_features(hashed: DataFrame, kernel: str, gamma: float, features: int = FEATURES, seed: int = 11) -> DataFrame:
@@ -137,26 +142,30 @@ def svm_predictions(
     seen that fold: the columns of ``rows`` without slots and values, ``setting`` (its place in the list), ``prediction``.
 
     ``label`` is 1 or 0. Hinge loss with the penalty 1 / (C n). All machines take each step together, so the number
-    of jobs is that of the rounds, however many settings and folds there are; the features are stored once.
+    of jobs is that of the rounds, however many settings and folds there are; what the gammas of a kernel share is stored once.
     """
     maps = sorted({(s["kernel"], s["gamma"]) for s in settings})
     models = [[(i, s["C"], f) for i, s in enumerate(settings) if (s["kernel"], s["gamma"]) == m for f in held] for m in maps]
+    kernels = sorted({kernel for kernel, _ in maps})
     others = [c for c in rows.columns if c not in ("slots", "values")]
 
     @F.pandas_udf("array<binary>")
     def project(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for slots, values in parts:
-            made = [x.astype(np.float32) for x in mapped(slots, values, maps, features, seed)]
+            made = [_base(slots, values, kernel, features, seed).astype(np.float32) for kernel in kernels]
             yield pd.Series([[x[i].tobytes() for x in made] for i in range(len(slots))], dtype=object)
 
-    stored = cut(rows.withColumn("__maps", project("slots", "values")).select(*others, "__maps"))
+    stored = cut(rows.withColumn("__bases", project("slots", "values")).select(*others, "__bases"))
     sizes = {r[0]: r[1] for r in stored.groupBy(fold).count().collect()}
     n = [np.array([max(1, sum(sizes.values()) - sizes.get(f, 0)) for _, _, f in own]) for own in models]
     reg = [1 / (np.array([c for _, c, _ in own]) * many) for own, many in zip(models, n, strict=True)]
     out = [np.array([f for *_, f in own]) for own in models]
 
     def matrix(batch: pd.DataFrame, g: int) -> np.ndarray:
-        x = np.frombuffer(b"".join(m[g] for m in batch["__maps"]), np.float32).reshape(len(batch), features)
+        kernel, gamma = maps[g]
+        at = kernels.index(kernel)
+        base = np.frombuffer(b"".join(m[at] for m in batch["__bases"]), np.float32).reshape(len(batch), features)
+        x = _of_gamma(base, kernel, gamma, seed)
         return np.hstack([x, np.ones((len(batch), 1), np.float32)])
 
     def gradients(batch: pd.DataFrame, params: list[np.ndarray]) -> list[np.ndarray]:

@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -203,3 +204,15 @@ def test_spread_jobs_have_more_partitions_for_more_rows(spark):
     with lineage.spread(spark, 0):
         assert spark.conf.get(names[0]) == before[0]
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_features_of_a_gamma_follow_from_the_stored_base():
+    rng = np.random.default_rng(2)
+    slots, values = pd.Series([rng.integers(0, 1 << 60, n) for n in (5, 0, 40)] * 90), pd.Series([rng.normal(size=n) for n in (5, 0, 40)] * 90)
+    for kernel in ("rbf", "poly"):
+        base = kernels._base(slots, values, kernel, 64, 3)
+        for gamma in (0.01, 1.0):
+            want = kernels.mapped(slots, values, [(kernel, gamma)], 64, 3)[0]
+            np.testing.assert_allclose(kernels._of_gamma(base.astype(np.float32), kernel, gamma, 3), want, atol=1e-5)
+    few = kernels.projected(slots[:3], values[:3], 64, 3)  # without rows that are kept for the batch
+    np.testing.assert_allclose(kernels.projected(slots, values, 64, 3)[:3], few, atol=1e-12)
