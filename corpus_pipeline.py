@@ -21,6 +21,8 @@ from furrow.lineage import cut, release
 from furrow.llm import decontam, minhash, packing, suffix, toxicity
 
 TOXIC = 0.7
+#: A passage of so many words that occurs elsewhere goes, however few its bytes.
+WORDS = 50
 
 
 READ = ("doc_id", "text", "n_chars")
@@ -55,9 +57,9 @@ def _whole_characters(remaining: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur elsewhere go from the texts; every document stays, and ``n_chars``
-    counts what is left. A text that loses nothing is as before."""
-    made = suffix.remove_repeats(_apart(docs))
+    """Passages of 50 words or of 400 bytes and more that occur elsewhere go from the texts; every document stays, and
+    ``n_chars`` counts what is left. A text that loses nothing is as before."""
+    made = suffix.remove_repeats(_apart(docs), words=WORDS)
     left = F.when(F.size("spans") > 0, _whole_characters(F.when(F.size("spans") > 0, F.col("remaining")))).otherwise(F.col("text"))
     made = made.withColumn("_left", left)
     if "n_chars" in docs.columns:

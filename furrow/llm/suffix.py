@@ -6,6 +6,9 @@ equal content are counted by Spark without their text. Of seeds with different s
 to shards; a shard sorts its suffixes (Larsson-Sadakane refinement), takes common prefixes in text order (Kasai) and
 marks strings that occur twice. Seeds with very many stretches are dealt over several shards; across these no suffixes
 are merged: two 64-bit hashes of each string are counted, as only whether a string occurs twice is asked.
+
+Passages counted in words go the same way: a text becomes the hashes of its words, four bytes each, so that a passage
+of some words is a string of four times as many bytes.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from furrow.lineage import cut, release
 from furrow.llm.batches import small_batches
@@ -24,6 +28,8 @@ from furrow.llm.minhash import mixed, node
 LENGTH, SEED = 400, 48
 #: Stretches in a shard, stretches of one seed that may share a shard, string keys in a merge task, bytes scanned at once.
 SHARD, CROWD, MERGE, CHUNK = 400, 150, 40_000, 1 << 19
+#: Bytes of a word's hash, words of a seed where passages are counted in words.
+CODE, SEED_WORDS = 4, 6
 _PRIMES = (0x100000001B3, 0x9E3779B97F4A7C15)
 _BYTES = [np.random.default_rng(s).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1) for s in (11, 12)]
 _MASK = np.uint64((1 << 23) - 1)
@@ -278,12 +284,64 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     def grown(runs: pd.Series) -> pd.Series:
         return runs.map(_union)
 
-    made = cut(listed.select("node", F.transform(grown("runs"), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("end"))).alias("spans")))
+    made = cut(listed.select("node", _unpacked(grown("runs")).alias("spans")))
     for old in (found, kinds, unlike, local):
         release(old)
     return made
 
 
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words: runs of bytes that are no ASCII white space."""
+    inside = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13)), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _codes(raws: list[bytes]) -> list[bytes]:
+    """Each text as the hashes of its words."""
+    data = np.frombuffer(b" ".join(raws), np.uint8)
+    start, end = _words(data)
+    code = np.zeros(len(start), "<u4")
+    at = 0
+    while at < len(start):  # some ``CHUNK`` of text at once
+        to = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK)))
+        lo = start[at]
+        code[at:to] = Rolling(data[lo : end[to - 1]], 0)(start[at:to] - lo, end[at:to] - lo) >> np.uint64(64 - 8 * CODE)
+        at = to
+    first = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    bounds = np.searchsorted(start, first).tolist()
+    return [code[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+
+
+@F.pandas_udf(BinaryType())
+def _coded(raws: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in raws:
+        yield pd.Series(_codes([bytes(x) for x in batch]), index=batch.index, dtype=object)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _with_words(raws: pd.Series, runs: pd.Series, more: pd.Series) -> pd.Series:
+    """Runs of bytes, and runs of word hashes as the bytes of their words; a word not wholly in a run stays."""
+    made = []
+    for raw, own, coded in zip(raws, runs, more, strict=True):
+        if raw is None:
+            made.append(None)
+            continue
+        start, end = _words(np.frombuffer(raw, np.uint8))
+        coded = np.asarray(coded, np.int64)
+        first, last = -(-(coded >> 32) // CODE), (coded & (2**32 - 1)) // CODE - 1
+        made.append(_union(np.concatenate([np.asarray(own, np.int64), (start[first] << 32) | end[last]])))
+    return pd.Series(made, index=raws.index, dtype=object)
+
+
+def _packed(spans: str) -> Column:
+    """Runs as numbers, see ``_union``."""
+    return F.transform(spans, lambda x: F.shiftleft(x["start"].cast("long"), 32) + x["end"])
+
+
+def _unpacked(runs: Column) -> Column:
+    return F.transform(runs, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("end")))
+
 
 def _union(runs: np.ndarray) -> np.ndarray:
     """Disjoint runs, overlapping and touching ones joined; a run is start << 32 | end."""
@@ -295,20 +353,32 @@ def _union(runs: np.ndarray) -> np.ndarray:
     return (start[at] << 32) | end[np.append(at[1:], len(runs)) - 1]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
     """``docs`` with ``raw`` (the text's UTF-8 bytes), ``spans`` (removed runs: start, end, in bytes) and
     ``remaining`` (the other bytes), replacing columns of these names.
 
     A byte goes if some string of ``length`` bytes over it also starts at another place, in the same or another text,
-    judged on the texts as they come. A NULL text counts as empty; texts shorter than ``length`` lose nothing; equal
-    texts and repeated rows are copies of each other and go whole. Every row stays, an empty table gives no rows.
+    judged on the texts as they come. With ``words`` a passage of so many words that occurs at another place goes too, however
+    few its bytes and whatever the white space between its words. A NULL text counts as empty; texts shorter than
+    ``length`` lose no string of it; equal texts and repeated rows are copies of each other and go whole. Every row stays,
+    an empty table gives no rows.
     """
     own = docs.drop("raw", "spans", "remaining").withColumns(
         {"_text": F.coalesce(F.col(text), F.lit("")), "_node": node(F.col(text)), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))}
     )
-    made = own.join(spans(own.select("_id", "_node", "_text"), length, seed).withColumnRenamed("node", "_node"), "_node", "left")
     raw = F.col("_text").cast("binary")
-    wide = made.withColumns({"raw": raw, "spans": F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))})
+    found = spans(own.select("_id", "_node", "_text"), length, seed)
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    if words:
+        with small_batches(docs.sparkSession):
+            coded = own.select("_id", "_node", _coded(raw).alias("_text"))
+            more = spans(coded, words * CODE, SEED_WORDS * CODE).withColumnRenamed("spans", "_more")
+        found = found.join(more, "node", "full")
+    made = own.join(found.withColumnRenamed("node", "_node"), "_node", "left").withColumn("spans", F.coalesce("spans", none))
+    if words:
+        both = _with_words(F.when(F.col("_more").isNotNull(), raw), _packed("spans"), _packed("_more"))
+        made = made.withColumn("spans", F.when(F.col("_more").isNull(), F.col("spans")).otherwise(_unpacked(both))).drop("_more")
+    wide = made.withColumn("raw", raw)
     place = F.expr("transform(spans, (s, i) -> substring(raw, if(i = 0, 0, spans[i - 1].end) + 1, s.start - if(i = 0, 0, spans[i - 1].end)))")
     tail = F.expr("substring(raw, if(size(spans) = 0, 0, element_at(spans, -1).end) + 1)")
     joined = F.concat(F.aggregate(place, F.lit(b""), lambda a, x: F.concat(a, x)), tail)

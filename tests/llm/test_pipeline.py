@@ -53,6 +53,19 @@ def test_stages_on_planted_cases(spark, planted, tmp_path):
         assert fn(spark, docs.limit(0), str(tmp_path)).count() == 0, name
 
 
+def test_passages_of_over_50_short_words_go(spark, tmp_path):
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passages = {n: say(n) for n in (40, 51, 59)}
+    assert all(len(p) < 400 for p in passages.values())
+    rows = {(n, i): say(60 + 10 * i) + " " + p + "\n" + say(80) for n, p in passages.items() for i in range(2)}
+    docs = spark.createDataFrame([(100 * n + i, t, None, "s", len(t)) for (n, i), t in rows.items()], SCHEMA)
+    got = texts(dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, docs, str(tmp_path)))
+    for (n, i), t in rows.items():
+        before, after = t.split(passages[n])
+        assert got[100 * n + i] == (t if n == 40 else before + after), n
+
+
 def test_run_on_a_table(spark):
     out = corpus_pipeline.run(spark, SMALL)
     per = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -55,6 +56,29 @@ def test_against_brute_force(spark, monkeypatch, crowd):
     assert Counter((r.doc_id, bytes(r.raw), bytes(r.remaining), len(r.spans)) for r in got) == want
 
 
+@pytest.mark.parametrize("chunk", [1 << 19, 300])
+def test_passages_in_words_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffix, "CHUNK", chunk)
+    monkeypatch.setattr(suffix, "SHARD", 20)
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice(["a", "bé", "cde", "to", "in"]) + rng.choice([" ", " ", "\n", " \t"]) for _ in range(n))
+    passages = [say(n) for n in (9, 7, 8, 14)]  # all under 120 bytes
+    rows = [(i, say(rng.randrange(30)) + rng.choice(passages) + say(rng.randrange(20)), "", "") for i in range(60)]
+    rows += [(100, " ".join(passages[3].split()), "", ""), (101, "to " * 12, "", ""), (102, None, None, None), (103, "  ", "", ""), (104, "x" * 300, "", ""), (105, "x" * 200, "", "")]
+    got = {r.doc_id: r for r in suffix.remove_repeats(spark.createDataFrame(rows, SCHEMA), length=120, seed=48, words=8).collect()}
+    flags = brute([(r[1] or "").encode() for r in rows], 120)
+    own = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n]+", (r[1] or "").encode())] for r in rows]
+    said = [tuple((r[1] or "").split()) for r in rows]
+    seen = Counter(w[i : i + 8] for w in said for i in range(len(w) - 7))
+    for row, gone, places, w in zip(rows, flags, own, said, strict=True):
+        raw = (row[1] or "").encode()
+        for i in range(len(w) - 7):
+            if seen[w[i : i + 8]] > 1:
+                gone[places[i][0] : places[i + 7][1]] = True
+        assert bytes(got[row[0]].remaining) == bytes(b for b, g in zip(raw, gone, strict=True) if not g), row[0]
+    assert got[104].spans and got[101].spans and len(got) == len(rows)
+
+
 def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
