@@ -149,7 +149,8 @@ def farm_summary(spark, folder):
 )
 def scenario_sensitivity(spark, folder):
     frame = cell_frame(Tables(spark, folder)).withColumn("water_scarce", farms.scarcity("months", "rain"))
-    cells = farms.classify_small_scale(farms.scenarios(cut(frame)), by=["allocation"])
+    read = ["iso3", "income_group", "water_scarce", "fs", "gdp_pc", "irri_area", "paddy_area", "rainfed_area"]
+    cells = farms.classify_scenarios(cut(frame.select(read)))
     out = farms.global_summary(cells, ["allocation"])
     return out.select(*out.columns[:3], *[F.round(c, 4).alias(c) for c in out.columns[3:]])
 

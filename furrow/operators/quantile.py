@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.nulls import if3, nan_to_null
 from furrow.lineage import cut
-from furrow.operators.ordering import range_of, ranged, same
+from furrow.operators.ordering import AT, range_of, ranged, same
 
 Reached = Callable[[Column, Column], Column]  # (running weight, total weight) -> target reached
 
@@ -83,6 +83,13 @@ def quantile_of_weights(weights: DataFrame, by: list[str], q: float, name: str,
     return _first_reaching(stored, by, {name: lambda cum, tot: cum / tot >= q})
 
 
+def quantile_of_stored(stored: DataFrame, by: list[str], w: str, q: float, name: str) -> DataFrame:
+    """The same from a ``ranged`` frame whose ``__x`` rises in every group, with the weights in column ``w``. A group's values
+    may repeat; rows with NULL ``__x`` or without a weight above 0 are left out. So one store serves several weights."""
+    rows = stored.select(*by, "__x", F.col(w).alias("__w"), AT)
+    return _first_reaching(rows, by, {name: lambda cum, tot: cum / tot >= q}, F.col("__x").isNotNull() & (F.col("__w") > 0))
+
+
 def median_strict(df: DataFrame, x: str, by: list[str], name: str = "median", buckets: int | None = None) -> DataFrame:
     """Exact median per group (mean of the middle two); NULL when a group holds a NULL or NaN."""
     values = df.select(*by, nan_to_null(F.col(x).cast("double")).alias("__x"))

@@ -76,5 +76,5 @@ def summaries(frame: DataFrame, **kwargs) -> tuple[DataFrame, DataFrame]:
 def paddy_sensitivity(frame: DataFrame, **kwargs) -> DataFrame:
     """The global summary under every allocation of paddy area, in one job."""
     scarce = cut(frame.withColumn("water_scarce", farms.scarcity("months", "rain")))
-    cells = farms.classify_small_scale(farms.scenarios(scarce), by=["allocation"], **kwargs)
+    cells = farms.classify_scenarios(scarce, **kwargs)
     return farms.global_summary(cells, ["allocation"])

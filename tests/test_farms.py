@@ -106,3 +106,20 @@ def test_summaries_and_scenarios(spark):
     rounded = lambda d: table(d.select("water_scarce", "size", *[F.round(c, 9) for c in d.columns[2:]]))
     assert rounded(same) == rounded(whole)
     assert three.select("allocation").distinct().count() == 3
+
+
+def test_scenarios_share_one_profile(spark, monkeypatch):
+    """The same rows as with the scenarios as groups, NaN included, and no profile of every cell three times over."""
+    nan = float("nan")
+    odd = [(900 + i, iso, iso, "Low income", fs, 0.0, 50.0, g, 4.0, None, nan if i == 3 else 2.0) for i, (iso, fs, g) in
+           enumerate([("AAA", nan, 100.0), ("AAA", 0.0, nan), (None, 2.0, None), ("EEE", 1.0, 1.0), ("GGG", None, 5.0)])]
+    rows = cells(3) + odd + cells(3)[:9]
+    scarce = spark.createDataFrame(rows, SCHEMA).withColumn("water_scarce", farms.scarcity("months", "rain"))
+    want = farms.classify_small_scale(farms.scenarios(scarce), by=["allocation"])
+    read = []
+    monkeypatch.setattr(farms, "cut", lambda df, keep=farms.cut: read.append(keep(df)) or read[-1])
+    monkeypatch.setattr(farms, "release", lambda df: None)
+    got = farms.classify_scenarios(scarce)
+    assert str(table(got.select(want.columns))) == str(table(want))  # NaN as text
+    profile = next(f for f in read if "__x" in f.columns)
+    assert "allocation" not in profile.columns and profile.count() == profile.select("iso3", "measure", "__x").distinct().count()
