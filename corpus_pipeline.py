@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType
 
 from furrow.lineage import cut, release
 from furrow.llm import decontam, minhash, packing, suffix, toxicity
+from furrow.llm.batches import frugal
 
 TOXIC = 0.7
 #: A passage of so many words that occurs elsewhere goes, however few its bytes.
@@ -50,6 +51,7 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 @F.pandas_udf(StringType())
+@frugal
 def _whole_characters(remaining: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Bytes as text; what is left of a character cut through goes."""
     for batch in remaining:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.lineage import cut, release
-from furrow.llm.batches import small_batches
+from furrow.llm.batches import frugal, small_batches
 from furrow.llm.minhash import _PRIME, mixed, word_hashes
 
 #: Words of a passage and between passages.
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, index: Index, text: str = "text", fitted: int | None =
     own = docs.select(F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    @frugal
     def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for texts in _batches(frames):
@@ -200,6 +201,7 @@ def fit(docs: DataFrame, index: Index, text: str = "text", fitted: int | None =
                 {"key": keys[some].view(np.int64), "terms": [raw[4 * a : 4 * b] for _, a, b in spans], "times": [many[a:b] for _, a, b in spans]}
             )
 
+    @frugal
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(index.terms) + 1, np.int64)
         for f in frames:
@@ -209,7 +211,8 @@ def fit(docs: DataFrame, index: Index, text: str = "text", fitted: int | None =
         yield pd.DataFrame({"term": some, "n": total[some]})
 
     def different(texts: DataFrame) -> DataFrame:
-        return cut(texts.mapInPandas(bags, "key long, terms binary, times binary").dropDuplicates(["key"]).drop("key"))
+        with small_batches(texts.sparkSession, 8 * TEXTS):
+            return cut(texts.mapInPandas(bags, "key long, terms binary, times binary").dropDuplicates(["key"]).drop("key"))
 
     passages_ = different(own)
     found = passages_.mapInPandas(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
@@ -279,6 +282,7 @@ def _products(bags: DataFrame, index: Index) -> DataFrame:
         return pd.DataFrame(held, columns=["term", "columns", "sums"])
 
     def summer(low: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        @frugal
         def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ix, high = shared.value, min(low + height, terms)
             total = np.zeros((high - low) * terms)
@@ -318,6 +322,7 @@ def _gram(products: DataFrame, basis: np.ndarray) -> np.ndarray:
     """(A' A) basis from the stored products, some rows at a time."""
     shared = products.sparkSession.sparkContext.broadcast(basis)
 
+    @frugal
     def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for f in frames:
@@ -448,6 +453,7 @@ LEAKS = "array<struct<item_id: long, share: double, cosine: double>>"
 
 def _searcher(shared: Broadcast) -> Callable[[Column], Column]:
     @F.pandas_udf(LEAKS)
+    @frugal
     def searched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = batch.tolist()

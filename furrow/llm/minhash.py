@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.lineage import cut, release
-from furrow.llm.batches import small_batches
+from furrow.llm.batches import frugal, small_batches
 from furrow.llm.links import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -155,6 +155,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold."""
 
     @F.pandas_udf("double")
+    @frugal
     def similar(xs: pd.Series, xw: pd.Series, ys: pd.Series, yw: pd.Series) -> pd.Series:
         return pd.Series([similarity(_read(a, b), _read(c, d)) for a, b, c, d in zip(xs, xw, ys, yw, strict=True)], dtype=float)
 
@@ -251,6 +252,7 @@ def _blocked(rest: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """Shingles and weights of the wanted nodes."""
 
+    @frugal
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
@@ -274,6 +276,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text), node(F.col(text)).alias("_node"))
 
     @F.pandas_udf("array<long>")
+    @frugal
     def keys(texts: pd.Series) -> pd.Series:
         return pd.Series([k for at in range(0, len(texts), TEXTS) for k in band_keys(texts.iloc[at : at + TEXTS].tolist())], dtype=object)
 

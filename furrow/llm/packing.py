@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.lineage import cut
+from furrow.llm.batches import frugal
 
 END = 2
 CAPACITY = 1024
@@ -99,6 +100,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
     """doc_id, piece, start, length, ids (bytes), ids_crc32; ``run`` and ``k``: the task, and the piece's rank there
     among those of its length. No shuffle. Only texts over ``capacity`` are cut, the first piece is the short one."""
 
+    @frugal
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, run, seen = Ids(vocabulary), TaskContext.get().partitionId(), Counter()
         tail = np.array([END], "<u4").tobytes()

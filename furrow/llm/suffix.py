@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from furrow.lineage import cut, release
-from furrow.llm.batches import small_batches
+from furrow.llm.batches import frugal, small_batches
 from furrow.llm.minhash import mixed, node
 
 LENGTH, SEED = 400, 48
@@ -172,6 +172,7 @@ def _runs(at: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _scan(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    @frugal
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             nodes, raws, size = [], [], 0
@@ -218,6 +219,7 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
         "node", "w.*", F.expr(f"substring(raw, w.lo + 1, w.hi - w.lo + {length})").alias("raw")
     )
 
+    @frugal
     def sorted_shard(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates(["node", "lo"]).sort_values(["node", "lo"])  # a row of the table may be repeated
         starts, keys = twice([bytes(x) for x in part["raw"]], length)
@@ -240,6 +242,7 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     crowds = local.filter("k0 IS NOT NULL")
     span = length - seed + 1
 
+    @frugal
     def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The string keys of each stretch, cut by merge task.
 
@@ -314,12 +317,14 @@ def _codes(raws: list[bytes]) -> list[bytes]:
 
 
 @F.pandas_udf(BinaryType())
+@frugal
 def _coded(raws: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in raws:
         yield pd.Series(_codes([bytes(x) for x in batch]), index=batch.index, dtype=object)
 
 
 @F.pandas_udf(ArrayType(LongType()))
+@frugal
 def _with_words(raws: pd.Series, runs: pd.Series, more: pd.Series) -> pd.Series:
     """Runs of bytes, and runs of word hashes as the bytes of their words; a word not wholly in a run stays."""
     made = []
