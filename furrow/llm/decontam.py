@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -72,8 +72,25 @@ class Index:
         """Term numbers, -1 for words that are no term."""
         if not len(self.terms):
             return np.full(len(word), -1)
-        at = np.minimum(np.searchsorted(self.terms, word), len(self.terms) - 1)
-        return np.where(self.terms[at] == word, at, -1)
+        shift, begins, most = self.dealt
+        begin = begins[word >> shift]
+        made = np.full(len(word), -1)
+        here = np.flatnonzero(begin >= 0)
+        begin, word = begin[here], word[here]
+        for i in range(most):
+            at = np.minimum(begin + i, len(self.terms) - 1)
+            same = self.terms[at] == word
+            made[here[same]] = at[same]
+        return made
+
+    @cached_property
+    def dealt(self) -> tuple[np.uint64, np.ndarray, int]:
+        """Terms by their first bits: how far a hash is shifted, the first term with these bits or -1, most terms that share them."""
+        shift = np.uint64(64 - max(16, len(self.terms).bit_length() + 4))
+        bits, first, times = np.unique(self.terms >> shift, return_index=True, return_counts=True)
+        begins = np.full(1 << (64 - int(shift)), -1, np.int32)
+        begins[bits] = first
+        return shift, begins, int(times.max(initial=0))
 
 
 def item_index(rows: list[tuple[int, str | None]]) -> Index:

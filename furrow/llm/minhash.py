@@ -29,6 +29,8 @@ BANDS, ROWS = 24, 4
 #: before what is still apart is compared in blocks of so many members, so many shingles at once.
 SMALL, ROUNDS, BLOCK, WIDTH = 6, 3, 384, 4096
 TEXTS = 256
+#: Powers in a table.
+STEP = 1 << 12
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = 0x100000001B3
@@ -43,19 +45,32 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers modulo 2 ** 64 in two short tables: that of i is the product of place i // STEP and place i % STEP, below n."""
+    made = []
+    for factor, size in ((pow(base, STEP, 2**64), -(-n // STEP)), (base, STEP)):
+        table = np.full(size, factor, np.uint64)
+        table[:1] = 1
+        made.append(np.cumprod(table))
+    return made[0], made[1]
+
+
 def word_hashes(texts: list[str], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every lower-case word and the words per text; ``space`` marks the bytes between words."""
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    letter = ~space[data]
-    edge = np.flatnonzero(np.diff(letter.view(np.int8), prepend=np.int8(0)))
+    data = b"\n".join(raw) + b"\n"
+    letter = np.frombuffer(b"\0" + data.translate((~space).tobytes()), bool)
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
     starts, ends = edge[::2], edge[1::2]
-    up = np.full(len(data), _PRIME, np.uint64)
-    up[0] = 1
-    down = np.full(len(data), pow(_PRIME, -1, 2**64), np.uint64)
-    down[0] = 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * np.cumprod(up), dtype=np.uint64)])
-    made = mixed((total[ends] - total[starts]) * np.cumprod(down)[starts])
+    many, few = _powers(_PRIME, len(data))
+    code = np.zeros((len(many), STEP), np.uint64)
+    code.reshape(-1)[: len(data)] = _BYTE.take(np.frombuffer(data, np.uint8))
+    code *= few
+    code *= many[:, None]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(code.reshape(-1)[: len(data)], out=total[1:])
+    many, few = _powers(pow(_PRIME, -1, 2**64), len(data))
+    made = mixed((total[ends] - total[starts]) * (many[starts // STEP] * few[starts % STEP]))
     words = np.diff(np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])), prepend=0)
     return made, words
 
