@@ -3,8 +3,8 @@
 Each 400-byte string owns one seed, the window of ``SEED`` bytes with the least hash in it, so equal strings own equal
 seeds at equal distances. The strings of one seed occurrence make one stretch of text. Stretches of equal seed and
 equal content are counted by Spark without their text. Of seeds with different stretches one text per stretch goes
-to shards; a shard sorts its suffixes (Larsson-Sadakane refinement), takes common prefixes in text order (Kasai) and
-marks strings that occur twice. Seeds with very many stretches are dealt over several shards; across these no suffixes
+to shards; a shard puts aside the stretches that agree with no other one far enough around their seed, sorts the suffixes
+of the rest (Larsson-Sadakane refinement), takes common prefixes in text order (Kasai) and marks strings that occur twice. Seeds with very many stretches are dealt over several shards; across these no suffixes
 are merged: two 64-bit hashes of each string are counted, as only whether a string occurs twice is asked.
 
 Passages counted in words go the same way: a text becomes the hashes of its words, four bytes each, so that a passage
@@ -28,6 +28,8 @@ from furrow.llm.minhash import mixed, node
 LENGTH, SEED = 400, 48
 #: Stretches in a shard, stretches of one seed that may share a shard, string keys in a merge task, bytes scanned at once.
 SHARD, CROWD, MERGE, CHUNK = 400, 150, 40_000, 1 << 19
+#: Windows around a seed of which one is common to any two stretches that share a string.
+PARTS = 8
 #: Bytes of a word's hash, words of a seed where passages are counted in words.
 CODE, SEED_WORDS = 4, 6
 _PRIMES = (0x100000001B3, 0x9E3779B97F4A7C15)
@@ -35,17 +37,29 @@ _BYTES = [np.random.default_rng(s).integers(1, 2**63, 256, dtype=np.uint64) | np
 _MASK = np.uint64((1 << 23) - 1)
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a prime and of its inverse modulo 2 ** 64, kept for the next call."""
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
+        made = [np.full(n + n // 4, factor, np.uint64) for factor in (_PRIMES[which], pow(_PRIMES[which], -1, 2**64))]
+        for table in made:
+            table[0] = 1
+        _POWERS[which] = np.cumprod(made[0]), np.cumprod(made[1])
+    up, down = _POWERS[which]
+    return up[:n], down[:n]
+
+
 class Rolling:
     """Hashes of substrings of a buffer from one prefix sum: (sum of byte codes x prime ** place) / prime ** start."""
 
     def __init__(self, data: np.ndarray, which: int):
-        up = np.full(len(data) + 1, _PRIMES[which], np.uint64)
-        down = np.full(len(data) + 1, pow(_PRIMES[which], -1, 2**64), np.uint64)
-        up[0] = down[0] = 1
-        self.down = np.cumprod(down)
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[which][data] * np.cumprod(up)[:-1], dtype=np.uint64)])
+        up, self.down = _powers(which, len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[which][data] * up[:-1], out=self.total[1:])
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def __call__(self, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
         return mixed((self.total[ends] - self.total[starts]) * self.down[starts])
 
 
@@ -58,9 +72,8 @@ def stretches(raws: list[bytes], length: int = LENGTH, seed: int = SEED) -> pd.D
     if len(data) < length:
         return none
     first = Rolling(data, 0)
-    at = np.arange(len(data) - seed + 1)
-    hashed = first(at, at + seed)
-    least = (hashed & ~_MASK) | at.astype(np.uint64)
+    hashed = first(slice(len(data) - seed + 1), slice(seed, None))  # every window, without lists of places
+    least = (hashed & ~_MASK) | np.arange(len(hashed), dtype=np.uint64)
     span, width = length - seed + 1, 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -68,16 +81,20 @@ def stretches(raws: list[bytes], length: int = LENGTH, seed: int = SEED) -> pd.D
     if width < span:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
     begin = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(raws)), np.maximum(sizes - length + 1, 0))
-    starts = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0)) + begin[owner]
+    whole = np.zeros(len(least) + 1, np.int64)  # up where a text's strings begin, down where they end
+    held = sizes >= length
+    np.add.at(whole, begin[held], 1)
+    np.add.at(whole, (begin + sizes - length + 1)[held], -1)
+    starts = np.flatnonzero(np.cumsum(whole[:-1]))
     if not len(starts):
         return none
     chosen = (least[starts] & _MASK).astype(np.int64)
     new = np.ones(len(starts), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])
+    new[1:] = (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1) | (whole[starts[1:]] != 0)
     lo_at = np.flatnonzero(new)
     hi_at = np.append(lo_at[1:], len(starts)) - 1
-    lo, hi, own = starts[lo_at], starts[hi_at], owner[lo_at]
+    lo, hi = starts[lo_at], starts[hi_at]
+    own = np.searchsorted(begin, lo, side="right") - 1  # of texts that begin together all but the last are empty
     content = Rolling(data, 1)(lo, hi + length) ^ mixed((chosen[lo_at] - lo).astype(np.uint64), 3)
     return pd.DataFrame({"text": own, "lo": lo - begin[own], "hi": hi - begin[own], "gap": chosen[lo_at] - lo, "seed": hashed[chosen[lo_at]].view(np.int64), "content": content.view(np.int64)})
 
@@ -90,7 +107,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(">u8").reshape(-1).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
     new = np.ones(n, bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
@@ -101,11 +118,12 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     while len(places):
         rows = order[places]
         after = np.where(rows + h < n, rank[np.minimum(rows + h, n - 1)] + 1, 0)
-        by = np.lexsort((after, rank[rows]))
-        rows, after, group = rows[by], after[by], rank[rows][by]
+        key = rank[rows] * (n + 1) + after
+        by = np.argsort(key)
+        rows, key = rows[by], key[by]
         order[places] = rows
         new = np.ones(len(rows), bool)
-        new[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        new[1:] = key[1:] != key[:-1]
         rank[rows] = places[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
         places = places[~(new & np.append(new[1:], True))]
         h *= 2
@@ -163,6 +181,25 @@ def twice(texts: list[bytes], length: int) -> tuple[list[np.ndarray], np.ndarray
     return [np.flatnonzero(repeated[b : b + max(0, s - length + 1)]) for b, s in zip(begin, sizes, strict=True)], keys
 
 
+def alike(texts: list[bytes], gaps: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Whether each stretch, its seed ``gaps`` bytes from its start, may share a string with another one of these.
+
+    A string goes beyond its seed by ``length - seed`` bytes on both sides together, so two equal ones hold one of
+    ``PARTS`` windows around the seed that lack a ``PARTS``-th of these bytes. A stretch none of whose windows is met
+    again shares no string.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    first = Rolling(np.frombuffer(b"".join(texts), np.uint8), 0)
+    at = np.cumsum(sizes) - sizes + gaps
+    found = np.zeros(len(texts), bool)
+    for k in range(PARTS):
+        left, right = (length - seed) * k // PARTS, (length - seed) * (PARTS - 1 - k) // PARTS
+        inside = np.flatnonzero((gaps >= left) & (sizes - gaps >= seed + right))
+        _, slot, times = np.unique(first(at[inside] - left, at[inside] + seed + right), return_inverse=True, return_counts=True)
+        found[inside[times[slot.reshape(-1)] > 1]] = True
+    return found
+
+
 def _runs(at: np.ndarray) -> list[tuple[int, int]]:
     """(first, last) of each run of neighbouring numbers."""
     if not len(at):
@@ -222,6 +259,10 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     @frugal
     def sorted_shard(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates(["node", "lo"]).sort_values(["node", "lo"])  # a row of the table may be repeated
+        # all stretches of a seed are here, but for crowds, whose strings also meet those of other shards
+        part = part[(part["kinds"] > CROWD) | alike([bytes(x) for x in part["raw"]], part["gap"].to_numpy(np.int64), length, seed)]
+        if part.empty:
+            return pd.DataFrame([], columns=columns).astype({c: "Int64" for c in columns if c not in ("node", "k0", "k1")})
         starts, keys = twice([bytes(x) for x in part["raw"]], length)
         made, at = [], 0
         keep = []
@@ -339,7 +380,7 @@ def _with_words(raws: pd.Series, runs: pd.Series, more: pd.Series) -> pd.Series:
     return pd.Series(made, index=raws.index, dtype=object)
 
 
-def _packed(spans: str) -> Column:
+def _packed(spans: str | Column) -> Column:
     """Runs as numbers, see ``_union``."""
     return F.transform(spans, lambda x: F.shiftleft(x["start"].cast("long"), 32) + x["end"])
 
@@ -358,17 +399,18 @@ def _union(runs: np.ndarray) -> np.ndarray:
     return (start[at] << 32) | end[np.append(at[1:], len(runs)) - 1]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text: str = "text", words: int | None = None, apart: bool = False) -> DataFrame:
     """``docs`` with ``raw`` (the text's UTF-8 bytes), ``spans`` (removed runs: start, end, in bytes) and
     ``remaining`` (the other bytes), replacing columns of these names.
 
     A byte goes if some string of ``length`` bytes over it also starts at another place, in the same or another text,
     judged on the texts as they come. With ``words`` a passage of so many words that occurs at another place goes too, however
-    few its bytes and whatever the white space between its words. A NULL text counts as empty; texts shorter than
+    few its bytes and whatever the white space between its words; ``apart``: it stays, and ``passages`` (runs like
+    ``spans``) tells where such ones are. A NULL text counts as empty; texts shorter than
     ``length`` lose no string of it; equal texts and repeated rows are copies of each other and go whole. Every row stays,
     an empty table gives no rows.
     """
-    own = docs.drop("raw", "spans", "remaining").withColumns(
+    own = docs.drop("raw", "spans", "remaining", *["passages"] * (words is not None and apart)).withColumns(
         {"_text": F.coalesce(F.col(text), F.lit("")), "_node": node(F.col(text)), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))}
     )
     raw = F.col("_text").cast("binary")
@@ -376,13 +418,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     if words:
         with small_batches(docs.sparkSession):
-            coded = own.select("_id", "_node", _coded(raw).alias("_text"))
-            more = spans(coded, words * CODE, SEED_WORDS * CODE).withColumnRenamed("spans", "_more")
+            coded = cut(own.select("_id", "_node", _coded(raw).alias("_text")))
+        more = spans(coded, words * CODE, SEED_WORDS * CODE).withColumnRenamed("spans", "_more")
+        release(coded)
         found = found.join(more, "node", "full")
     made = own.join(found.withColumnRenamed("node", "_node"), "_node", "left").withColumn("spans", F.coalesce("spans", none))
     if words:
-        both = _with_words(F.when(F.col("_more").isNotNull(), raw), _packed("spans"), _packed("_more"))
-        made = made.withColumn("spans", F.when(F.col("_more").isNull(), F.col("spans")).otherwise(_unpacked(both))).drop("_more")
+        into, own_runs = ("passages", none) if apart else ("spans", F.col("spans"))
+        both = _with_words(F.when(F.col("_more").isNotNull(), raw), _packed(own_runs), _packed("_more"))
+        made = made.withColumn(into, F.when(F.col("_more").isNull(), own_runs).otherwise(_unpacked(both))).drop("_more")
     wide = made.withColumn("raw", raw)
     place = F.expr("transform(spans, (s, i) -> substring(raw, if(i = 0, 0, spans[i - 1].end) + 1, s.start - if(i = 0, 0, spans[i - 1].end)))")
     tail = F.expr("substring(raw, if(size(spans) = 0, 0, element_at(spans, -1).end) + 1)")

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from furrow.llm import suffix
 from furrow.llm.queries import QUERIES
@@ -79,6 +80,62 @@ def test_passages_in_words_against_brute_force(spark, monkeypatch, chunk):
     assert got[104].spans and got[101].spans and len(got) == len(rows)
 
 
+def test_passages_apart_stay_in_the_text(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(["a", "bé", "cde", "to", "in"]) for _ in range(n))
+    passages = [say(n) for n in (9, 7, 8)]
+    rows = [(i, say(rng.randrange(30)) + "\n" + rng.choice(passages) + "  " + say(rng.randrange(20)), "", "") for i in range(60)]
+    rows += [(100, "x" * 300, "", ""), (101, None, None, None), (102, rows[5][1], "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("passages", F.lit(1))
+    plain = {r.doc_id: r for r in suffix.remove_repeats(docs, length=120, seed=48).collect()}
+    got = {r.doc_id: r for r in suffix.remove_repeats(docs, length=120, seed=48, words=8, apart=True).collect()}
+    said = [(r[1] or "").split() for r in rows]
+    seen = Counter(tuple(w[i : i + 8]) for w in said for i in range(len(w) - 7))
+    assert len(got) == len(rows) and plain[0].passages == 1
+    for row, w in zip(rows, said, strict=True):
+        raw, gone = (row[1] or "").encode(), np.zeros(len((row[1] or "").encode()), bool)
+        places = [(m.start(), m.end()) for m in re.finditer(rb"[^ \n]+", raw)]
+        for i in range(len(w) - 7):
+            if seen[tuple(w[i : i + 8])] > 1:
+                gone[places[i][0] : places[i + 7][1]] = True
+        at = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(int))).reshape(-1, 2).tolist()
+        assert [list(p) for p in got[row[0]].passages] == at, row[0]
+        assert got[row[0]].spans == plain[row[0]].spans and got[row[0]].remaining == plain[row[0]].remaining
+
+
+def test_stretches_that_may_share_a_string():
+    rng = random.Random(3)
+    text = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    for seed, length in ((6, 21), (6, 40), (5, 7), (6, 6)):
+        for _ in range(100):
+            middle, texts, gaps = text(seed), [], []
+            near = text(length - seed), text(length - seed)
+            for _ in range(6):
+                left, right = ((rng.choice([own, text(len(own))])) for own in near)
+                lo, hi = rng.randrange(length - seed + 1), rng.randrange(length - seed + 1)
+                lo = max(lo, length - seed - hi)
+                texts.append(left[len(left) - lo :] + middle + right[:hi])
+                gaps.append(lo)
+            around = [{(g - i, t[i : i + length]) for i in range(len(t) - length + 1) if i <= g <= i + length - seed} for t, g in zip(texts, gaps, strict=True)]
+            flags = suffix.alike(texts, np.array(gaps), length, seed)
+            for i, own in enumerate(around):
+                assert flags[i] or not any(own & other for j, other in enumerate(around) if j != i)
+    apart = [text(300) + b"the same seed" + text(300) for _ in range(5)]
+    assert not suffix.alike(apart, np.full(5, 300), 400, 13).any()
+
+
+def test_query_tells_of_passages_of_fewer_bytes(spark, tmp_path):
+    rng = random.Random(2)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    passage = " ".join(w[:5] for w in say(54).split())
+    rows = [(1, f"{say(40)} {passage} {say(30)}"), (2, f"{say(9)}\n{passage}"), (3, say(90)), (4, None), (5, passage.replace(" ", " x ", 1) + say(20))]
+    assert len(passage.encode()) < 400
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op10_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert {d: (r.has_passage, r.n_passages) for d, r in got.items()} == {1: (True, 1), 2: (True, 1), 3: (False, 0), 4: (False, 0), 5: (True, 1)}
+    assert not any(r.n_removed or r.n_spans or r.touched for r in got.values())
+
+
 def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
