@@ -3,7 +3,8 @@
 Counts are quantised on a logarithmic scale; a gram of level q is put into the filter q times, once for each level up to its
 own, and is read back by probing level after level until one is missing. The filter is made in segments by hash, one group a
 segment, and its bytes grow with the grams of the corpus; it is broadcast while it is smaller than ``FILTER_BYTES``. Beyond that
-the keys of the texts go to the segments and are probed there, with the same answers.
+the keys of the texts go to the segments, a run of texts at a time, and are probed there; their levels come back in the keys'
+order, a byte each. The answers are the same.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, LongType
 
 from furrow.lineage import cut, release
 from furrow.llm.batches import small_batches
@@ -30,6 +31,8 @@ CONCENTRATION = 64.0
 FILTER_BYTES, WORDS = 256 << 20, 1 << 19
 #: Bytes of text a segment of the filter is for; bytes that are hashed, and tokens that are sorted, at once.
 SEGMENT, PIECE, TOKENS = 4 << 20, 1 << 19, 1 << 20
+#: Bytes of text in a run, the keys of which are asked together.
+RUN = 4 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -197,6 +200,21 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, the first byte of all, then the second, and so on: the upper ones are zeros, which
+    a shuffle's compression drops."""
+    return np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def cuts(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Where the sorted keys of each segment begin, and their end."""
+    return np.searchsorted(segment_of(keys, segments), np.arange(segments + 1))
+
+
 _PACKED = pa.schema([("segment", pa.int32()), *[(c, pa.binary()) for c in ("gram_keys", "gram_times", "word_keys", "word_times")]])
 _SEGMENT = pa.schema(
     [("segment", pa.int32()), ("bits", pa.binary()), ("grams", pa.binary()), ("times", pa.binary()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
@@ -210,8 +228,8 @@ def _packed(docs: DataFrame, text: str, segments: int) -> DataFrame:
         found = []
         for parts in zip(*kept, strict=True):
             keys, times = np.unique(np.concatenate(parts), return_counts=True)
-            found.append((keys, times.astype(np.uint32), np.searchsorted(segment_of(keys, segments), np.arange(segments + 1))))
-        rows = [[s, *[x[c[s] : c[s + 1]].tobytes() for keys, times, c in found for x in (keys, times)]] for s in range(segments)]
+            found.append((keys, times.astype(np.uint32), cuts(keys, segments)))
+        rows = [[s, *[x for keys, times, c in found for x in (squeezed(keys[c[s] : c[s + 1]]), times[c[s] : c[s + 1]].tobytes())]] for s in range(segments)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[r for r in rows if any(r[1:])], strict=True), _PACKED, strict=True)], schema=_PACKED)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +250,7 @@ def _packed(docs: DataFrame, text: str, segments: int) -> DataFrame:
 
 
 def _summed(keys: list[bytes], times: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    own, at = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_inverse=True)
+    own, at = np.unique(np.concatenate([unsqueezed(k) for k in keys]), return_inverse=True)
     return own, np.bincount(at, np.frombuffer(b"".join(times), np.uint32), len(own)).astype(np.int64)
 
 
@@ -255,12 +273,13 @@ def _segments(docs: DataFrame, text: str, segments: int, with_grams: bool) -> Da
 
 @dataclass
 class Model:
-    """``filter`` is None where it would be too large to broadcast; its ``segments``, so many, are ``stored`` in any case. ``exact``: the
-    stored counts are asked in its place."""
+    """``filter`` is None where it would be too large to broadcast; its ``segments``, so many and each for ``segment`` bytes of text, are
+    ``stored`` in any case. ``exact``: the stored counts are asked in its place."""
 
     filter: Filter | None
     stored: DataFrame
     segments: int
+    segment: int
     exact: bool
     vocabulary: DataFrame
     tokens: int
@@ -298,7 +317,7 @@ def train(docs: DataFrame, text: str = "text", filter_bytes: int | None = None,
         filter_ = Filter(words_, first, sizes)
     vocabulary = made.select(F.explode(F.arrays_zip("keys", "counts")).alias("e")).select("e.keys", "e.counts")
     totals = vocabulary.agg(F.sum("counts"), F.count(F.lit(1))).first()
-    return Model(filter_, made, segments, exact, vocabulary, totals[0] or 0, totals[1])
+    return Model(filter_, made, segments, segment, exact, vocabulary, totals[0] or 0, totals[1])
 
 
 def smoothed(both: np.ndarray, before: np.ndarray, word: np.ndarray, mass: float) -> np.ndarray:
@@ -315,22 +334,92 @@ def quantised(counts: pd.Series) -> pd.Series:
     return pd.Series(VALUES[level_of(counts.to_numpy())])
 
 
-def _probed(keys: DataFrame, model: Model) -> DataFrame:
-    """(key, value) of the different keys, read from the filter where its segments are: the keys go to them."""
-    segments = model.segments
+@F.pandas_udf(LongType())
+def _run(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Number of a text's run in its task, from the bytes of the texts before it."""
+    done = 0
+    for own in sizes:
+        ends = done + own.cumsum()
+        yield (ends - own) // RUN
+        done = ends.iloc[-1] if len(own) else done
 
-    @F.pandas_udf(IntegerType())
-    def segment(column: pd.Series) -> pd.Series:
-        return pd.Series(segment_of(column.to_numpy(np.int64).view(np.uint64), segments).astype(np.int32))
 
-    def probe(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        own = asked.column("key").to_numpy()
-        bits = stored.column("bits").to_pylist()
-        level = Filter(np.frombuffer(bits[0], np.uint64), np.zeros(1, np.int64), np.array([len(bits[0]) // 8])).level(own.view(np.uint64)) if bits else np.zeros(len(own), np.int64)
-        return pa.table({"key": own, "value": VALUES[level]})
+def _probed(stored: DataFrame, model: Model) -> DataFrame:
+    """(row, ``_score``) of stored texts in runs, read from the filter where its segments are.
 
-    asked = keys.distinct().select("key", segment("key").alias("segment"))
-    return asked.groupBy("segment").cogroup(model.stored.select("segment", "bits").groupBy("segment")).applyInArrow(probe, "key long, value double")
+    A run's different keys are sorted, so those of a segment are one stretch of them, and what the segment answers is a byte a key
+    in the same order. A run that is read in two parts asks for each of them (``first`` and ``last`` row). A segment is asked
+    in turns of about the text it was made from.
+    """
+    segments, mass = model.segments, model.mass
+    size = stored.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    turns = int(size // (2 * segments * max(model.segment, RUN)) + 1)
+    kinds = [("run", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("segment", pa.int32())]
+
+    def different(texts: list) -> tuple[np.ndarray, tuple]:
+        made = grams(texts)
+        return np.unique(np.concatenate([made[0], made[2], [START]])), made
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def asked(run: int, rows: list, texts: list) -> pa.RecordBatch:
+            keys = different(texts)[0]
+            c = cuts(keys, segments)
+            where = np.flatnonzero(np.diff(c))
+            same = [np.full(len(where), x) for x in (run, min(rows), max(rows))]
+            cols = [*same, where, (run ^ run >> 33) % turns + 0 * where, [squeezed(keys[c[s] : c[s + 1]]) for s in where]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(cols, asks, strict=True)], [n for n, _ in asks])
+
+        own, rows, texts = None, [], []
+        for batch in batches:
+            for run, at, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if run != own and rows:
+                    yield asked(own, rows, texts)
+                    rows, texts = [], []
+                own = run
+                rows.append(at)
+                texts.append(text)
+        if rows:
+            yield asked(own, rows, texts)
+
+    def probe(asked: pa.Table, kept: pa.Table) -> pa.Table:
+        parts = [unsqueezed(x) for x in asked["keys"].to_pylist()]
+        bits = kept["bits"].to_pylist()
+        if bits and parts:
+            level = Filter(np.frombuffer(bits[0], np.uint64), np.zeros(1, np.int64), np.array([len(bits[0]) // 8])).level(np.concatenate(parts))
+        else:
+            level = np.zeros(sum(map(len, parts)), np.int64)
+        found = [x.tobytes() for x in np.split(level.astype(np.uint8), np.cumsum([len(p) for p in parts])[:-1])] if parts else []
+        return pa.table({**{n: asked[n] for n, _ in kinds}, "levels": pa.array(found, pa.binary())})
+
+    def read(own: pa.Table, replies: pa.Table) -> pa.Table:
+        at = own[AT].to_numpy()
+        order = np.argsort(at)
+        own = own.take(pa.array(order))
+        at, texts = at[order], own["_text"].to_pylist()
+        by: dict[tuple, list] = {}
+        for first, last, where, raw in zip(*(replies[n].to_pylist() for n in ("first", "last", "segment", "levels")), strict=True):
+            by.setdefault((first, last), []).append((where, raw))
+        rows, scores = [], []
+        for (first, last), found in by.items():
+            i, j = np.searchsorted(at, first), np.searchsorted(at, last, "right")
+            keys, (token, before, both, sizes) = different(texts[i:j])
+            value = VALUES[np.frombuffer(b"".join(raw for _, raw in sorted(found)), np.uint8)]
+            of = lambda x: value[np.searchsorted(keys, x)]  # noqa: B023, E731
+            ends = np.cumsum(sizes)
+            rows.append(at[i:j])
+            scores.append(np.add.reduceat(smoothed(of(both), of(before), of(token), mass), ends - sizes))
+        none = [np.zeros(0)]
+        return pa.table({AT: pa.array(np.concatenate(rows or none), pa.int64()), "_score": pa.array(np.concatenate(scores or none), pa.float64())})
+
+    asks = [*kinds, ("turn", pa.int32()), ("keys", pa.binary())]
+    texts = stored.select("_run", AT, "_text")
+    with small_batches(stored.sparkSession):
+        asked = texts.mapInArrow(ask, "run long, first long, last long, segment int, turn int, keys binary").groupBy("segment", "turn")
+        bits = model.stored.select("segment", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "bits").groupBy("segment", "turn")
+        replies = cut(asked.cogroup(bits).applyInArrow(probe, "run long, first long, last long, segment int, levels binary"))
+        made = cut(texts.groupBy("_run").cogroup(replies.groupBy("run")).applyInArrow(read, f"{AT} long, _score double"))
+    release(replies)
+    return made
 
 
 def _counted(model: Model) -> tuple[DataFrame, DataFrame]:
@@ -346,12 +435,9 @@ def _counted(model: Model) -> tuple[DataFrame, DataFrame]:
 
 
 def _joined(stored: DataFrame, model: Model) -> DataFrame:
-    """(row, ``_score``) without a broadcast filter: the values of the keys meet the texts by joins."""
+    """(row, ``_score``) from exact counts: the values of the keys meet the texts by joins."""
     cells = stored.select(AT, F.explode(F.arrays_zip("_found.token", "_found.before", "_found.both")).alias("e")).select(AT, "e.*")
-    if model.exact:
-        words_, pairs = _counted(model)
-    else:
-        words_ = pairs = cut(_probed(cells.select(F.explode(F.array("token", "before", "both")).alias("key")), model))
+    words_, pairs = _counted(model)
     met = cells
     for column, values in (("both", pairs), ("token", words_), ("before", words_)):
         met = met.join(values.withColumnsRenamed({"key": column, "value": f"of_{column}"}), column, "left")
@@ -402,14 +488,23 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", wo
             prior[first] = start
             made["score"] = np.add.reduceat(smoothed(VALUES[filter_.level(both)], word[prior], word[at], mass), first)
         lists = {"rare": np.split(token[rare].view(np.int64), ends), "token": [()] * len(sizes), "before": [()] * len(sizes), "both": [()] * len(sizes)}
-        if filter_ is None:
-            before = np.where(before == START, END, before) if exact else before  # a text has one of each, and counts are of ends
+        if exact:
+            before = np.where(before == START, END, before)  # a text has one of each, and counts are of ends
             lists |= {c: np.split(x.view(np.int64), first[1:]) for c, x in (("token", token), ("before", before), ("both", both))}
         return pd.DataFrame(made | {c: pd.Series(x, dtype=object, index=range(len(sizes))) for c, x in lists.items()})
 
     plain = [F.col(f"`{c}`") for c in keep]
+    own, place = F.col(f"`{text}`").cast("string"), F.monotonically_increasing_id()
+    asked = model.filter is None and not exact
     with small_batches(spark):
-        stored = cut(docs.select(F.struct(*plain).alias("_keep"), found(F.col(f"`{text}`").cast("string")).alias("_found")).withColumn(AT, F.monotonically_increasing_id()))
+        if asked:  # the texts are read once more, in runs, and are not kept any longer
+            run = F.spark_partition_id().cast("long") * (1 << 33) + _run(F.coalesce(F.octet_length(own), F.lit(0)))
+            rows = cut(docs.select(F.struct(*plain).alias("_keep"), own.alias("_text"), run.alias("_run")).withColumn(AT, place))
+            scores = _probed(rows, model)
+            stored = cut(rows.select("_keep", found("_text").alias("_found"), AT))
+            release(rows)
+        else:
+            stored = cut(docs.select(F.struct(*plain).alias("_keep"), found(own).alias("_found")).withColumn(AT, place))
     shared.unpersist()
     cells = stored.select(AT, F.explode("_found.rare").alias("keys")).join(model.vocabulary, "keys", "left")
     count = F.coalesce("counts", F.lit(0))
@@ -417,7 +512,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", wo
     made = stored.join(rare, AT, "left")
     total = F.col("_found.score")
     if model.filter is None:
-        made, total = made.join(_joined(stored, model), AT, "left"), F.col("_score")
+        made, total = made.join(scores if asked else _joined(stored, model), AT, "left"), F.col("_score")
     return made.select(
         "_keep.*",
         F.col("_found.n_tokens").alias("n_tokens"),

@@ -111,3 +111,24 @@ def test_scores_do_not_depend_on_where_the_filter_lies(spark):
         assert (model.filter is None) == (limit == 0)
         scores.append({r.doc_id: r.score for r in ngrams.score(docs, model, ["doc_id"]).collect()})
     assert scores[0] == pytest.approx(scores[1], rel=1e-12)
+
+
+def test_texts_that_ask_the_segments_are_not_taken_apart_into_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ODD + [" ".join(f"w{i}" for i in rng.zipf(1.3, 300) % 5000) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngrams, "RUN", 20_000)
+    scores = []
+    for limit in (ngrams.FILTER_BYTES, 0):
+        model = ngrams.train(docs.filter("doc_id % 3 > 0"), broadcast=limit, segment=1 << 14)
+        made = ngrams.score(docs, model, ["doc_id"], words_=1 << 30)
+        scores.append({r.doc_id: r.score for r in made.collect()})
+        # tokens do not meet the filter's answers as rows: what is joined is the rare words, their sums and the scores
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= (3 if limit == 0 else 2)
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12)
+
+
+def test_squeezed_keys_come_back():
+    for n in (0, 1, 1000):
+        keys = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64))
+        assert (ngrams.unsqueezed(ngrams.squeezed(keys)) == keys).all()
