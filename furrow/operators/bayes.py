@@ -1,9 +1,12 @@
 """Multinomial naive Bayes on TF-IDF weights, for many training sets at once.
 
-Folds are columns, not copies of the rows. A training set is a Boolean column over the documents;
-document frequencies, weights and class sums of all sets are taken in the same aggregates, so a
-10-fold run shuffles the term rows as often as a single fit does. Smoothing enters only when a
-document is scored, so one model serves a whole grid of alphas.
+Folds are columns, not copies of the rows. A training set is a Boolean column over the documents, a bit of a number where it
+meets term rows; document frequencies, weights and class sums of all sets are taken in the same aggregates. Smoothing enters only
+when a document is scored, so one model serves a whole grid of alphas.
+
+Numbers of every set are kept per document and per term, never per term row. The table of the frequent terms is broadcast, so
+most term rows meet it where they lie, document by document, and are summed before they are shuffled; the others meet theirs in a
+shuffle by term.
 """
 
 from __future__ import annotations
@@ -13,12 +16,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.lineage import cut, spread
+from furrow.lineage import cut, release, spread
+
+
+#: A term is frequent that has at least one of so many equal parts of the term rows, so there are at most as many of them.
+OFTEN = 1 << 18
+_BITS = 63
 
 
 @dataclass(frozen=True)
 class BayesModels:
-    """``terms``: one row per term with arrays over the training sets: idf, and s_<class>, the class sums.
+    """``terms``: one row per term with arrays over the training sets: idf, and s_<class>, the class sums; and ``often``.
 
     ``totals``: one row with arrays over the training sets: prior_<class>, mass_<class> and vocab.
     """
@@ -33,45 +41,54 @@ def held_out(fold: str, k: int) -> list[Column]:
     return [F.col(fold) != f for f in range(k)]
 
 
+def _met(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Term rows with the columns of a table of one row per term: frequent terms (``often``) from a broadcast, others by a shuffle."""
+    often, rest = terms.filter("often").drop("often"), terms.filter("not often").drop("often")
+    rare = rows.join(F.broadcast(often.select("term")), "term", "left_anti")
+    # one row per term on this side: it is the build side, so the term rows are not sorted
+    return rows.join(F.broadcast(often), "term").unionByName(rare.join(rest.hint("shuffle_hash"), "term"))
+
+
 def nb_fit(
     counts: DataFrame, docs: DataFrame, key: str, label: str, trains: list[Column], classes: tuple[int, ...] = (0, 1)
 ) -> BayesModels:
     """Fit one model per training set.
 
     ``counts``: (key, term, tf). ``docs``: one row per document with key, label and what the
-    training-set columns name. Both are read several times: hand in stored ones (``counted``). The
-    term table is checkpointed here, as its totals and every later scoring read it.
+    training-set columns name. Both are read several times: hand in stored ones (``counted``). Document frequencies, the
+    documents' lengths and the term table are stored here, as later steps and every scoring read them.
     """
     sets = range(len(trains))
     listed = lambda part: f"array({', '.join(part(i) for i in sets)})"
-    marked = docs.select(
-        F.col(key).alias("__key"), F.col(label).alias("__label"), *[t.alias(f"t{i}") for i, t in enumerate(trains)]
-    )
+    bits = [F.lit(0).cast("bigint")] * (len(trains) // _BITS + 1)
+    for i, t in enumerate(trains):
+        bits[i // _BITS] = bits[i // _BITS] + F.when(t, F.lit(1 << i % _BITS)).otherwise(0)
+    marked = docs.select(F.col(key).alias("__key"), F.col(label).alias("__label"), *[b.alias(f"__in{j}") for j, b in enumerate(bits)])
+    seen = lambda i: f"(__in{i // _BITS} & {1 << i % _BITS}L) <> 0"
     sizes = marked.selectExpr(
-        f"{listed(lambda i: f'count_if(t{i})')} as n",
-        *[f"{listed(lambda i: f'count_if(t{i} and __label = {c})')} as n_{c}" for c in classes],
-    )
-    rows = counts.select(F.col(key).alias("__key"), "term", "tf").join(marked, "__key")
-    seen = rows.groupBy("term").agg(F.expr(listed(lambda i: f"count_if(t{i})")).alias("df"))
-    seen = seen.withColumn("n", sizes.select("n").scalar())
-    # NULL where the training set does not know the term
-    idf = seen.selectExpr(
-        "term", f"{listed(lambda i: f'if(df[{i}] > 0, ln((1D + n[{i}]) / (1D + df[{i}])) + 1D, null)')} as idf"
-    )
-    # one row per term on this side: it is the build side, so the document rows are not sorted
-    weighted = rows.join(idf.hint("shuffle_hash"), "term").selectExpr(
-        "__key", "__label", "term", *[f"t{i}" for i in sets], *[f"tf * idf[{i}] as w{i}" for i in sets]
-    )
-    lengths = Window.partitionBy("__key")
-    scaled = weighted.withColumns({f"l{i}": F.sum(F.expr(f"w{i} * w{i}")).over(lengths) for i in sets}).selectExpr(
-        "__label", "term", *[f"if(t{i}, w{i} / sqrt(l{i}), null) as u{i}" for i in sets]
-    )
-    own = lambda c, i: f"coalesce(sum(u{i}) filter (where __label = {c}), 0D)"
-    sums = scaled.groupBy("term").agg(
-        *[F.expr(listed(lambda i, c=c: own(c, i))).alias(f"s_{c}") for c in classes]
+        f"{listed(lambda i: f'count_if({seen(i)})')} as n",
+        *[f"{listed(lambda i: f'count_if({seen(i)} and __label = {c})')} as n_{c}" for c in classes],
     )
+    n = sizes.first()["n"]
+    rows = counts.select(F.col(key).alias("__key"), "term", "tf")
     with spread(counts.sparkSession, counts.count()):
-        terms = cut(idf.join(sums, "term"))
+        met = rows.drop("tf").join(marked.drop("__label"), "__key")
+        found = cut(met.groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.expr(listed(lambda i: f"count_if({seen(i)})")).alias("df")))
+        whole = found.agg(F.sum("rows")).first()[0] or 0
+        # NULL where the training set does not know the term
+        weight = lambda i: f"if(df[{i}] > 0, ln((1D + {n[i]}L) / (1D + df[{i}])) + 1D, null)"
+        idf = found.selectExpr("term", f"rows >= {whole} / {OFTEN}D as often", f"{listed(weight)} as idf")
+        squares = _met(rows, idf).groupBy("__key").agg(*[F.expr(f"sum(tf * idf[{i}] * (tf * idf[{i}]))").alias(f"q{i}") for i in sets])
+        # a key of several documents has the terms of all of them
+        times = F.count(F.lit(1)).over(Window.partitionBy("__key"))
+        own = marked.filter("__key is not null").withColumn("__times", times).join(squares, "__key")
+        scales = cut(own.selectExpr("__key", "__label", f"{listed(lambda i: f'if({seen(i)}, 1D / sqrt(__times * q{i}), null)')} as r"))
+        part = lambda c, i: f"coalesce(sum(tf * r[{i}]) filter (where __label = {c}), 0D)"
+        sums = rows.join(scales, "__key").groupBy("term").agg(*[F.expr(listed(lambda i, c=c: part(c, i))).alias(f"p_{c}") for c in classes])
+        scaled = [f"{listed(lambda i, c=c: f'coalesce(idf[{i}] * p_{c}[{i}], 0D)')} as s_{c}" for c in classes]
+        terms = cut(idf.join(sums, "term").selectExpr("term", "often", "idf", *scaled))
+    release(found)
+    release(scales)
     mass = terms.selectExpr(
         f"{listed(lambda i: f'count(idf[{i}])')} as vocab",
         *[f"{listed(lambda i, c=c: f'coalesce(sum(s_{c}[{i}]), 0D)')} as mass_{c}" for c in classes],
@@ -87,15 +104,13 @@ def nb_predict(
     """All columns of ``docs`` plus alpha and prediction; one row per document and alpha.
 
     ``which`` numbers the model a document is scored with (the first by default). A document's
-    terms meet the model in one join; the scaling to length 1 divides the sum afterwards. A document
+    terms meet the model (``_met``); the scaling to length 1 divides the sum afterwards. A document
     without known terms goes by the prior. Ties go to the first class. The predictions are stored.
     """
     classes = models.classes
     numbered = docs.withColumn("__m", F.lit(0) if which is None else which.cast("int"))
     rows = (
-        counts.select(key, "term", "tf")
-        .join(numbered.select(key, "__m"), key)
-        .join(models.terms.hint("shuffle_hash"), "term")
+        _met(counts.select(key, "term", "tf").join(numbered.select(key, "__m"), key), models.terms)
         .selectExpr(key, "tf * idf[__m] as w", *[f"s_{c}[__m] as s{c}" for c in classes])
         .filter("w is not null")
     )

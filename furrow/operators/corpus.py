@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.constants import MIN_ABSTRACT_LENGTH
 from furrow.functions.text import before, min_length, strip_literal, tokens
-from furrow.lineage import cut
+from furrow.lineage import cut, release
 from furrow.operators.relational import tag
 
 #: Bytes of text whose terms are counted by one task, on average.
@@ -42,9 +42,12 @@ def term_counts(df: DataFrame, key: str, text: str = "text", carry: list[str] |
 def counted(texts: DataFrame, key: str, keep: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key and ``keep`` columns, term counts) of a corpus, both checkpointed.
 
-    Fitting and scoring read them many times, the texts themselves only here.
+    Fitting and scoring read them many times, the texts themselves only here: they are found once, stored, and deleted again.
     """
-    return cut(texts.select(key, *keep)), cut(term_counts(texts, key, text))
+    stored = cut(texts.select(key, *[c for c in keep if c != key], text))
+    made = cut(stored.select(key, *keep)), cut(term_counts(stored, key, text))
+    release(stored)
+    return made
 
 
 def smooth_idf(n, df):

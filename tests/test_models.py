@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -216,3 +217,61 @@ def test_features_of_a_gamma_follow_from_the_stored_base():
             np.testing.assert_allclose(kernels._of_gamma(base.astype(np.float32), kernel, gamma, 3), want, atol=1e-5)
     few = kernels.projected(slots[:3], values[:3], 64, 3)  # without rows that are kept for the batch
     np.testing.assert_allclose(kernels.projected(slots, values, 64, 3)[:3], few, atol=1e-12)
+
+
+def test_a_stored_frame_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in (str(b) for b in iterate(disk.getAllBlocks())) if f.startswith("shuffle_")}
+
+    def iterate(blocks):
+        return [blocks.apply(i) for i in range(blocks.size())]
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = shuffled(), spark.conf.get(name)
+    stored = lineage.cut(spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"))
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and spark.conf.get(name) == kept
+    assert stored.count() == 7
+    lineage.release(stored)
+
+
+@pytest.mark.parametrize("often", [1, 6, bayes.OFTEN])
+def test_bayes_does_not_depend_on_which_terms_are_frequent(spark, monkeypatch, often):
+    """Keys that repeat or are NULL, labels of no class and documents of no training set included."""
+    monkeypatch.setattr(bayes, "OFTEN", often)
+    monkeypatch.setattr(bayes, "_BITS", 2)
+    docs = spark.createDataFrame(
+        [(t[0], t[1], t[0] % 3, t[2]) for t in TEXTS] + [(1, 0, 2, "crop water noise"), (None, 1, 0, "metal soil"), (9, 5, 1, "soil engine"), (10, 1, None, "yield yield farm")],
+        "id int, label int, fold int, text string",
+    )
+    counts, rows = corpus.term_counts(docs, "id").cache(), docs.drop("text").collect()
+    model = bayes.nb_fit(counts, docs.drop("text"), "id", "label", bayes.held_out("fold", 3))
+    cells = [(r, c.term, c.tf) for c in counts.collect() for r in rows if r.id is not None and r.id == c.id]
+    got = {r.term: r for r in model.terms.collect()}
+    assert got.keys() == {t for _, t, _ in cells}
+    for f in range(3):
+        inside = lambda r: r.fold is not None and r.fold != f  # noqa: B023, E731
+        n, df = sum(map(inside, rows)), Counter(t for r, t, _ in cells if inside(r))
+        weight = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in df if df[t]}
+        length = defaultdict(float)
+        for r, t, tf in cells:
+            length[r.id] += (tf * weight.get(t, 0)) ** 2
+        for t, row in got.items():
+            assert row.idf[f] == (pytest.approx(weight[t]) if t in weight else None)
+            for c in (0, 1):
+                want = sum(tf * weight[t] / math.sqrt(length[r.id]) for r, u, tf in cells if u == t and r.label == c and inside(r))
+                assert row[f"s_{c}"][f] == pytest.approx(want, abs=1e-12)
+    counts.unpersist()
+
+
+def test_term_rows_are_not_shuffled_with_the_numbers_of_all_sets(spark):
+    docs = spark.createDataFrame(TEXTS, "id int, label int, text string").withColumn("fold", F.col("id") % 3)
+    counts = lineage.cut(corpus.term_counts(docs, "id"))
+    model = bayes.nb_fit(counts, docs.drop("text"), "id", "label", bayes.held_out("fold", 3))
+    assert model.terms.columns == ["term", "often", "idf", "s_0", "s_1"]
+    found = bayes._met(counts, model.terms.select("term", "often", "idf"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and found.count() == counts.count()
