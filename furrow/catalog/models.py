@@ -45,7 +45,7 @@ def _parted(t: Tables):
 def _weighted(t: Tables) -> DataFrame:
     """The same with the TF-IDF weights of all their terms, as 64-bit slots."""
     ids, counts = _parted(t)
-    hashed = corpus.hashed_features(corpus.tfidf(counts, ids, "doc_id"), "doc_id", by_weight=True)
+    hashed = corpus.weighted_features(counts, ids, "doc_id")
     with spread(ids.sparkSession, counts.count()):
         return cut(corpus.with_features(ids, hashed, "doc_id"))
 

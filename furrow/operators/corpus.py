@@ -55,19 +55,34 @@ def smooth_idf(n, df):
     return F.log((F.lit(1.0) + n) / (F.lit(1.0) + df)) + F.lit(1.0)
 
 
-def tfidf(counts: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf, weight): tf x smoothed idf, each document scaled to length 1.
+def raw_weights(counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``counts`` with ``__raw``, tf x smoothed idf.
 
     ``docs`` gives the number of documents, those without terms included. The idf side of the join is
     one row per term, spread evenly by hash: it is the build side, so the term rows are not sorted,
-    and AQE can split a term that occurs everywhere. The length is a window over the terms of one
-    document. ``counts`` is read twice: hand in a stored one (``counted``).
+    and AQE can split a term that occurs everywhere. ``counts`` is read twice: hand in a stored one (``counted``).
     """
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("__df")).hint("shuffle_hash")
-    weighted = counts.join(frequency, "term").withColumn("__raw", F.col("tf") * smooth_idf(total, F.col("__df")))
+    return counts.join(frequency, "term").withColumn("__raw", F.col("tf") * smooth_idf(total, F.col("__df")))
+
+
+def tfidf(counts: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf, weight): tf x smoothed idf (``raw_weights``), each document scaled to length 1.
+
+    The length is a window over the terms of one document.
+    """
     length = F.sqrt(F.sum(F.col("__raw") * F.col("__raw")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", "tf", (F.col("__raw") / length).alias("weight"))
+    return raw_weights(counts, docs).select(key, "term", "tf", (F.col("__raw") / length).alias("weight"))
+
+
+def weighted_features(counts: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(key, slots, values): the ``tfidf`` weights of each document, slots as in ``hashed_features``, in no order. One shuffle by
+    document, and no sort of the term rows."""
+    cells = F.collect_list(F.struct(F.xxhash64("term").alias("slot"), F.col("__raw").alias("v"))).alias("f")
+    length = F.sqrt(F.sum(F.col("__raw") * F.col("__raw"))).alias("length")
+    packed = raw_weights(counts, docs).select(key, "term", "__raw").repartition(key).groupBy(key).agg(cells, length)
+    return packed.select(key, F.col("f.slot").alias("slots"), F.transform("f", lambda e: e["v"] / F.col("length")).alias("values"))
 
 
 def hashed_features(counts: DataFrame, key: str, dims: int | None = None, by_weight: bool = False) -> DataFrame:

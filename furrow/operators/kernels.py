@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from furrow.lineage import cut, release
-from furrow.operators.descent import descend
+from furrow.operators.descent import descend, packed
 from furrow.operators.evaluation import best_setting, parameter_grid
 
 FEATURES = 256
@@ -35,23 +35,17 @@ def _hash(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _uniform(h: np.ndarray) -> np.ndarray:
-    return ((h >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
-
-
 def _term_rows(terms: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """Normal numbers, one row per term: the same row for a term in every batch."""
-    made = np.empty((len(terms), width))
-    start, steps = _hash(terms, seed), np.arange(width, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    """Normal numbers, one row per term: the same row for a term in every batch. A hash gives two of them, by its upper and lower bits."""
+    made, half = np.empty((len(terms), width)), (width + 1) // 2
+    start, steps = _hash(terms, seed), np.arange(half, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
     for first in range(0, len(terms), DRAWN):
-        cells, turn = start[first : first + DRAWN, None] + steps, made[first : first + DRAWN]
-        np.multiply(2 * np.pi, _uniform(_hash(cells, 2)), out=turn)
-        np.cos(turn, out=turn)
-        size = _uniform(_hash(cells, 1))
-        np.log(size, out=size)
-        np.multiply(-2, size, out=size)
-        np.sqrt(size, out=size)
-        turn *= size
+        h = _hash(start[first : first + DRAWN, None] + steps, 1)
+        size = ((h >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
+        np.sqrt(np.multiply(np.float32(-2), np.log(size, out=size), out=size), out=size)
+        turn = ((h >> np.uint64(8)) & np.uint64((1 << 24) - 1)).astype(np.float32) * np.float32(2 * np.pi / (1 << 24))
+        made[first : first + DRAWN, :half] = size * np.cos(turn)
+        made[first : first + DRAWN, half:] = (size * np.sin(turn))[:, : width - half]
     return made
 
 
@@ -128,6 +122,18 @@ def kernel_features(hashed: DataFrame, kernel: str, gamma: float, features: int
     return hashed.withColumn("features", array_to_vector(project("slots", "values"))).drop("slots", "values")
 
 
+def svm_bases(kernels: list[str], features: int = FEATURES, seed: int = 11):
+    """A function of slots and values for what the gammas of each kernel share, in the kernels' order."""
+
+    @F.pandas_udf("array<binary>")
+    def project(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for slots, values in parts:
+            made = [_base(slots, values, kernel, features, seed).astype(np.float32) for kernel in kernels]
+            yield pd.Series([[x[i].tobytes() for x in made] for i in range(len(slots))], dtype=object)
+
+    return project
+
+
 def svm_predictions(
     rows: DataFrame,
     settings: list[dict],
@@ -137,64 +143,70 @@ def svm_predictions(
     max_iter: int = 40,
     features: int = FEATURES,
     seed: int = 11,
+    kernels: list[str] | None = None,
 ) -> DataFrame:
     """Predictions of every setting (dicts of C, kernel, gamma) on the rows of every fold in ``held``, by machines that have not
     seen that fold: the columns of ``rows`` without slots and values, ``setting`` (its place in the list), ``prediction``.
 
     ``label`` is 1 or 0. Hinge loss with the penalty 1 / (C n). All machines take each step together, so the number
     of jobs is that of the rounds, however many settings and folds there are; what the gammas of a kernel share is stored once.
+    With ``kernels`` the rows are stored ones that have it already, as ``svm_bases`` of these kernels gives it, in ``__bases``.
     """
     maps = sorted({(s["kernel"], s["gamma"]) for s in settings})
     models = [[(i, s["C"], f) for i, s in enumerate(settings) if (s["kernel"], s["gamma"]) == m for f in held] for m in maps]
-    kernels = sorted({kernel for kernel, _ in maps})
-    others = [c for c in rows.columns if c not in ("slots", "values")]
-
-    @F.pandas_udf("array<binary>")
-    def project(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for slots, values in parts:
-            made = [_base(slots, values, kernel, features, seed).astype(np.float32) for kernel in kernels]
-            yield pd.Series([[x[i].tobytes() for x in made] for i in range(len(slots))], dtype=object)
-
-    stored = cut(rows.withColumn("__bases", project("slots", "values")).select(*others, "__bases"))
+    others = [c for c in rows.columns if c not in ("slots", "values", "__bases")]
+    own = kernels is None
+    if own:
+        kernels = sorted({kernel for kernel, _ in maps})
+        stored = cut(rows.withColumn("__bases", svm_bases(kernels, features, seed)("slots", "values")).select(*others, "__bases"))
+    else:
+        stored = rows
     sizes = {r[0]: r[1] for r in stored.groupBy(fold).count().collect()}
     n = [np.array([max(1, sum(sizes.values()) - sizes.get(f, 0)) for _, _, f in own]) for own in models]
     reg = [1 / (np.array([c for _, c, _ in own]) * many) for own, many in zip(models, n, strict=True)]
     out = [np.array([f for *_, f in own]) for own in models]
 
-    def matrix(batch: pd.DataFrame, g: int) -> np.ndarray:
-        kernel, gamma = maps[g]
-        at = kernels.index(kernel)
-        base = np.frombuffer(b"".join(m[at] for m in batch["__bases"]), np.float32).reshape(len(batch), features)
-        x = _of_gamma(base, kernel, gamma, seed)
-        return np.hstack([x, np.ones((len(batch), 1), np.float32)])
-
-    def gradients(batch: pd.DataFrame, params: list[np.ndarray]) -> list[np.ndarray]:
-        y, own = 2.0 * batch[label].to_numpy(float)[:, None] - 1, batch[fold].to_numpy()[:, None]
-        made = []
-        for g, w in enumerate(params):
-            x = matrix(batch, g)
-            short = (y * (x @ w) < 1) & (own != out[g])
-            made.append(-(x.T.astype(float) @ (short * y)))
+    def matrix(raw: bytes, g: int) -> np.ndarray:
+        x = _of_gamma(np.frombuffer(raw, np.float32).reshape(-1, features), *maps[g], seed)
+        return np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(float)
+
+    place = [kernels.index(kernel) for kernel, _ in maps]
+
+    def gradients(packs: pd.DataFrame, params: list[np.ndarray]) -> list[np.ndarray]:
+        made = [np.zeros_like(w) for w in params]
+        for i in range(len(packs)):
+            pack = packs.iloc[i]
+            y, own = 2.0 * np.frombuffer(pack[label])[:, None] - 1, np.frombuffer(pack[fold])[:, None]
+            for g, w in enumerate(params):
+                x = matrix(pack[f"__b{place[g]}"], g)
+                short = (y * (x @ w) < 1) & (own != out[g])
+                made[g] -= x.T @ (short * y)
         return made
 
     def finish(grads: list[np.ndarray], params: list[np.ndarray]) -> list[np.ndarray]:
         inner = np.append(np.ones(features), 0)[:, None]  # no penalty on the constant
         return [g / many + r * w * inner for g, many, r, w in zip(grads, n, reg, params, strict=True)]
 
-    weights = descend(stored, gradients, finish, [np.zeros((features + 1, len(own))) for own in models], max_iter)
+    cells = [f"__b{i}" for i in range(len(kernels))]
+    packs = packed(stored.select(label, fold, *[F.col("__bases")[i].alias(c) for i, c in enumerate(cells)]), [label, fold], cells)
+    weights = descend(packs, gradients, finish, [np.zeros((features + 1, len(own))) for own in models], max_iter)
+
+    release(packs)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            bases = [b"".join(m[i] for m in batch["__bases"]) for i in range(len(kernels))]
             for g, own in enumerate(models):
-                found = (matrix(batch, g) @ weights[g] > 0).astype(np.int32)
+                found = (matrix(bases[place[g]], g) @ weights[g] > 0).astype(np.int32)
                 for j, (setting, _, f) in enumerate(own):
                     here = (batch[fold] == f).to_numpy()
                     if here.any():
                         yield batch.loc[here, others].assign(setting=setting, prediction=found[here, j])
 
     kept = [stored.schema[c] for c in others]
-    made = cut(stored.mapInPandas(predict, StructType([*kept, *(StructField(c, IntegerType()) for c in ("setting", "prediction"))])))
-    release(stored)
+    made = cut(stored.select(*others, "__bases").mapInPandas(predict, StructType([*kept, *(StructField(c, IntegerType()) for c in ("setting", "prediction"))])))
+    if own:
+        release(stored)
     return made
 
 

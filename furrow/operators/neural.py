@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from furrow.lineage import cut, release
-from furrow.operators.descent import descend
+from furrow.operators.descent import descend, packed
 from furrow.operators.kernels import projected
 
 #: Inputs of the network: random projections of all terms. Terms that the forest splits on.
@@ -49,21 +49,27 @@ def projections(rows: DataFrame, width: int = WIDTH, seed: int = 17) -> DataFram
     return rows.withColumn("features", array_to_vector(dense("slots", "values"))).drop("slots", "values")
 
 
+def network_inputs(width: int = WIDTH, seed: int = 17):
+    """A function of slots and values for the inputs of ``network_cross_validate``."""
+
+    @F.pandas_udf("binary")
+    def project(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for slots, values in parts:
+            yield pd.Series([x.tobytes() for x in projected(slots, values, width, seed).astype(np.float32)], dtype=object)
+
+    return project
+
+
 def network_cross_validate(
     rows: DataFrame, fold: str, k: int, label: str = "label", width: int = WIDTH, hidden: int = 16, max_iter: int = 40, seed: int = 17
 ) -> DataFrame:
     """Held-out predictions of every fold by networks of one hidden layer with softmax output, trained together.
 
-    ``rows`` have slots and values; the inputs are random projections of all terms, stored once. The number of jobs is that of
-    the rounds, however many folds there are.
+    ``rows`` have slots and values; the inputs are random projections of all terms, stored once, if the rows are not stored ones
+    that have them in ``__x`` already (``network_inputs``). The number of jobs is that of the rounds, however many folds there are.
     """
-    others = [c for c in rows.columns if c not in ("slots", "values")]
-
-    @F.pandas_udf("binary")
-    def project(slots: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([x.tobytes() for x in projected(slots, values, width, seed).astype(np.float32)], dtype=object)
-
-    stored = cut(rows.withColumn("__x", project("slots", "values")).select(*others, "__x"))
+    others, own = [c for c in rows.columns if c not in ("slots", "values", "__x")], "__x" not in rows.columns
+    stored = cut(rows.withColumn("__x", network_inputs(width, seed)("slots", "values")).select(*others, "__x")) if own else rows
     sizes = {r[0]: r[1] for r in stored.groupBy(fold).count().collect()}
     n = np.array([max(1, sum(sizes.values()) - sizes.get(f, 0)) for f in range(k)], float)[:, None, None]
     rng = np.random.default_rng(seed)
@@ -72,31 +78,41 @@ def network_cross_validate(
         rng.normal(0, 1 / np.sqrt(hidden), (k, hidden + 1, 1)),
     ]
 
-    def forward(batch: pd.DataFrame, params: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.frombuffer(b"".join(batch["__x"]), np.float32).reshape(len(batch), width).astype(float)
-        x = np.hstack([x, np.ones((len(batch), 1))])
-        inner = np.concatenate([np.tanh(x @ params[0]), np.ones((k, len(batch), 1))], axis=2)
+    def forward(raw: bytes, params: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(raw, np.float32).reshape(-1, width).astype(float)
+        x = np.hstack([x, np.ones((len(x), 1))])
+        # the networks side by side are one product
+        hid = np.tanh(x @ params[0].transpose(1, 0, 2).reshape(width + 1, k * hidden)).reshape(len(x), k, hidden).transpose(1, 0, 2)
+        inner = np.concatenate([hid, np.ones((k, len(x), 1))], axis=2)
         return x, inner, 1 / (1 + np.exp(-np.clip(inner @ params[1], -40, 40)))
 
-    def gradients(batch: pd.DataFrame, params: list[np.ndarray]) -> list[np.ndarray]:
-        x, inner, p = forward(batch, params)
-        seen = batch[fold].to_numpy()[None, :, None] != np.arange(k)[:, None, None]
-        miss = (p - batch[label].to_numpy(float)[None, :, None]) * seen  # the cross-entropy's slope
-        back = (miss @ params[1][:, :-1].transpose(0, 2, 1)) * (1 - inner[:, :, :-1] ** 2)
-        return [x.T @ back, inner.transpose(0, 2, 1) @ miss]
+    def gradients(packs: pd.DataFrame, params: list[np.ndarray]) -> list[np.ndarray]:
+        made = [np.zeros_like(p) for p in params]
+        for i in range(len(packs)):
+            pack = packs.iloc[i]
+            x, inner, p = forward(pack["__x"], params)
+            seen = np.frombuffer(pack[fold])[None, :, None] != np.arange(k)[:, None, None]
+            miss = (p - np.frombuffer(pack[label])[None, :, None]) * seen  # the cross-entropy's slope
+            back = (miss @ params[1][:, :-1].transpose(0, 2, 1)) * (1 - inner[:, :, :-1] ** 2)
+            made[0] += (x.T @ back.transpose(1, 0, 2).reshape(len(x), k * hidden)).reshape(width + 1, k, hidden).transpose(1, 0, 2)
+            made[1] += inner.transpose(0, 2, 1) @ miss
+        return made
 
     finish = lambda grads, params: [g / n + 1e-4 * w for g, w in zip(grads, params, strict=True)]
-    weights = descend(stored, gradients, finish, start, max_iter, rate=0.05)
+    packs = packed(stored, [label, fold], ["__x"])
+    weights = descend(packs, gradients, finish, start, max_iter, rate=0.05)
+    release(packs)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            p, own = forward(batch, weights)[2][:, :, 0], batch[fold].to_numpy()
+            p, own = forward(b"".join(batch["__x"]), weights)[2][:, :, 0], batch[fold].to_numpy()
             here = (own >= 0) & (own < k)
             yield batch.loc[here, others].assign(prediction=(p[own[here], np.flatnonzero(here)] > 0.5).astype(np.int32))
 
     kept = [stored.schema[c] for c in others]
-    made = cut(stored.mapInPandas(predict, StructType([*kept, StructField("prediction", IntegerType())])))
-    release(stored)
+    made = cut(stored.select(*others, "__x").mapInPandas(predict, StructType([*kept, StructField("prediction", IntegerType())])))
+    if own:
+        release(stored)
     return made
 
 

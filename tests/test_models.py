@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from conftest import table
 from furrow import lineage
-from furrow.operators import bayes, corpus, evaluation, kernels, neural
+from furrow.operators import bayes, corpus, descent, evaluation, kernels, neural
+from furrow.plans import classifier
 
 
 def test_clean_order(spark):
@@ -275,3 +276,38 @@ def test_term_rows_are_not_shuffled_with_the_numbers_of_all_sets(spark):
     found = bayes._met(counts, model.terms.select("term", "often", "idf"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and found.count() == counts.count()
+
+
+def test_rows_are_packed_for_descent(spark, monkeypatch):
+    monkeypatch.setattr(descent, "PACK", 3)
+    rows = [(i, None if i == 4 else i % 2, np.full(2, i, np.float32).tobytes()) for i in range(10)]
+    packs = descent.packed(spark.createDataFrame(rows, "fold int, label int, x binary").coalesce(1), ["label", "fold"], ["x"])
+    found = packs.collect()
+    assert packs.columns == ["label", "fold", "x"] and len(found) == 4
+    read = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in found])
+    assert read("fold", float).tolist() == list(range(10)) and np.isnan(read("label", float)[4]) and read("label", float)[5] == 1
+    assert read("x", np.float32).tolist() == [i for i in range(10) for _ in range(2)]
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    total = descent.summed(packs, lambda b, p: [sum(np.frombuffer(x).sum() for x in b["fold"]) * np.ones(2)], [np.zeros(2)])
+    assert total[0].tolist() == [45, 45] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batches
+
+
+def test_drawn_rows_are_normal_and_belong_to_their_term():
+    rows = kernels._term_rows(np.arange(4000, dtype=np.uint64), 65, 3)
+    assert abs(rows.mean()) < 0.01 and abs(rows.std() - 1) < 0.01 and abs((rows**4).mean() - 3) < 0.1
+    assert np.abs(np.corrcoef(rows.T) - np.eye(65)).max() < 0.08
+    assert (rows[17:19] == kernels._term_rows(np.array([17, 18], np.uint64), 65, 3)).all()
+
+
+def test_classifiers_share_their_inputs(spark, monkeypatch):
+    calls = Counter()
+    for module, name in ((kernels, "svm_bases"), (neural, "network_inputs"), (bayes, "nb_fit"), (corpus, "raw_weights"), (corpus, "counted")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **b: calls.update([n]) or f(*a, **b))
+    texts = lambda w: spark.createDataFrame([(i, f"{w[i % 3]} " * 40 + "field " * 20) for i in range(len(w) * 8)], "id int, text string")
+    positive, negative = texts(["water", "crop", "yield"]), texts(["engine", "noise", "metal"]).withColumn("id", F.col("id") + 100)
+    for nested in (False, True):
+        calls.clear()
+        found = classifier.compare_classifiers(positive, negative, "id", folds=3, inner=2, svm_grid={"C": [1.0], "kernel": ["rbf", "poly"], "gamma": [1.0]}, nested=nested, stratified=True, features=32, max_iter=8)
+        rows = {r.model: r for r in found.collect()}
+        assert set(rows) == {"svm", "nb", "neural"} and rows["nb"].mean_accuracy > 0.9 and rows["svm"].mean_accuracy > 0.9
+        assert calls == {"svm_bases": 1, "network_inputs": 1, "nb_fit": 1, "raw_weights": 1, "counted": 1}
